@@ -85,19 +85,16 @@ def postings(distinct: DataFrame) -> DataFrame:
 
 def _refined(big: DataFrame) -> DataFrame:
     """Sixteen refined keys for each row of a long list: a fifth byte position, and one of four six-bit groups of the rest."""
-    kind = F.shiftright("list_key", 32)
-    cases = None
-    for k, ps in enumerate(POSITIONS):
-        keys = []
-        for fifth in (p for p in range(8) if p not in ps):
-            rest = _joined([(_byte(p), 8) for p in range(8) if p not in ps and p != fifth])
-            for g in range(4):
-                group = F.shiftright(rest, 6 * g).bitwiseAND(F.lit(63))
-                keys.append(F.struct(F.lit(fifth * 4 + g).alias("part"), _joined([(_byte(fifth), 8), (group, 6)]).alias("bits")))
-        cases = F.when(kind == k, F.array(*keys)) if cases is None else cases.when(kind == k, F.array(*keys))
-    return big.select("list_key", "fp", F.explode(cases).alias("r")).select(
-        F.xxhash64("list_key", "r.part", "r.bits").alias("list_key"), "fp"
-    )
+    free = [[p for p in range(8) if p not in ps] for ps in POSITIONS]
+    # by set and choice of the fifth position: that position, then the three that remain
+    order = F.array(*[F.array(*[F.lit(f[k])] + [F.lit(p) for p in f if p != f[k]]) for f in free for k in range(4)])
+    rows = big.select("list_key", "fp", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("part"), order.alias("order"))
+    at = F.get("order", (F.shiftright("list_key", 32) * 4 + F.floor(F.col("part") / 4)).cast("int"))
+    rows = rows.select("list_key", "fp", "part", at.alias("at"))
+    one = [F.call_function("shiftrightunsigned", F.col("fp"), 56 - 8 * F.get("at", F.lit(k))).bitwiseAND(F.lit(255)) for k in range(4)]
+    rest = _joined([(x, 8) for x in one[1:]])
+    group = F.call_function("shiftright", rest, (6 * (F.col("part") % 4)).cast("int")).bitwiseAND(F.lit(63))
+    return rows.select(F.xxhash64("list_key", "part", one[0], group).alias("list_key"), "fp")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
