@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, crc_mod, stored, table
 
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 500_000
 #: Characters of input for each range of keys.
 RANGE_CHARS = 8_000_000
 MAX_RANGES = 65_536
