@@ -8,7 +8,7 @@ Samples come from Gumbel top-k: an A* search over prefixes, ordered by perturbed
 perturbation; the child on its best path inherits it, the other children get perturbations truncated below it and wait in a
 queue; taking the largest from the queue and completing it gives the next sample, distinct from all before. Each sample comes with
 its log-probability, its perturbed value and its log inclusion score, against the largest value left in the queue. Nodes whose
-prefix is so unlikely that no perturbation in double precision can bring it before the k-th candidate are not expanded.
+prefix is so unlikely that no perturbation (of 32-bit numbers) can bring it before the k-th candidate are not expanded.
 
 All draws are seeded by the row's key: equal keys and texts give equal samples. Defined cases: null and empty texts have the one
 empty segmentation; texts with fewer segmentations than asked for give all of them; an empty table gives no rows; extra columns
@@ -34,10 +34,12 @@ BYTE_WEIGHT = -12.0
 LIFT = 5.0
 #: Longest word in characters that is worked out in linear weights; longer ones in logarithms.
 LONG_WORD = 100
-#: -log(-log(u)) of the largest double below one is less than this.
-NOISE = 37.0
+#: -log(-log(u)) of the largest number drawn, 1 - 2**-33, is less than this.
+NOISE = 22.9
+#: Edges of a path whose siblings are looked at together.
+WINDOW = 192
 #: Characters of the texts whose lattices are held at once (one longer text is held alone).
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 1_000_000
 _U = np.uint64
 
 
@@ -48,9 +50,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _uniform(seed: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Numbers in (0, 1) for seeds and counters."""
+    """Numbers in (0, 1), of 32 bits, for seeds and counters."""
     h = _mix(seed + at.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
-    return ((h >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
+    return ((h >> _U(32)).astype(np.float64) + 0.5) * 2.0**-32
 
 
 class Pieces:
@@ -124,6 +126,16 @@ class Pieces:
             at[open_] = (at[open_] + 1) & (self.slots - 1)
         return out
 
+    def decode_all(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Decoded bytes of many ids in a row, and where each id's bytes begin (and the end)."""
+        if not hasattr(self, "_blob"):
+            sizes = np.array([len(x) for x in self.decoded], np.int64)
+            self._blob = np.frombuffer(b"".join(self.decoded), np.uint8)
+            self._size, self._from = sizes, np.cumsum(sizes) - sizes
+        sizes = self._size[ids]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        return self._blob[np.repeat(self._from[ids] - ends[:-1], sizes) + np.arange(ends[-1])], ends
+
     def decode(self, ids) -> str:
         """The text of a segmentation (without the blank put before the text)."""
         raw = b"".join(map(self.decoded.__getitem__, ids))
@@ -186,12 +198,15 @@ class Lattice:
         lone = at[~single[at]]  # characters without a piece: their bytes
         value = flat[lone].astype(np.int32)
         bytes_ = 1 + (value > 0x7F).astype(int) + (value > 0x7FF) + (value > 0xFFFF)
-        levels.append((lone, 1, -1 - value, bytes_ * BYTE_WEIGHT))  # the character, as a negative number
+        self.lone = bool((value > 0x7F).any())
+        # one byte: its piece; more: the character, as a negative number
+        ident = np.where(value > 0x7F, -1 - value, pieces.byte_id[np.minimum(value, 0x7F)])
+        levels.append((lone, 1, ident, bytes_ * BYTE_WEIGHT))
         ways[lone] += 1
         self.first = np.cumsum(ways, dtype=np.int64) - ways  # a node's edges: first[i] to first[i + 1]
         total, fill = int(ways.sum()), self.first.copy()
         self.src, self.dst, self.ident, self.log = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total)
-        for found, size, ident, log in levels:
+        for found, size, ident, log in reversed(levels):  # long pieces, mostly the likeliest, come first
             spot = fill[found]
             fill[found] += 1
             self.src[spot], self.dst[spot], self.ident[spot], self.log[spot] = found, found + size, ident, log
@@ -243,15 +258,15 @@ class Lattice:
             beta[at - start] = top + math.log(e.sum())
             self.chance[a:b] = e / e.sum()
 
-    def draw(self, starts: np.ndarray, seeds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sampled edges of words: (edges in order, number of edges of each word). ``at`` counts up a word's draws from there."""
+    def draw(self, starts: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sampled edges of words, one seed a word: (edges in order, number of edges of each word)."""
         n = len(starts)
         place, live = starts.copy(), np.arange(n)
         steps, rows = [], []
-        counter = at.astype(np.uint64)
+        counter = np.zeros(1, np.uint64)
         while len(live):
-            u = _uniform(seeds[live], counter[live])
-            counter[live] += _U(1)
+            u = _uniform(seeds[live], counter)
+            counter += _U(1)
             e = self.first[place[live]].copy()
             open_ = np.flatnonzero(self.until[e] < u)
             while len(open_):
@@ -272,6 +287,54 @@ class Lattice:
         return out, counts
 
 
+class Growing(Lattice):
+    """Lattices of all words met so far, up to a bound (then it starts anew): words that come again are not worked out again."""
+
+    NODES, EDGES, BLOCK = 3_000_000, 6_500_000, 8192
+    KINDS = {"src": np.int32, "dst": np.int32, "ident": np.int32, "chance": np.float32, "until": np.float32, "log_chance": np.float32}
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self._room(self.NODES, self.EDGES)
+
+    def _room(self, nodes: int, edges: int) -> None:
+        self.number: dict[str, int] = {}
+        self.n, self.edges, self.lone = 0, 0, False
+        self.left, self.first = np.empty(nodes, np.int32), np.zeros(nodes + 1, np.int64)
+        self.start = np.empty(nodes, np.int64)
+        for name, kind in self.KINDS.items():
+            setattr(self, name, np.empty(edges, kind))
+
+    def learn(self, words: list[list[str]]) -> list[np.ndarray]:
+        """The numbers of the words of some texts; words that are new are worked out, block by block."""
+        new = set().union(*words).difference(self.number)
+        nodes = sum(map(len, new)) + len(new)
+        if self.n + nodes > len(self.left) or self.edges + 4 * nodes > len(self.src):
+            new = set().union(*words)
+            nodes = sum(map(len, new)) + len(new)
+            self._room(max(self.NODES, nodes), max(self.EDGES, 4 * nodes))
+        fresh = sorted(new)
+        for at in range(0, len(fresh), self.BLOCK):
+            self._add(fresh[at : at + self.BLOCK])
+        number = self.number.__getitem__
+        return [np.fromiter(map(number, ws), np.int64, len(ws)) for ws in words]
+
+    def _add(self, words: list[str]) -> None:
+        block = Lattice(self.pieces, words)
+        k, m = len(self.number), len(block.src)
+        self.number.update(zip(words, range(k, k + len(words))))
+        if self.edges + m > len(self.src):  # pieces are denser than foreseen
+            for name in self.KINDS:
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old[: self.edges], np.empty(max(m, self.edges), old.dtype)]))
+        self.start[k : k + len(words)] = block.start + self.n
+        self.left[self.n : self.n + block.n] = block.left
+        self.first[self.n : self.n + block.n + 1] = block.first + self.edges
+        for name in self.KINDS:
+            getattr(self, name)[self.edges : self.edges + m] = getattr(block, name) + (self.n if name in ("src", "dst") else 0)
+        self.n, self.edges, self.lone = self.n + block.n, self.edges + m, self.lone or block.lone
+
+
 def _truncated(phi: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
     """Gumbel values of locations ``phi`` given that they are at most ``top``, from uniform numbers."""
     return phi - np.log(np.exp(np.minimum(phi - top, 700.0)) - np.log(u))
@@ -282,100 +345,122 @@ class Sampler:
 
     def __init__(self, pieces: Pieces, samples: int = SAMPLES):
         self.pieces, self.samples = pieces, samples
+        self.lattice = Growing(pieces)
 
     def many(self, keys: list, texts: list[str | None]) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text its samples: ids, log-probability, perturbed value, log inclusion score; largest value first."""
         from xxhash import xxh64_intdigest
 
-        number: dict[str, int] = {}
-        spots = []
-        for t in texts:
-            ws = words_of(t or "")
-            for w in set(ws).difference(number):
-                number[w] = len(number)
-            spots.append(np.fromiter(map(number.__getitem__, ws), np.int64, len(ws)))
+        spots = self.lattice.learn([words_of(t or "") for t in texts])
+        lattice = self.lattice
         seeds = np.array([xxh64_intdigest(repr(k).encode()) for k in keys], np.uint64)
         sizes = np.array([len(s) for s in spots], np.int64)
-        if not number:
+        if not sizes.sum():
             return [[(np.zeros(0, np.int32), 0.0, float(-math.log(-math.log(_uniform(s, np.array([0]))[0]))), 0.0)] for s in seeds[:, None]]
-        lattice = Lattice(self.pieces, list(number))
         flat = np.concatenate(spots)
         owner = np.repeat(np.arange(len(texts)), sizes)
         within = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         drawn = []
         for k in range(self.samples):
             seed = _mix(_mix(seeds + _U(k + 1))[owner] + within.astype(np.uint64))
-            edges, counts = lattice.draw(lattice.start[flat], seed, np.zeros(len(flat), np.int64))
+            edges, counts = lattice.draw(lattice.start[flat], seed)
             ends = np.concatenate(([0], np.cumsum(counts)))
-            drawn.append((edges, ends, np.concatenate(([0], np.cumsum(lattice.log_chance[edges])))))
+            drawn.append((edges, ends, np.concatenate(([0], np.cumsum(lattice.log_chance[edges], dtype=np.float64)))))
         firsts = np.cumsum(sizes) - sizes
-        return [self._search(lattice, drawn, spots[i], int(firsts[i]), int(sizes[i]), seeds[i : i + 1]) for i in range(len(texts))]
+        own = _mix(seeds ^ _U(0xA5A5A5A5A5A5A5A5))
+        values = -np.log(-np.log(_uniform(own, np.zeros(len(own), np.int64))))
+        begun = self._first_siblings(lattice, drawn[0], firsts, sizes, own, values)
+        return [self._search(lattice, drawn, spots[i], int(firsts[i]), int(sizes[i]), own[i : i + 1], float(values[i]), begun[i]) for i in range(len(texts))]
+
+    @staticmethod
+    def _siblings(lattice: Lattice, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The other edges at the nodes of some edges: where in ``some``, and which."""
+        low = lattice.first[lattice.src[some]]
+        ways = lattice.first[lattice.src[some] + 1] - low
+        spot = np.repeat(np.arange(len(some)), ways)
+        other = np.arange(len(spot)) + np.repeat(low - (np.cumsum(ways) - ways), ways)
+        good = (other != some[spot]) & (lattice.chance[other] > 0)
+        return spot[good], other[good]
+
+    def _first_siblings(self, lattice: Lattice, draw: tuple, firsts: np.ndarray, sizes: np.ndarray, own: np.ndarray, values: np.ndarray) -> list:
+        """The siblings of all texts' first samples over their first ``WINDOW`` edges, at once: per text the best of them
+        (value, place in the path, edge, location), and how many numbers were drawn."""
+        edges, ends, logs = draw
+        start, stop = ends[firsts], ends[firsts + sizes]
+        taken = np.minimum(stop - start, WINDOW)
+        text = np.repeat(np.arange(len(sizes)), taken)
+        within = np.arange(len(text)) - np.repeat(np.cumsum(taken) - taken, taken)
+        at = start[text] + within
+        spot, other = self._siblings(lattice, edges[at])
+        owner = text[spot]
+        count = np.bincount(owner, minlength=len(sizes))
+        turn = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
+        phi = logs[at[spot]] - logs[start[owner]] + lattice.log_chance[other]
+        v = _truncated(phi, values[owner], _uniform(own[owner], turn + 1))
+        order = np.lexsort((-v, owner))
+        rank = np.arange(len(order)) - (np.cumsum(count) - count)[owner[order]]
+        out: list = [([], int(c)) for c in count]
+        for j in order[rank < self.samples].tolist():
+            out[owner[j]][0].append((-float(v[j]), int(within[spot[j]]), int(other[j]), float(phi[j])))
+        return out
 
-    def _search(self, lattice: Lattice, drawn: list, words: np.ndarray, first: int, n: int, seed: np.ndarray) -> list:
+    def _search(self, lattice: Lattice, drawn: list, words: np.ndarray, first: int, n: int, own: np.ndarray, value: float, begun: tuple) -> list:
         """A* over one text: the best completion of the best open prefix is the next sample."""
-        used = 0
-        own = _mix(seed ^ _U(0xA5A5A5A5A5A5A5A5))
+        best, used = begun
+        used += 1
+        queue: list = []
+        done: list = []
 
         def uniforms(n: int) -> np.ndarray:
             nonlocal used
             used += n
             return _uniform(own, np.arange(used - n, used))
 
-        def uniform() -> float:
-            return float(uniforms(1)[0])
-
-        value = -math.log(-math.log(uniform()))
-        queue: list = []
-        done: list = []
-
-        def finish(prefix_edges: list[int], word: int, place: int, log: float, value: float, k: int) -> None:
-            """Complete a prefix that ends at ``place`` of word number ``word``, and queue the siblings of its completion."""
-            head = list(prefix_edges)
-            if n and word < n and place != lattice.start[words[word]]:
-                while lattice.left[place] > 0:
-                    a, b = lattice.first[place], lattice.first[place + 1]
-                    u = uniform()
-                    e = int(a + np.searchsorted(lattice.until[a:b], u))
-                    head.append(e)
-                    place = int(lattice.dst[e])
-                word += 1
-            edges, ends, logs = drawn[k]
-            a, b = (ends[first + word], ends[first + n]) if word < n else (0, 0)
-            path = np.concatenate([np.array(head, np.int64), edges[a:b]]) if head else edges[a:b]
-            total = float(lattice.log_chance[head].sum()) + float(logs[b] - logs[a])
-            done.append((path, total, value))
-            # siblings along the path, from the end of the given prefix on, window by window; only the best can be needed
+        def expand(path: np.ndarray, at: int, log: float, value: float) -> None:
+            """Queue the siblings along a path from ``at`` on, window by window; only the best can be needed."""
             need = self.samples + 1 - len(done)
-            at, size = len(prefix_edges), 192
+            size = WINDOW // 2
             while at < len(path):
+                kth = -heapq.nsmallest(need, queue)[-1][0] if len(queue) >= need else -math.inf
+                if log + NOISE < kth:
+                    break
                 some = path[at : at + size]
                 sure = lattice.log_chance[some]
-                here = log + np.cumsum(sure) - sure
-                low = lattice.first[lattice.src[some]]
-                ways = lattice.first[lattice.src[some] + 1] - low
-                spot = np.repeat(np.arange(len(some)), ways)
-                other = np.arange(len(spot)) + np.repeat(low - (np.cumsum(ways) - ways), ways)
-                good = (other != some[spot]) & (lattice.chance[other] > 0)
-                spot, other = spot[good], other[good]
+                here = log + np.cumsum(sure, dtype=np.float64) - sure
+                spot, other = self._siblings(lattice, some)
                 if len(other):
                     phi = here[spot] + lattice.log_chance[other]
                     v = _truncated(phi, value, uniforms(len(phi)))
                     for j in np.argsort(-v)[:need].tolist():
                         heapq.heappush(queue, (-float(v[j]), len(queue), path, at + int(spot[j]), int(other[j]), float(phi[j])))
                 log = float(here[-1] + sure[-1])
-                kth = -heapq.nsmallest(need, queue)[-1][0] if len(queue) >= need else -math.inf
-                if log + NOISE < kth:
-                    break
                 at += size
                 size *= 2
 
-        finish([], 0, int(lattice.start[words[0]]) if n else 0, 0.0, value, 0)
+        edges, ends, logs = drawn[0]
+        a, b = int(ends[first]), int(ends[first + n])
+        path = edges[a:b]
+        done.append((path, float(logs[b] - logs[a]), value))
+        for k, (v, i, other, phi) in enumerate(best):
+            heapq.heappush(queue, (v, k, path, i, other, phi))
+        at = min(WINDOW, b - a)
+        expand(path, at, float(logs[a + at] - logs[a]), value)
         while queue and len(done) < self.samples:
             v, _, path, i, other, phi = heapq.heappop(queue)
+            head = [*path[:i].tolist(), other]
             word = int((lattice.left[lattice.dst[path[:i]]] == 0).sum())
             place = int(lattice.dst[other])
-            ended = lattice.left[place] == 0
-            finish([*path[:i].tolist(), other], word + int(ended), int(lattice.start[words[word + 1]]) if ended and word + 1 < n else place, phi, -v, len(done))
+            while lattice.left[place] > 0:  # the rest of the word that the prefix ends in
+                low, high = lattice.first[place], lattice.first[place + 1]
+                e = int(low + np.searchsorted(lattice.until[low:high], float(uniforms(1)[0])))
+                head.append(e)
+                place = int(lattice.dst[e])
+            word += 1
+            edges, ends, logs = drawn[len(done)]
+            a, b = int(ends[first + word]), int(ends[first + n])
+            new = np.concatenate([np.array(head, np.int64), edges[a:b]])
+            done.append((new, float(lattice.log_chance[head].sum(dtype=np.float64) + logs[b] - logs[a]), -v))
+            expand(new, i + 1, phi, -v)
         kappa = -queue[0][0] if queue else -math.inf
         out = []
         for path, total, value in done:
@@ -386,9 +471,9 @@ class Sampler:
 
     def _ids(self, lattice: Lattice, path: np.ndarray) -> np.ndarray:
         ids = lattice.ident[path]
+        if not lattice.lone:
+            return ids
         odd = np.flatnonzero(ids < 0)
-        if not len(odd):
-            return ids.astype(np.int32)
         parts, at = [], 0
         for i in odd.tolist():
             parts += [ids[at:i], self.pieces.byte_id[np.frombuffer(chr(-1 - int(ids[i])).encode("utf-8", "surrogatepass"), np.uint8)]]
@@ -414,7 +499,9 @@ def sampled(docs: DataFrame, path: str, samples: int = SAMPLES, id_col: str = "d
                 rows = [(i, k, *s) for i, ss in enumerate(got) for k, s in enumerate(ss)]
                 index, rank, ids, logs, values, inclusions = zip(*rows)
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                same = [b"".join(map(sampler.pieces.decoded.__getitem__, x.tolist())) == (b" " + (raws[i] or b"") if raws[i] else b"") for i, x in zip(index, ids)]
+                raw, bounds = sampler.pieces.decode_all(np.concatenate(ids))
+                raw = raw.tobytes()
+                same = [raw[x:y] == (b" " + raws[i] if raws[i] else b"") for i, x, y in zip(index, bounds[ends[:-1]].tolist(), bounds[ends[1:]].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).take(pa.array(index)), pa.array(rank, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.array(np.diff(ends).astype(np.int64)),

@@ -31,7 +31,7 @@ FLOOR = 0.4
 LANDMARKS = 64
 COMMON = 4
 #: Bounds of labelled rows that are learned from: toxic and clean.
-FIT_ROWS = (2500, 5000)
+FIT_ROWS = (2000, 3500)
 CUT = 0.3
 _OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 #: Stand-ins for letters, put back before comparing.
