@@ -1,0 +1,60 @@
+"""Blocks with halos: one exchange puts each block and what surrounds it into one partition.
+
+The raster's edge pixels are repeated beyond the edge (or left out), so that windows inside a block need no cases. Windows by row
+and by column of a block both find the rows partitioned by block already.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..plans.header import Header
+
+BLOCK = 256
+
+
+def _places(axis: str, size: int, halo: int, block: int, repeat: bool) -> Column:
+    """Where a pixel stands along one axis: structs of place and block. Most pixels stand in their own block only."""
+    at = F.col(axis)
+    places = F.array(at)
+    if repeat and halo:
+        steps = [F.lit(k) for k in range(1, halo + 1)]
+        places = F.concat(
+            places,
+            F.when(at == 0, F.array(*[-k for k in steps])).otherwise(F.array().cast("array<int>")),
+            F.when(at == size - 1, F.array(*[at + k for k in steps])).otherwise(F.array().cast("array<int>")),
+        )
+    top = (size - 1) // block
+
+    def blocks(p: Column) -> Column:
+        first = F.greatest(F.floor((p - halo) / block).cast("int"), F.lit(0))
+        last = F.least(F.floor((p + halo) / block).cast("int"), F.lit(top))
+        return F.transform(F.sequence(first, last), lambda b: F.struct(p.alias("p"), b.alias("b")))
+
+    return F.flatten(F.transform(places, blocks))
+
+
+def with_halo(pixels: DataFrame, header: Header, halo: int, block: int = BLOCK, repeat: bool = True) -> DataFrame:
+    """Pixels by block (``by``, ``bx``), halos included, partitioned by block; ``y`` and ``x`` may lie beyond the raster."""
+    block = max(block, halo)
+    rest = [c for c in pixels.columns if c not in ("y", "x")]
+    down = pixels.select("y", "x", *rest, F.explode(_places("y", header.height, halo, block, repeat)).alias("_v"))
+    both = down.select("x", *rest, "_v", F.explode(_places("x", header.width, halo, block, repeat)).alias("_h"))
+    out = both.select(F.col("_v.b").alias("by"), F.col("_h.b").alias("bx"), F.col("_v.p").alias("y"), F.col("_h.p").alias("x"), *rest)
+    return out.repartition("by", "bx")
+
+
+def core(blocks: DataFrame, header: Header, halo: int, block: int = BLOCK) -> DataFrame:
+    """Only the pixels of each block's own."""
+    block = max(block, halo)
+    own = (F.floor(F.col("y") / block) == F.col("by")) & (F.floor(F.col("x") / block) == F.col("bx"))
+    return blocks.where(own & F.col("y").between(0, header.height - 1) & F.col("x").between(0, header.width - 1))
+
+
+def along_row() -> Window:
+    return Window.partitionBy("by", "bx", "y").orderBy("x")
+
+
+def along_column() -> Window:
+    return Window.partitionBy("by", "bx", "x").orderBy("y")
