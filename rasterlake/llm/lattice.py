@@ -37,9 +37,9 @@ LONG_WORD = 100
 #: -log(-log(u)) of the largest number drawn, 1 - 2**-33, is less than this.
 NOISE = 22.9
 #: Edges of a path whose siblings are looked at together.
-WINDOW = 192
+WINDOW = 128
 #: Characters of the texts whose lattices are held at once (one longer text is held alone).
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 800_000
 _U = np.uint64
 
 
@@ -143,20 +143,22 @@ class Pieces:
 
 
 def words_of(text: str) -> list[str]:
-    """The lattice's words: runs of blanks with the characters after them, of the text with a blank before it."""
+    """The lattice's words: runs of blanks with the characters after them, of the text with a blank before it. The first blank of
+    each is left out here (``Lattice`` puts it back), the others are written as pieces have them."""
     if not text:
         return []
     parts = text.split(" ")
     if "" not in parts:
-        return ["▁" + p for p in parts]
+        return parts
     out, blanks = [], ""
     for p in parts:
-        blanks += "▁"
         if p:
             out.append(blanks + p)
             blanks = ""
+        else:
+            blanks += "▁"
     if blanks:
-        out.append(blanks)
+        out.append(blanks[1:])
     return out
 
 
@@ -165,8 +167,8 @@ class Lattice:
 
     def __init__(self, pieces: Pieces, words: list[str]):
         self.pieces = pieces
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        flat = np.frombuffer(("▁" + "\0▁".join(words) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
         self.start = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
         self.end = self.start + sizes
         n = len(flat)
@@ -278,19 +280,22 @@ class Lattice:
             live = live[self.left[place[live]] > 0]
         if not steps:
             return np.zeros(0, np.int64), np.zeros(n, np.int64)
-        rows_, steps_ = np.concatenate(rows), np.concatenate(steps)
-        counts = np.bincount(rows_, minlength=n)
-        first = np.cumsum(counts) - counts
-        out = np.empty(len(steps_), np.int64)
-        turn = np.concatenate([np.full(len(r), k) for k, r in enumerate(rows)])
-        out[first[rows_] + turn] = steps_
+        counts = np.zeros(n, np.int64)
+        for live in rows:
+            counts[live] += 1
+        spot = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.int64)
+        for live, e in zip(rows, steps):
+            at = spot[live]
+            out[at] = e
+            spot[live] = at + 1
         return out, counts
 
 
 class Growing(Lattice):
     """Lattices of all words met so far, up to a bound (then it starts anew): words that come again are not worked out again."""
 
-    NODES, EDGES, BLOCK = 3_000_000, 6_500_000, 8192
+    NODES, EDGES, BLOCK = 2_000_000, 4_200_000, 8192
     KINDS = {"src": np.int32, "dst": np.int32, "ident": np.int32, "chance": np.float32, "until": np.float32, "log_chance": np.float32}
 
     def __init__(self, pieces: Pieces):
@@ -308,12 +313,12 @@ class Growing(Lattice):
     def learn(self, words: list[list[str]]) -> list[np.ndarray]:
         """The numbers of the words of some texts; words that are new are worked out, block by block."""
         new = set().union(*words).difference(self.number)
-        nodes = sum(map(len, new)) + len(new)
+        nodes = sum(map(len, new)) + 2 * len(new)
         if self.n + nodes > len(self.left) or self.edges + 4 * nodes > len(self.src):
             new = set().union(*words)
-            nodes = sum(map(len, new)) + len(new)
+            nodes = sum(map(len, new)) + 2 * len(new)
             self._room(max(self.NODES, nodes), max(self.EDGES, 4 * nodes))
-        fresh = sorted(new)
+        fresh = list(new)
         for at in range(0, len(fresh), self.BLOCK):
             self._add(fresh[at : at + self.BLOCK])
         number = self.number.__getitem__
