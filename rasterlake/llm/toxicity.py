@@ -184,9 +184,14 @@ class Likeness:
         return out
 
 
+def stems(words: set[str]) -> set[str]:
+    """Words and the beginnings (four and five letters) of longer ones, under which inflected forms meet."""
+    return words.union(w[:n] for w in words if len(w) > 6 for n in (4, 5))
+
+
 def pick_landmarks(toxic: list[set[str]], clean: list[set[str]], n: int = LANDMARKS, common: int = COMMON) -> list[str]:
-    """Words by how far their share of toxic texts exceeds that of clean ones, unlike each other; then common words."""
-    t, c = Counter(w for s in toxic for w in s), Counter(w for s in clean for w in s)
+    """Words and stems by how far their share of toxic texts exceeds that of clean ones, unlike each other; then common words."""
+    t, c = Counter(w for s in toxic for w in stems(s)), Counter(w for s in clean for w in stems(s))
     worth = {w: k * np.log(((k + 0.1) / len(toxic)) / ((c[w] + 0.1) / len(clean))) for w, k in t.items() if k >= 3 and len(w) > 2 and k / len(toxic) > 4 * c[w] / len(clean)}
     out: list[str] = []
     ranked = sorted(worth, key=lambda w: (-worth[w], w))[: 4 * n]
