@@ -37,9 +37,9 @@ LONG_WORD = 100
 #: -log(-log(u)) of the largest number drawn, 1 - 2**-33, is less than this.
 NOISE = 22.9
 #: Edges of a path whose siblings are looked at together.
-WINDOW = 128
+WINDOW = 192
 #: Characters of the texts whose lattices are held at once (one longer text is held alone).
-SLICE_CHARS = 800_000
+SLICE_CHARS = 1_000_000
 _U = np.uint64
 
 
@@ -295,7 +295,7 @@ class Lattice:
 class Growing(Lattice):
     """Lattices of all words met so far, up to a bound (then it starts anew): words that come again are not worked out again."""
 
-    NODES, EDGES, BLOCK = 2_000_000, 4_200_000, 8192
+    NODES, EDGES, BLOCK = 2_600_000, 5_600_000, 8192
     KINDS = {"src": np.int32, "dst": np.int32, "ident": np.int32, "chance": np.float32, "until": np.float32, "log_chance": np.float32}
 
     def __init__(self, pieces: Pieces):
@@ -314,10 +314,10 @@ class Growing(Lattice):
         """The numbers of the words of some texts; words that are new are worked out, block by block."""
         new = set().union(*words).difference(self.number)
         nodes = sum(map(len, new)) + 2 * len(new)
-        if self.n + nodes > len(self.left) or self.edges + 4 * nodes > len(self.src):
+        if self.n + nodes > len(self.left) or self.edges + 5 * nodes // 2 > len(self.src):
             new = set().union(*words)
             nodes = sum(map(len, new)) + 2 * len(new)
-            self._room(max(self.NODES, nodes), max(self.EDGES, 4 * nodes))
+            self._room(max(self.NODES, nodes), max(self.EDGES, 5 * nodes // 2))
         fresh = list(new)
         for at in range(0, len(fresh), self.BLOCK):
             self._add(fresh[at : at + self.BLOCK])
