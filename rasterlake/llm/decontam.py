@@ -205,3 +205,20 @@ def cleaned(docs: DataFrame, items: DataFrame, min_span: int = 1, max_coverage:
 def query(spark, sf_dir: str) -> DataFrame:
     """All ``documents`` against all of ``benchmark``."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL = r"""
+WITH items AS (SELECT DISTINCT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+win AS (SELECT DISTINCT item, least(len(ws), 10) AS n, array_to_string(ws[i : i + least(len(ws), 10) - 1], ' ') AS w FROM (SELECT *, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS i FROM items WHERE len(ws) > 0)),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+pos AS (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM docs),
+runs AS (SELECT rid, i, n, array_to_string(ws[i : i + n - 1], ' ') AS w FROM pos, (SELECT DISTINCT n FROM win) WHERE i + n - 1 <= len(ws)),
+hits AS (SELECT rid, i, n, item FROM runs JOIN win USING (n, w)),
+cover AS (SELECT DISTINCT rid, unnest(range(i, i + n)) AS p FROM hits),
+island AS (SELECT rid, p, p - row_number() OVER (PARTITION BY rid ORDER BY p) AS g FROM cover),
+span AS (SELECT rid, min(p) - 1 AS a, max(p) AS b, count(*) AS c FROM island GROUP BY rid, g),
+found AS (SELECT rid, sum(c)::BIGINT AS n_hit, string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM span GROUP BY rid),
+named AS (SELECT rid, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS digest FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN found USING (rid) LEFT JOIN named USING (rid)
+"""

@@ -18,4 +18,4 @@ QUERIES = {
 }
 
 #: Where SQL can say the same over whole tables.
-ORACLE_SQL = {"op10_quality_rules": quality_rules.ORACLE_SQL}
+ORACLE_SQL = {"op2_warc": warc.ORACLE_SQL, "op8_decontamination": decontam.ORACLE_SQL, "op10_quality_rules": quality_rules.ORACLE_SQL}

@@ -256,3 +256,12 @@ def round_trip(spark: SparkSession, pages: DataFrame, folder: str | None = None)
 def query(spark, sf_dir: str) -> DataFrame:
     """All ``pages``."""
     return round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+ORACLE_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f FROM pages),
+b AS (SELECT *, list_transform(range(0, 4), lambda k: ('0x' || x[k * 10 + 1 : k * 10 + 10])::BIGINT) AS words FROM p)
+SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((words[i // 8 + 1] >> (35 - 5 * (i % 8))) & 31) + 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN f IS NULL OR page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN f IS NULL OR page_id = f THEN NULL ELSE f END AS refers_to FROM b
+"""
