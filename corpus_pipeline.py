@@ -34,7 +34,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of each document."""
     import public_tokenizers
 
-    return lattice.sampled(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    # workers of the stages before may still hold memory
+    return lattice.sampled(docs, public_tokenizers.path("piece_bpe_32k.model"), room=0.25)
 
 
 STAGES = [

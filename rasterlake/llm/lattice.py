@@ -298,8 +298,9 @@ class Growing(Lattice):
     NODES, EDGES, BLOCK = 2_600_000, 5_600_000, 8192
     KINDS = {"src": np.int32, "dst": np.int32, "ident": np.int32, "chance": np.float32, "until": np.float32, "log_chance": np.float32}
 
-    def __init__(self, pieces: Pieces):
+    def __init__(self, pieces: Pieces, room: float = 1.0):
         self.pieces = pieces
+        self.NODES, self.EDGES = int(self.NODES * room), int(self.EDGES * room)
         self._room(self.NODES, self.EDGES)
 
     def _room(self, nodes: int, edges: int) -> None:
@@ -348,9 +349,9 @@ def _truncated(phi: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
 class Sampler:
     """Samples of whole texts."""
 
-    def __init__(self, pieces: Pieces, samples: int = SAMPLES):
+    def __init__(self, pieces: Pieces, samples: int = SAMPLES, room: float = 1.0):
         self.pieces, self.samples = pieces, samples
-        self.lattice = Growing(pieces)
+        self.lattice = Growing(pieces, room)
 
     def many(self, keys: list, texts: list[str | None]) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text its samples: ids, log-probability, perturbed value, log inclusion score; largest value first."""
@@ -486,15 +487,17 @@ class Sampler:
         return np.concatenate([*parts, ids[at:]]).astype(np.int32)
 
 
-def sampled(docs: DataFrame, path: str, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row a sample: ``sample`` (0 on), ``ids``, ``n_pieces``, ``log_prob``, ``value``, ``log_inclusion``, ``decodes`` (to the text)."""
+def sampled(docs: DataFrame, path: str, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text", room: float = 1.0) -> DataFrame:
+    """``room`` scales what a worker holds (words known, text at once): less memory, more work, the same samples.
+
+    A row a sample: ``sample`` (0 on), ``ids``, ``n_pieces``, ``log_prob``, ``value``, ``log_inclusion``, ``decodes`` (to the text)."""
     id_type = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        sampler = Sampler(Pieces(path), samples)
+        sampler = Sampler(Pieces(path), samples, room)
         for batch in batches:
             total = np.cumsum([len(x or b"") for x in as_bytes(batch.column(1))])
-            cuts = [0, *(np.flatnonzero(np.diff(total // SLICE_CHARS)) + 1).tolist(), batch.num_rows]
+            cuts = [0, *(np.flatnonzero(np.diff(total // max(1, int(SLICE_CHARS * room)))) + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts, cuts[1:]):
                 part = batch.slice(a, b - a)
                 if a == b:
