@@ -17,6 +17,7 @@ are ignored; rows are independent.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 
@@ -142,6 +143,12 @@ class Pieces:
         return raw[1:].decode("utf-8", "replace")
 
 
+@functools.lru_cache(maxsize=1)
+def loaded(path: str) -> Pieces:
+    """The vocabulary of a file, kept by a worker for its next tasks."""
+    return Pieces(path)
+
+
 def words_of(text: str) -> list[str]:
     """The lattice's words: runs of blanks with the characters after them, of the text with a blank before it. The first blank of
     each is left out here (``Lattice`` puts it back), the others are written as pieces have them."""
@@ -494,7 +501,7 @@ def sampled(docs: DataFrame, path: str, samples: int = SAMPLES, id_col: str = "d
     id_type = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        sampler = Sampler(Pieces(path), samples, room)
+        sampler = Sampler(loaded(path), samples, room)
         for batch in batches:
             total = np.cumsum([len(x or b"") for x in as_bytes(batch.column(1))])
             cuts = [0, *(np.flatnonzero(np.diff(total // max(1, int(SLICE_CHARS * room)))) + 1).tolist(), batch.num_rows]
@@ -527,7 +534,7 @@ def decoded(samples: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 
     @F.pandas_udf("string")
     def text_of(column):
-        pieces = Pieces(path)
+        pieces = loaded(path)
         return column.map(lambda x: None if x is None else pieces.decode(x))
 
     return samples.withColumn("text", text_of(F.col(ids_col)))
