@@ -81,6 +81,7 @@ class Pieces:
             self.decoded[i] = self.text[i].replace("▁", " ").encode()
         for b, i in enumerate(self.byte_id):
             self.decoded[i] = bytes([b])
+        self.decoded_column = pa.array(self.decoded, pa.binary())
         letters = sorted({c for i in plain for c in self.text[i]})
         self.code = np.zeros(0x110000, np.int32)
         self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
@@ -129,13 +130,10 @@ class Pieces:
 
     def decode_all(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Decoded bytes of many ids in a row, and where each id's bytes begin (and the end)."""
-        if not hasattr(self, "_blob"):
-            sizes = np.array([len(x) for x in self.decoded], np.int64)
-            self._blob = np.frombuffer(b"".join(self.decoded), np.uint8)
-            self._size, self._from = sizes, np.cumsum(sizes) - sizes
-        sizes = self._size[ids]
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        return self._blob[np.repeat(self._from[ids] - ends[:-1], sizes) + np.arange(ends[-1])], ends
+        got = self.decoded_column.take(pa.array(ids))
+        _, ends, raw = got.buffers()
+        ends = np.frombuffer(ends, np.int32)[got.offset : got.offset + len(got) + 1]
+        return np.frombuffer(raw or b"", np.uint8), ends
 
     def decode(self, ids) -> str:
         """The text of a segmentation (without the blank put before the text)."""
@@ -514,12 +512,13 @@ def sampled(docs: DataFrame, path: str, samples: int = SAMPLES, id_col: str = "d
                 rows = [(i, k, *s) for i, ss in enumerate(got) for k, s in enumerate(ss)]
                 index, rank, ids, logs, values, inclusions = zip(*rows)
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                raw, bounds = sampler.pieces.decode_all(np.concatenate(ids))
+                flat = np.concatenate(ids)
+                raw, bounds = sampler.pieces.decode_all(flat)
                 raw = raw.tobytes()
                 same = [raw[x:y] == (b" " + raws[i] if raws[i] else b"") for i, x, y in zip(index, bounds[ends[:-1]].tolist(), bounds[ends[1:]].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0).take(pa.array(index)), pa.array(rank, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.array(np.diff(ends).astype(np.int64)),
+                        part.column(0).take(pa.array(index)), pa.array(rank, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(np.diff(ends).astype(np.int64)),
                         pa.array(logs, pa.float64()), pa.array(values, pa.float64()), pa.array(inclusions, pa.float64()), pa.array(same),
                     ],
                     names=[id_col, "sample", "ids", "n_pieces", "log_prob", "value", "log_inclusion", "decodes"],
