@@ -140,17 +140,15 @@ def cutoffs(measured: DataFrame, labels: DataFrame, m: str, id_expr: Column, str
     good = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_q")).where("_q = 1 and _id is not null").select("_id")
     held = measured.select(id_expr.alias("_id"), stratum.alias("stratum"), *[r.alias(k) for k, r in ratios(m).items()]).join(good, "_id")
     counts = [F.count("*").alias("n")] + [F.count_if(F.col(k) > c).alias(f"{k}_{i}") for k, grid in GRID.items() for i, c in enumerate(grid)]
-    by = held.groupBy("stratum").agg(*counts)
-    strata = by.agg(F.count("*").alias("strata"))
-    tests = sum(map(len, GRID.values()))
+    by = stored(held.groupBy("stratum").agg(*counts), "strata")
+    tests = by.count() * sum(map(len, GRID.values()))
     each = risk / len(GRID)
-    limit = F.lit(delta) / (F.col("strata") * tests)
+    limit = F.lit(delta / max(tests, 1))
     lowest = []
     for k, grid in GRID.items():
         certified = [F.when(binomial_tail(F.col("n"), F.col(f"{k}_{i}"), each) <= limit, F.lit(c)) for i, c in enumerate(grid)]
         lowest.append(F.least(*certified).alias(k))
-    # one row of one column: the number of strata
-    return by.join(F.broadcast(strata), how="inner", on=F.lit(True)).select("stratum", *lowest)
+    return by.select("stratum", *lowest)
 
 
 def _rejected(m: str, prefix: str) -> Column:
