@@ -371,17 +371,39 @@ class Sampler:
         flat = np.concatenate(spots)
         owner = np.repeat(np.arange(len(texts)), sizes)
         within = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        drawn = []
-        for k in range(self.samples):
-            seed = _mix(_mix(seeds + _U(k + 1))[owner] + within.astype(np.uint64))
-            edges, counts = lattice.draw(lattice.start[flat], seed)
-            ends = np.concatenate(([0], np.cumsum(counts)))
-            drawn.append((edges, ends, np.concatenate(([0], np.cumsum(lattice.log_chance[edges], dtype=np.float64)))))
         firsts = np.cumsum(sizes) - sizes
+
+        def draw(k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The ``k``-th draw of the words at ``at``: edges, where those of each word begin (and the end), sums of logarithms."""
+            seed = _mix(_mix(seeds + _U(k + 1))[owner[at]] + within[at].astype(np.uint64))
+            edges, steps = lattice.draw(lattice.start[flat[at]], seed)
+            ends = np.concatenate(([0], np.cumsum(steps)))
+            return edges, ends, np.concatenate(([0], np.cumsum(lattice.log_chance[edges], dtype=np.float64)))
+
+        first = draw(0, np.arange(len(flat)))
         own = _mix(seeds ^ _U(0xA5A5A5A5A5A5A5A5))
         values = -np.log(-np.log(_uniform(own, np.zeros(len(own), np.int64))))
-        begun = self._first_siblings(lattice, drawn[0], firsts, sizes, own, values)
-        return [self._search(lattice, drawn, spots[i], int(firsts[i]), int(sizes[i]), own[i : i + 1], float(values[i]), begun[i]) for i in range(len(texts))]
+        begun = self._first_siblings(lattice, first, firsts, sizes, own, values)
+        searches = [self._search(lattice, first, int(firsts[i]), int(sizes[i]), own[i : i + 1], float(values[i]), begun[i]) for i in range(len(texts))]
+        out: list = [None] * len(texts)
+        replies: dict = dict.fromkeys(range(len(texts)))
+        for k in range(1, self.samples + 1):  # all texts' next samples at once, drawn from where they leave known paths
+            asked, words = [], []
+            for i, reply in replies.items():
+                try:
+                    words.append(searches[i].send(reply))
+                    asked.append(i)
+                except StopIteration as end:
+                    out[i] = end.value
+            if not asked:
+                break
+            left = sizes[asked] - np.array(words)
+            cuts = np.concatenate(([0], np.cumsum(left)))
+            at = np.arange(cuts[-1]) + np.repeat((firsts[asked] + np.array(words)) - cuts[:-1], left)
+            edges, ends, logs = draw(k, at)
+            bounds = ends[cuts].tolist()
+            replies = {i: (edges[a:b], float(logs[b] - logs[a])) for i, a, b in zip(asked, bounds[:-1], bounds[1:])}
+        return out
 
     @staticmethod
     def _siblings(lattice: Lattice, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -415,8 +437,9 @@ class Sampler:
             out[owner[j]][0].append((-float(v[j]), int(within[spot[j]]), int(other[j]), float(phi[j])))
         return out
 
-    def _search(self, lattice: Lattice, drawn: list, words: np.ndarray, first: int, n: int, own: np.ndarray, value: float, begun: tuple) -> list:
-        """A* over one text: the best completion of the best open prefix is the next sample."""
+    def _search(self, lattice: Lattice, drawn: tuple, first: int, n: int, own: np.ndarray, value: float, begun: tuple):
+        """A* over one text: the best completion of the best open prefix is the next sample. Yields the word from which on the
+        next sample is to be drawn, is sent its edges and their logarithm, and returns the samples."""
         best, used = begun
         used += 1
         queue: list = []
@@ -448,7 +471,7 @@ class Sampler:
                 at += size
                 size *= 2
 
-        edges, ends, logs = drawn[0]
+        edges, ends, logs = drawn
         a, b = int(ends[first]), int(ends[first + n])
         path = edges[a:b]
         done.append((path, float(logs[b] - logs[a]), value))
@@ -467,10 +490,9 @@ class Sampler:
                 head.append(e)
                 place = int(lattice.dst[e])
             word += 1
-            edges, ends, logs = drawn[len(done)]
-            a, b = int(ends[first + word]), int(ends[first + n])
-            new = np.concatenate([np.array(head, np.int64), edges[a:b]])
-            done.append((new, float(lattice.log_chance[head].sum(dtype=np.float64) + logs[b] - logs[a]), -v))
+            rest, sure = yield word
+            new = np.concatenate([np.array(head, np.int64), rest])
+            done.append((new, float(lattice.log_chance[head].sum(dtype=np.float64)) + sure, -v))
             expand(new, i + 1, phi, -v)
         kappa = -queue[0][0] if queue else -math.inf
         out = []
