@@ -2,9 +2,11 @@
 
 Texts are cut into chunks of about ``CHUNK_TOKENS`` tokens, held as numbers into the chunk's sorted word keys (64-bit hashes).
 Two exchanges follow, both of packed arrays by ranges of keys: each chunk asks for the corpus counts of its words and gets them
-back, and each chunk's training pairs are summed. Pairs seen ``MIN_COUNT`` times or more go into a Bloom filter: a pair whose
-count has the quantised logarithm q is entered as (pair, 1) to (pair, q), so that probing levels until one is missing recovers q.
-The filter's size is bounded (``MAX_BITS``); if the entries need more, the lowest level that is entered rises until they fit.
+back, and each chunk asks for its pairs' levels, telling how often it has them in training. Pairs seen ``MIN_COUNT`` times or more
+go into a Bloom filter, a segment a range: a pair whose count has the quantised logarithm q is entered as (pair, 1) to (pair, q),
+so that probing levels until one is missing recovers q. Each segment is as large as its range's entries need (``ENTRY_BITS`` each)
+and is probed where it is made, for all chunks' pairs of the range, so that the filter grows with the corpus and no process holds
+more of it than a segment.
 A word's probability mixes the pair's share, from the filter, with the word's own.
 
 Lower-cased (A-Z) words, then one end token a text. ``base_score`` is the sum of log10((c + 0.5) / (N + 0.5 (V + 1))).
@@ -32,8 +34,7 @@ CHUNK_TOKENS = 500_000
 RANGE_CHARS = 8_000_000
 MAX_RANGES = 65_536
 MIN_COUNT = 2
-MAX_BITS = 1 << 28
-ENTRY_BITS = 12
+ENTRY_BITS = 15
 PROBES = 4
 PAIR_WEIGHT = 0.5
 _END = b" "  # no word holds a blank
@@ -68,11 +69,6 @@ def _unpack5(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _entry(keys: np.ndarray, ranges: np.ndarray) -> np.ndarray:
-    """What the filter knows of a pair: its range and the low 40 bits of its key."""
-    return (ranges << _U(40)) | (keys & _U((1 << 40) - 1))
-
-
 class Chunk:
     """Texts as numbers into sorted word keys."""
 
@@ -210,55 +206,72 @@ def word_counts(chunks: DataFrame, ranges: int) -> DataFrame:
     return _by_range(asked, answer, "chunk long, range long, counts binary")
 
 
-def pair_counts(chunks: DataFrame, ranges: int, min_count: int = MIN_COUNT) -> DataFrame:
-    """Training pairs seen ``min_count`` times or more: ``range``, packed ``entries`` and ``levels`` (quantised logarithms of counts)."""
+def pair_levels(chunks: DataFrame, ranges: int, min_count: int = MIN_COUNT) -> DataFrame:
+    """Answers to the chunks: ``chunk``, ``range``, ``levels`` (of its pairs in that range by key, as the filter has them)."""
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for body in batch.column(0).to_pylist():
+            for number, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 c = Chunk.unpacked(body)
                 a, b, inner = c.pairs()
-                inner &= np.repeat(c.training, c.sizes)
-                both, n = np.unique(a[inner].astype(np.int64) * len(c.keys) + b[inner], return_counts=True)
+                held = ~np.repeat(c.training, c.sizes)[inner]
+                both, n = np.unique((a[inner].astype(np.int64) * len(c.keys) + b[inner]) << 1 | held, return_counts=True)
+                n[both & 1 == 1] = 0
+                both >>= 1
+                first = np.flatnonzero(np.diff(both, prepend=-1))
+                both, n = both[first], np.add.reduceat(n, first) if len(n) else n
                 keys = pair_keys(c.keys[both // len(c.keys)], c.keys[both % len(c.keys)])
                 order = np.argsort(keys)
                 keys, n = keys[order], n[order].astype(np.uint32)
                 cuts = np.searchsorted(_ranges_of(keys, ranges), np.arange(ranges + 1).astype(np.uint64))
                 full = np.flatnonzero(np.diff(cuts))
-                once, more, counts = [], [], []
+                packed, small, large = [], [], []
                 for r in full:
                     k, m = keys[cuts[r] : cuts[r + 1]], n[cuts[r] : cuts[r + 1]]
-                    once.append(_pack5(k[m == 1]))
-                    more.append(_pack5(k[m > 1]))
-                    counts.append(m[m > 1].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(once, pa.binary()), pa.array(more, pa.binary()), pa.array(counts, pa.binary())], names=["range", "once", "more", "counts"])
-
-    def total(r: int, rows: list) -> pa.RecordBatch:
-        once = [_unpack5(x) for x, _, _ in rows]
-        keys = np.concatenate([*once, *[_unpack5(x) for _, x, _ in rows]])
-        n = np.concatenate([np.ones(sum(map(len, once))), *[np.frombuffer(x, np.uint32) for _, _, x in rows]])
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        first = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1)) if len(keys) else np.zeros(0, int)
-        n = np.add.reduceat(n, first) if len(keys) else n
-        keep = n >= min_count
-        entries = keys[first][keep] | _U(int(r) << 40)
-        levels = (np.floor(np.log2(np.maximum(n[keep] / min_count, 1))) + 1).astype(np.uint8)
-        return pa.RecordBatch.from_arrays([pa.array([r]), pa.array([entries.tobytes()], pa.binary()), pa.array([levels.tobytes()], pa.binary())], names=["range", "entries", "levels"])
+                    packed.append(_pack5(k))
+                    small.append(np.minimum(m, 255).astype(np.uint8).tobytes())
+                    large.append(m[m >= 255].tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(full), pa.array(np.full(len(full), number)), pa.array(packed, pa.binary()), pa.array(small, pa.binary()), pa.array(large, pa.binary())], names=["range", "chunk", "keys", "small", "large"]
+                )
 
-    sent = chunks.select("body").mapInArrow(send, "range long, once binary, more binary, counts binary")
-    return _by_range(sent, total, "range long, entries binary, levels binary")
+    def answer(r: int, rows: list) -> pa.RecordBatch:
+        import zstandard
+
+        n = np.frombuffer(b"".join(x for _, _, x, _ in rows), np.uint8).astype(np.int64)
+        n[n == 255] = np.frombuffer(b"".join(x for _, _, _, x in rows), np.uint32)
+        keys, where = np.unique(_unpack5(b"".join(k for _, k, _, _ in rows)), return_inverse=True)
+        back = LogFilter.of(keys, np.bincount(where, n), min_count).levels(keys)[where]
+        ends = np.cumsum([len(x) for _, _, x, _ in rows])
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        levels = [squeeze(back[e - len(x) : e].tobytes()) for e, (_, _, x, _) in zip(ends, rows)]
+        return pa.RecordBatch.from_arrays([pa.array([c for c, _, _, _ in rows]), pa.array(np.full(len(rows), r)), pa.array(levels, pa.binary())], names=["chunk", "range", "levels"])
+
+    asked = chunks.select("chunk", "body").mapInArrow(ask, "range long, chunk long, keys binary, small binary, large binary")
+    return _by_range(asked, answer, "chunk long, range long, levels binary")
 
 
 class LogFilter:
-    """Bit segments by range; an entry of level q answers at levels ``floor`` to q."""
+    """A segment of the filter; an entry of level q answers at levels ``floor`` to q."""
 
     def __init__(self, bits: np.ndarray, segment: int, floor: int, min_count: int):
         self.bits, self.segment, self.floor, self.min_count = bits, segment, floor, min_count
 
+    @classmethod
+    def of(cls, entries: np.ndarray, n: np.ndarray, min_count: int) -> LogFilter:
+        """The segment of entries seen ``n`` times, all that are seen ``min_count`` times or more at all their levels."""
+        keep = n >= min_count
+        entries, q = entries[keep], (np.floor(np.log2(n[keep] / min_count)) + 1).astype(np.int64)
+        segment = (max(int(q.sum()) * ENTRY_BITS, 64) + 7) // 8 * 8
+        bits = np.zeros(segment, np.uint8)
+        for level in range(1, int(q.max(initial=0)) + 1):
+            for at in cls.places(entries[q >= level], level, segment):
+                bits[at.astype(np.int64)] = 1
+        return cls(np.packbits(bits, bitorder="little"), segment, 1, min_count)
+
     @staticmethod
     def places(entries: np.ndarray, level: int, segment: int) -> Iterator[np.ndarray]:
-        """Bit places of entries at a level, within their segments; one array a probe."""
+        """Bit places of entries at a level; one array a probe."""
         h = _mix(entries + _U(level * 0x9E3779B97F4A7C15 % (1 << 64)))
         step = (h >> _U(32)) | _U(1)
         for k in range(PROBES):
@@ -271,10 +284,9 @@ class LogFilter:
         level = self.floor
         while len(open_) and level < 64:
             some = entries[open_]
-            base = (some >> _U(40)) * _U(self.segment)
             alive = np.arange(len(some))
             for at in self.places(some, level, self.segment):
-                at = base[alive] + at[alive]
+                at = at[alive]
                 alive = alive[(self.bits[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1]
                 if not len(alive):
                     break
@@ -283,50 +295,15 @@ class LogFilter:
             level += 1
         return out
 
-    def counts(self, entries: np.ndarray) -> np.ndarray:
-        """Estimated counts: the middle (geometric) of a level's span; 0 for level 0."""
-        q = self.levels(entries).astype(float)
-        return np.where(q > 0, self.min_count * np.sqrt(2.0) * 2.0 ** (q - 1), 0.0)
-
-
-def log_filter(pairs: DataFrame, ranges: int, min_count: int = MIN_COUNT, max_bits: int = MAX_BITS) -> LogFilter:
-    """Build the filter: its segments (``max_bits`` together at most) come from the ranges' own tasks."""
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(64, np.int64)
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(x, np.uint8), minlength=64)[:64]
-        yield pa.RecordBatch.from_arrays([pa.array(range(64)), pa.array(total)], names=["level", "n"])
-
-    by_level = np.zeros(64, np.int64)
-    for r in pairs.select("levels").mapInArrow(tally, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():
-        by_level[r.level] = r.n
-    for floor in range(1, 64):
-        entries = sum(int(by_level[q]) * (q - floor + 1) for q in range(floor, 64))
-        if entries * ENTRY_BITS <= max_bits:
-            break
-    segment = (max(entries * ENTRY_BITS * 5 // 4 // ranges, 64) + 7) // 8 * 8
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r, e, q in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                e, q = np.frombuffer(e, np.uint64), np.frombuffer(q, np.uint8)
-                bits = np.zeros(segment, np.uint8)
-                for level in range(floor, int(q.max(initial=0)) + 1):
-                    for at in LogFilter.places(e[q >= level], level, segment):
-                        bits[at.astype(np.int64)] = 1
-                yield pa.RecordBatch.from_arrays([pa.array([r]), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["range", "bits"])
-
-    bits = np.zeros(ranges * segment // 8, np.uint8)
-    for r in pairs.mapInArrow(build, "range long, bits binary").toLocalIterator():
-        bits[r.range * segment // 8 : (r.range + 1) * segment // 8] = np.frombuffer(r.bits, np.uint8)
-    return LogFilter(bits, segment, floor, min_count)
+def level_counts(levels: np.ndarray, min_count: int = MIN_COUNT) -> np.ndarray:
+    """Estimated counts: the middle (geometric) of a level's span; 0 for level 0."""
+    q = levels.astype(float)
+    return np.where(q > 0, min_count * np.sqrt(2.0) * 2.0 ** (q - 1), 0.0)
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per text: ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``."""
-    spark = docs.sparkSession
     id_type = dict(docs.dtypes)[id_col]
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
     ranges = int(min(max(chars // RANGE_CHARS, 32), MAX_RANGES))
@@ -343,18 +320,23 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     n, v = answers.where("chunk = -1").select("counts").mapInArrow(add, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     n, v = n or 0, v or 0
-    model = log_filter(stored(pair_counts(chunks, ranges), "lm-pairs"), ranges)
-    held = spark.sparkContext.broadcast(model)
+    levels = stored(pair_levels(chunks, ranges), "lm-levels")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A chunk's answers come in order of their ranges, its texts after them."""
-        filter_ = held.value
+        import zstandard
+
+        loose = zstandard.ZstdDecompressor().decompress
         counts: list[bytes] = []
+        marks: list[bytes] = []
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for number, r, answer, ids, out, body in zip(*columns):
+            for number, r, answer, mark, ids, out, body in zip(*columns):
                 if body is None:
-                    counts.append(answer)
+                    if answer is not None:
+                        counts.append(answer)
+                    else:
+                        marks.append(loose(mark))
                     continue
                 c = Chunk.unpacked(body)
                 known = np.frombuffer(b"".join(counts), np.uint64).astype(float)
@@ -363,26 +345,32 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 own = (known + 0.5) / (n + 0.5 * (v + 1))
                 a, b, inner = c.pairs()
                 p = own[b]
-                at = np.flatnonzero(inner & (known[a] > 0) & (known[b] > 0))
-                both, where = np.unique(a[at].astype(np.int64) * len(c.keys) + b[at], return_inverse=True)
+                both, where = np.unique(a[inner].astype(np.int64) * len(c.keys) + b[inner], return_inverse=True)
                 x, y = both // len(c.keys), both % len(c.keys)
-                keys = pair_keys(c.keys[x], c.keys[y])
-                share = np.minimum(filter_.counts(_entry(keys, _ranges_of(keys, ranges))) / np.maximum(known[x], 1), 1.0)
+                level = np.frombuffer(b"".join(marks), np.uint8)
+                marks = []
+                assert len(level) == len(both), "a chunk's levels are not complete"
+                share = np.zeros(len(both))
+                share[np.argsort(pair_keys(c.keys[x], c.keys[y]))] = level_counts(level)
+                share = np.where((known[x] > 0) & (known[y] > 0), np.minimum(share / np.maximum(known[x], 1), 1.0), 0.0)
                 mixed = p.copy()
-                seen = np.flatnonzero(inner & (known[a] > 0))
-                mixed[seen] *= 1 - PAIR_WEIGHT
-                mixed[at] += PAIR_WEIGHT * share[where]
+                mixed[inner & (known[a] > 0)] *= 1 - PAIR_WEIGHT
+                mixed[inner] += PAIR_WEIGHT * share[where]
                 first = np.cumsum(c.sizes) - c.sizes
                 sums = [np.add.reduceat(z, first) for z in (np.log10(own)[b], np.log10(mixed), (known > 0)[b].astype(np.int64))]
                 k = len(c.sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, batch.column(3).type.value_type), pa.array(out, pa.bool_()), pa.array(c.sizes), pa.array(sums[2]), pa.array(np.full(k, n, np.int64)), pa.array(sums[0]), pa.array(sums[1])],
+                    [pa.array(ids, batch.column(4).type.value_type), pa.array(out, pa.bool_()), pa.array(c.sizes), pa.array(sums[2]), pa.array(np.full(k, n, np.int64)), pa.array(sums[0]), pa.array(sums[1])],
                     names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
     last = F.lit(1 << 62)
-    rows = answers.where("chunk >= 0").select("chunk", "range", "counts", F.lit(None).cast(f"array<{id_type}>").alias("ids"), F.lit(None).cast("array<boolean>").alias("held"), F.lit(None).cast("binary").alias("body"))
-    rows = rows.unionByName(chunks.select("chunk", last.alias("range"), F.lit(None).cast("binary").alias("counts"), "ids", "held", "body"))
+    none = {"counts": "binary", "levels": "binary", "ids": f"array<{id_type}>", "held": "array<boolean>", "body": "binary"}
+
+    def filled(df: DataFrame) -> DataFrame:
+        return df.select("chunk", "range", *[c if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()])
+
+    rows = filled(answers.where("chunk >= 0")).unionByName(filled(levels)).unionByName(filled(chunks.withColumn("range", last)))
     rows = rows.repartition("chunk").sortWithinPartitions("chunk", "range")
     return rows.mapInArrow(score, f"`{id_col}` {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

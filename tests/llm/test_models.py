@@ -168,3 +168,45 @@ def test_filter_recovers_levels():
     got = filter_.levels(keys)
     assert (got >= levels).all() and (got == levels).mean() > 0.95
     assert (filter_.levels(rng.integers(0, 1 << 40, 4000).astype(np.uint64)) == 0).mean() > 0.95
+
+
+def test_filter_grows_with_the_pairs():
+    """Pairs at their lowest level are found however many there are; no level is left out to save room."""
+    rng = np.random.default_rng(2)
+    for n in (1000, 1_000_000):
+        keys = np.unique(rng.integers(0, 1 << 40, n).astype(np.uint64))
+        seen = np.full(len(keys), 2)
+        filter_ = bloomlm.LogFilter.of(keys, seen, 2)
+        assert filter_.floor == 1 and filter_.segment >= 15 * len(keys)
+        assert (filter_.levels(keys) >= 1).all() and (filter_.levels(keys) == 1).mean() > 0.95
+
+
+def test_pair_levels_are_the_corpus_levels(spark, monkeypatch):
+    """Each chunk gets the levels of its pairs, from training rows of all chunks, in order of their keys."""
+    texts = ["a b c a b", "a b d", "x y z x", "b c b c b c b c", "", "q"]
+    docs = spark.createDataFrame([(k, texts[k % 6]) for k in range(60)], "doc_id long, text string")
+    monkeypatch.setattr(bloomlm, "CHUNK_TOKENS", 20)
+    counts = Counter()
+    for k in range(60):
+        ws = [*texts[k % 6].split(), " "]
+        if zlib.crc32(str(k).encode()) % 5 != 1:
+            counts.update(zip(ws, ws[1:]))
+    import xxhash
+
+    chunks = bloomlm.encoded(docs.coalesce(2)).cache()
+    key = {xxhash.xxh3_64_intdigest(w.encode()): w for w in "abcdxyzq "}
+    import zstandard
+
+    answers = {}
+    for r in bloomlm.pair_levels(chunks, 4).orderBy("chunk", "range").collect():
+        answers.setdefault(r.chunk, b"")
+        answers[r.chunk] += zstandard.ZstdDecompressor().decompress(bytes(r.levels))
+    assert chunks.count() > 4
+    for r in chunks.collect():
+        c = bloomlm.Chunk.unpacked(bytes(r.body))
+        a, b, inner = c.pairs()
+        pairs = sorted({(x, y) for x, y in zip(c.keys[a[inner]].tolist(), c.keys[b[inner]].tolist())}, key=lambda p: int(bloomlm.pair_keys(np.array([p[0]], np.uint64), np.array([p[1]], np.uint64))[0]))
+        want = [counts[key[x], key[y]] for x, y in pairs]
+        got = [*answers.get(r.chunk, b"")]
+        assert len(got) == len(want) and all(g >= w.bit_length() - 1 for g, w in zip(got, want))
+        assert sum(g == w.bit_length() - 1 for g, w in zip(got, want) if w) >= 0.8 * sum(w > 0 for w in want)
