@@ -2,11 +2,11 @@
 
 Texts are cut into chunks of about ``CHUNK_TOKENS`` tokens, held as numbers into the chunk's sorted word keys (64-bit hashes).
 Two exchanges follow, both of packed arrays by ranges of keys: each chunk asks for the corpus counts of its words and gets them
-back, and each chunk asks for its pairs' levels, telling how often it has them in training. Pairs seen ``MIN_COUNT`` times or more
-go into a Bloom filter, a segment a range: a pair whose count has the quantised logarithm q is entered as (pair, 1) to (pair, q),
-so that probing levels until one is missing recovers q. Each segment is as large as its range's entries need (``ENTRY_BITS`` each)
-and is probed where it is made, for all chunks' pairs of the range, so that the filter grows with the corpus and no process holds
-more of it than a segment.
+back, and each chunk asks for its pairs' levels, telling how often it has them in training. Pairs seen ``MIN_COUNT`` times (once)
+or more go into a Bloom filter, a segment a range: a pair whose count has the quantised logarithm q is entered as (pair, 1) to
+(pair, q), so that probing levels until one is missing recovers q. Each segment is as large as its range's entries need
+(``ENTRY_BITS`` each) and is probed where it is made, for all chunks' pairs of the range, so that the filter grows with the corpus
+and no process holds more of it than a segment.
 A word's probability mixes the pair's share, from the filter, with the word's own.
 
 Lower-cased (A-Z) words, then one end token a text. ``base_score`` is the sum of log10((c + 0.5) / (N + 0.5 (V + 1))).
@@ -33,7 +33,7 @@ CHUNK_TOKENS = 500_000
 #: Characters of input for each range of keys.
 RANGE_CHARS = 8_000_000
 MAX_RANGES = 65_536
-MIN_COUNT = 2
+MIN_COUNT = 1
 ENTRY_BITS = 15
 PROBES = 4
 PAIR_WEIGHT = 0.5
@@ -297,9 +297,9 @@ class LogFilter:
 
 
 def level_counts(levels: np.ndarray, min_count: int = MIN_COUNT) -> np.ndarray:
-    """Estimated counts: the middle (geometric) of a level's span; 0 for level 0."""
-    q = levels.astype(float)
-    return np.where(q > 0, min_count * np.sqrt(2.0) * 2.0 ** (q - 1), 0.0)
+    """Estimated counts: the middle (geometric) of the least and the largest count of a level; 0 for level 0."""
+    least = min_count * 2.0 ** (levels.astype(float) - 1)
+    return np.where(levels > 0, np.sqrt(least * (2 * least - 1)), 0.0)
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -198,7 +198,7 @@ def test_pair_levels_are_the_corpus_levels(spark, monkeypatch):
     import zstandard
 
     answers = {}
-    for r in bloomlm.pair_levels(chunks, 4).orderBy("chunk", "range").collect():
+    for r in bloomlm.pair_levels(chunks, 4, 2).orderBy("chunk", "range").collect():
         answers.setdefault(r.chunk, b"")
         answers[r.chunk] += zstandard.ZstdDecompressor().decompress(bytes(r.levels))
     assert chunks.count() > 4
@@ -210,3 +210,15 @@ def test_pair_levels_are_the_corpus_levels(spark, monkeypatch):
         got = [*answers.get(r.chunk, b"")]
         assert len(got) == len(want) and all(g >= w.bit_length() - 1 for g, w in zip(got, want))
         assert sum(g == w.bit_length() - 1 for g, w in zip(got, want) if w) >= 0.8 * sum(w > 0 for w in want)
+
+
+def test_pairs_seen_once_count(spark):
+    """A held-out text of pairs that training has once scores above one of the same words in pairs that it never has."""
+    ids = [k for k in range(1, 60) if zlib.crc32(str(k).encode()) % 5 == 1][:2]
+    learn = [k for k in range(1, 60) if zlib.crc32(str(k).encode()) % 5 != 1][:1]
+    words = [f"w{k}" for k in range(40)]
+    docs = spark.createDataFrame([(learn[0], " ".join(words)), (ids[0], " ".join(words[:20])), (ids[1], " ".join(words[:20][::-1]))], "doc_id long, text string")
+    got = {r.doc_id: r for r in bloomlm.scores(docs).collect()}
+    assert got[ids[0]].held_out and got[ids[0]].base_score == pytest.approx(got[ids[1]].base_score)
+    assert got[ids[0]].score > got[ids[1]].score + 5
+    assert bloomlm.level_counts(np.array([0, 1]), 1).tolist() == [0, 1]
