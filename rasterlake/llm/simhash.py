@@ -221,26 +221,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows whose id is their class's smallest, one row an id (rows with null ids stay only if their class has no id at all)."""
-    found = classes(docs)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("stay_id")).distinct()
-    whole = docs.select(F.struct("*").alias("row"))
-    with_id = whole.where(F.col("row.doc_id").isNotNull()).join(stay, F.col("row.doc_id") == F.col("stay_id"), "left_semi")
-    with_id = with_id.withColumn("k", F.col("row.doc_id")).dropDuplicates(["k"]).select("row.*")
-    alone = found.where(F.col("component_id").isNull()).select("fp").distinct()
-    if alone.isEmpty():
-        return with_id
-    # rows without any id in their class: the least of their classes' text keys stays
-    nameless = docs.where(F.col("doc_id").isNull()).select(F.struct("*").alias("row"), _native_key("text").alias("k"))
-    own = classes(nameless.select("k", F.col("row.text").alias("text")), "k").join(alone, "fp", "left_semi")
-    own = own.where(F.col("k") == F.col("component_id")).select("k").distinct()
-    return with_id.unionByName(nameless.join(own, "k", "left_semi").dropDuplicates(["k"]).select("row.*"))
-
-
-def _native_key(text: str):
-    """What tells texts without an id apart: the lower-cased words."""
-    low = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.sha2(F.trim(F.regexp_replace(low, r"[\x20\x09-\x0D]+", " ")), 256)
+    """One row of each class, with its columns: of the smallest id (a null id only where the class has no other), then of the
+    least digest of the whole row, so that equal ids on different texts stand for their own classes, and every run keeps the same."""
+    whole = docs.select(F.struct("*").alias("row"), F.unhex(F.sha2(F.to_json(F.struct("*")), 256)).alias("h"))
+    order = F.struct(F.col("row.doc_id").isNull().alias("nameless"), F.col("row.doc_id").alias("id"), "h")
+    found = classes(whole.select(order.alias("key"), F.col("row.text").alias("text")), "key")
+    stay = found.where(F.col("key.h") == F.col("component_id.h")).select(F.col("key.h").alias("h")).distinct()
+    return whole.join(stay, "h", "left_semi").dropDuplicates(["h"]).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

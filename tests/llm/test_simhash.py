@@ -91,3 +91,16 @@ def test_one_of_each_class_stays(odd, none, sample):
         assert sorted(str(r.doc_id) for r in kept.collect() if r.doc_id is not None) == sorted({c for _, _, c in classes if c != "None"})
     assert sum(r.doc_id is None for r in simhash.keep_one(odd).collect()) == 1
     assert simhash.keep_one(none).count() == 0
+
+
+def test_equal_ids_in_different_classes_all_stay(spark):
+    """An id that stands on rows of several classes keeps one row in each of them, the same one in every order of the rows."""
+    texts = ["one two three four five six seven", "wholly other words that share nothing here", "a third text of yet more different things"]
+    rows = [(5, texts[0], "a"), (5, texts[1], "b"), (5, texts[1], "c"), (6, texts[1], "d"), (None, texts[2], "e"), (None, texts[2], "f"), (None, texts[0], "g")]
+    kept = []
+    for at in range(3):
+        docs = spark.createDataFrame([*rows[at:], *rows[:at]], "doc_id long, text string, row string").repartition(at + 1)
+        kept.append(sorted(map(str, simhash.keep_one(docs).collect())))
+        got = simhash.keep_one(docs).collect()
+        assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("5", texts[0]), ("5", texts[1]), ("None", texts[2])])
+    assert kept[0] == kept[1] == kept[2]
