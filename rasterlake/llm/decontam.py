@@ -8,21 +8,27 @@ Texts are lower-cased (A-Z); words are runs of ASCII letters, digits and all cha
 
 Defined cases: null, empty and blank texts have no words and no hits; items without words never occur; items with equal ids are
 one item; rows of documents are independent, equal ids included; an empty table of items hits nothing. Other columns are ignored.
-The automaton is broadcast: its size is bounded by ``MAX_ITEM_WORDS``, above which ``ValueError`` is raised before collecting.
+The automaton is broadcast. Items of over ``BLOCK_WORDS`` words together are cut into blocks, each with an automaton of its own in
+the shared folder; a task loads one after the other for each batch of texts and unites their hits. Longer items are cut into
+pieces that overlap by a window less a word, so that no window is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text, rewrite_text, table
+from .common import per_text, rewrite_text, shared_folder, table
 
 WINDOW = 10
-MAX_ITEM_WORDS = 5_000_000
+#: Words in one automaton.
+BLOCK_WORDS = 500_000
 _KEPT = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 #: Bytes to lower-cased bytes, and to a blank where no word goes on.
 FOLD = bytes((c if c in _KEPT else 0x20) for c in bytes(range(256)).lower())
@@ -135,18 +141,88 @@ class Automaton:
         return [(a, b) for a, b in spans], items
 
 
-def automaton(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> Automaton:
-    """Collect the items (a stated, bounded set) and build their automaton on the driver."""
-    size = items.agg(F.sum(F.length(text_col))).first()[0] or 0
-    if size > 2 * MAX_ITEM_WORDS:  # every word but the last takes two characters at least
-        raise ValueError(f"benchmark texts hold {size} characters; the automaton's bound is {2 * MAX_ITEM_WORDS}")
-    rows = items.select(F.col(id_col).cast("string"), F.col(text_col).cast("binary")).collect()
-    return Automaton([("" if i is None else i, words_of(bytes(t) if t is not None else None)) for i, t in rows], window)
+def blocks(items: Iterable[tuple[str, list[bytes]]], window: int, most: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items in blocks of at most ``most`` words, longer items in overlapping pieces; one empty block if there are none."""
+    most = max(most, window)
+    block, size = [], 0
+    for name, words in items:
+        for at in range(0, max(len(words) - window, 0) + 1, most - window + 1):
+            piece = words[at : at + most]
+            if block and size + len(piece) > most:
+                yield block
+                block, size = [], 0
+            block.append((name, piece))
+            size += len(piece)
+    yield block
+
+
+class Automata:
+    """One automaton, or the files of several, whose hits are united."""
+
+    def __init__(self, only: Automaton | None, folder: str = "", files: tuple[str, ...] = ()):
+        self.only, self.folder, self.files = only, folder, files
+
+    def matches(self, texts: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set[str]]]:
+        """Spans and items of each text, as ``Automaton.matches`` has them."""
+        if self.only:
+            return [self.only.matches(words) for words in texts]
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(self.folder)
+        spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+        items: list[set[str]] = [set() for _ in texts]
+        for file in self.files:
+            with system.open_input_stream(f"{base}/{file}") as f:
+                one = pickle.loads(f.read())
+            for k, words in enumerate(texts):
+                found, names = one.matches(words)
+                spans[k] += found
+                items[k] |= names
+            del one
+        return [(united(s), i) for s, i in zip(spans, items)]
+
+
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and out[-1][1] >= a:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def automata(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> Automata:
+    """Stream the items to the driver and build their automata there, one block at a time."""
+    rows = items.select(F.col(id_col).cast("string"), F.col(text_col).cast("binary")).toLocalIterator()
+    parts = blocks((("" if i is None else i, words_of(bytes(t) if t is not None else None)) for i, t in rows), window, BLOCK_WORDS)
+    block, after = next(parts), next(parts, None)
+    if after is None:
+        return Automata(Automaton(block, window))
+    from pyarrow import fs
+
+    folder = f"{shared_folder(items.sparkSession)}/automata-{uuid.uuid4().hex}"
+    system, base = fs.FileSystem.from_uri(folder)
+    system.create_dir(base, recursive=True)
+    files: list[str] = []
+    while block is not None:
+        files.append(f"{len(files)}.pickle")
+        with system.open_output_stream(f"{base}/{files[-1]}") as f:
+            f.write(pickle.dumps(Automaton(block, window), pickle.HIGHEST_PROTOCOL))
+        block, after = after, next(parts, None)
+    return Automata(None, folder, tuple(files))
+
+
+def _slice_rows(found: Automata) -> int:
+    """Texts that are searched at once: whole batches where automata have to be loaded for them."""
+    return 512 if found.only else 1 << 30
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: words, hit words, items with occurring windows (number, digest of their sorted ids), and hit spans in words."""
-    held = docs.sparkSession.sparkContext.broadcast(automaton(items))
+    made = automata(items)
+    held = docs.sparkSession.sparkContext.broadcast(made)
     id_type = dict(docs.dtypes)[id_col]
 
     def make():
@@ -154,9 +230,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
         def work(texts):
             out = {k: [] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")}
-            for raw in texts:
-                words = words_of(raw)
-                spans, names = found.matches(words)
+            split = [words_of(raw) for raw in texts]
+            for words, (spans, names) in zip(split, found.matches(split)):
                 hit = sum(b - a for a, b in spans)
                 for k, v in zip(out, (len(words), hit, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), hit > 0, ",".join(f"{a}:{b}" for a, b in spans))):
                     out[k].append(v)
@@ -165,25 +240,23 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         return work
 
     schema = f"`{id_col}` {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string"
-    return per_text(docs, schema, make, id_col, text_col)
+    return per_text(docs, schema, make, id_col, text_col, rows=_slice_rows(made))
 
 
 def cleaned(docs: DataFrame, items: DataFrame, min_span: int = 1, max_coverage: float = 0.8) -> DataFrame:
     """Documents without their hit spans of ``min_span`` words or more; those with over ``max_coverage`` of their words hit go."""
-    held = docs.sparkSession.sparkContext.broadcast(automaton(items))
+    made = automata(items)
+    held = docs.sparkSession.sparkContext.broadcast(made)
 
     def make():
         found = held.value
 
-        def one(text):
-            if not text:
+        def one(text, words, spans):
+            spans = [(a, b) for a, b in spans if b - a >= min_span]
+            if not spans:
                 return text
             raw = text.encode("utf-8", "surrogatepass")
             folded = raw.translate(FOLD)
-            words = folded.split()
-            spans = [(a, b) for a, b in found.matches(words)[0] if b - a >= min_span]
-            if not spans:
-                return text
             if sum(b - a for a, b in spans) > max_coverage * len(words):
                 return False
             starts, at = [], 0
@@ -197,9 +270,13 @@ def cleaned(docs: DataFrame, items: DataFrame, min_span: int = 1, max_coverage:
                 at = starts[b - 1] + len(words[b - 1])
             return b"".join([*kept, raw[at:]]).decode("utf-8", "surrogatepass")
 
-        return lambda texts: [one(t) for t in texts]
+        def work(texts):
+            split = [words_of(t.encode("utf-8", "surrogatepass") if t else None) for t in texts]
+            return [one(t, words, spans) for t, words, (spans, _) in zip(texts, split, found.matches(split))]
+
+        return work
 
-    return rewrite_text(docs, make)
+    return rewrite_text(docs, make, rows=_slice_rows(made))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -67,3 +67,25 @@ def test_cleaning(spark):
     docs = spark.createDataFrame([(1, f"Before it. {passage.upper()}! After it all goes on and on."), (2, passage), (3, "clean text"), (4, None), (5, "")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in decontam.cleaned(docs, bench).collect()}
     assert got == {1: "Before it. ! After it all goes on and on.", 3: "clean text", 4: None, 5: ""}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(words, max_size=5), st.integers(1, 5), st.integers(1, 9))
+def test_blocks_hold_all_windows(items, window, most):
+    named = [(str(k), ws) for k, ws in enumerate(items)]
+    cut = list(decontam.blocks(named, window, most))
+    windows = lambda rows: {(i, tuple(ws[k : k + min(len(ws), window)])) for i, ws in rows if ws for k in range(len(ws) - min(len(ws), window) + 1)}
+    assert windows([r for b in cut for r in b]) == windows(named)
+    assert all(sum(len(ws) for _, ws in b) <= max(most, window) for b in cut)
+
+
+def test_a_benchmark_of_many_blocks(spark, sample, monkeypatch):
+    """Above the size of one automaton the results are the same."""
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    whole = sorted(map(str, decontam.contamination(sample, bench).collect()))
+    clean = sorted(map(str, decontam.cleaned(sample, bench).collect()))
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 300)
+    assert len(decontam.automata(bench).files) > 3
+    assert sorted(map(str, decontam.contamination(sample, bench).collect())) == whole
+    assert sorted(map(str, decontam.cleaned(sample, bench).collect())) == clean
+    assert any("True" in r for r in whole)
