@@ -130,6 +130,9 @@ def candidates(files: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES) ->
                     rows = []
                     at = raw.find(MAGIC)
                     while 0 <= at < stop - start:
+                        # a head that goes on beyond what was read: it ends with its record at the latest
+                        while raw.find(b"\r\n\r\n", at) < 0 and start + len(raw) < size:
+                            raw += f.read_at(min(len(raw), size - start - len(raw)), start + len(raw))
                         got = parse_head(raw, at)
                         if got:
                             fields, body = got

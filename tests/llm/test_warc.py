@@ -69,3 +69,11 @@ def test_a_broken_chain_is_an_error(spark):
         f.write(raw)
     with pytest.raises(ValueError):
         warc.read(files, folder)
+
+
+def test_heads_longer_than_what_is_read_past_a_split(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SPLIT_BYTES", 700)
+    rows = [(k, "u" * (150_000 if k % 2 else 5), f"text {k}", "x") for k in range(6)]
+    folder = f"{warc.shared_folder(spark)}/heads"
+    files = warc.write(warc.revisits(spark.createDataFrame(rows, TYPE).coalesce(1)), folder)
+    assert sorted((int(r.page), r.n) for r in warc.read(files, folder, split_bytes=700).collect()) == [(k, 6) for k in range(6)]
