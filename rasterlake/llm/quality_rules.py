@@ -25,6 +25,8 @@ MIN_WORDS = 50
 BLANK = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+#: Bits of a long for a window's position in its text; the others are the upper bits of its hash.
+POSITION_BITS = 24
 #: Cutoffs of each rule, lowest first. Fixed before any data are seen.
 GRID = {
     "symbols_per_word": (0.05, 0.1, 0.15, 0.2, 0.3, 0.5, 1.0),
@@ -50,27 +52,51 @@ def repeat_words(ws: Column) -> Column:
     """Words that lie in a 3-word window found twice or more.
 
     Windows are hashed; hash and position go into one long each, so that a plain sort brings equal windows together; the
-    positions of windows with an equal neighbour are then sorted and their cover is counted.
+    positions of windows with an equal neighbour are then sorted and their cover is counted. Where the long has no room for the
+    positions (``POSITION_BITS``), or windows of different hashes are equal in the part that it has room for, structs of the whole
+    hash and the position are sorted instead.
     """
-    low = (1 << 24) - 1
+    low = (1 << POSITION_BITS) - 1
+
+    def cover(at: Column) -> Column:
+        start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
+        return F.aggregate(F.sort_array(at), start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")), lambda a: a["n"])
+
+    def of_structs(s: Column) -> Column:
+        def twin(x: Column, k: Column) -> Column:
+            return F.coalesce(x["h"] == F.get(s, k)["h"], F.lit(False))
+
+        return cover(F.transform(F.filter(s, lambda x, k: twin(x, k - 1) | twin(x, k + 1)), lambda x: x["at"]))
 
     def of_hashes(hs: Column) -> Column:
         packed = F.sort_array(F.transform(hs, lambda h, i: h.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))
 
+        whole = F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.cast("int").alias("at"))))
+
         def of_packed(s: Column) -> Column:
-            def twin(x: Column, k: Column) -> Column:
+            def alike(x: Column, k: Column) -> Column:
                 # beyond the ends get() is null, and the comparison with it null
-                other = F.get(s, k)
-                return F.coalesce(x.bitwiseXOR(other).bitwiseAND(F.lit(~low)) == 0, F.lit(False)) & (
-                    F.get(hs, x.bitwiseAND(F.lit(low)).cast("int")) == F.get(hs, other.bitwiseAND(F.lit(low)).cast("int"))
-                )
+                return F.coalesce(x.bitwiseXOR(F.get(s, k)).bitwiseAND(F.lit(~low)) == 0, F.lit(False))
+
+            def hash_of(x: Column) -> Column:
+                return F.get(hs, x.bitwiseAND(F.lit(low)).cast("int"))
+
+            at = F.filter(s, lambda x, k: alike(x, k - 1) | alike(x, k + 1))
+            return _let(at, lambda a: F.when(mixed(a, hash_of), _let(whole, of_structs)).otherwise(cover(F.transform(a, lambda x: x.bitwiseAND(F.lit(low)).cast("int")))))
+
+        def mixed(a: Column, hash_of) -> Column:
+            """Whether neighbours that are alike in the packed part differ in their whole hashes."""
+            def differs(x: Column, k: Column) -> Column:
+                before = F.get(a, k - 1)
+                return F.coalesce((x.bitwiseXOR(before).bitwiseAND(F.lit(~low)) == 0) & (hash_of(x) != hash_of(before)), F.lit(False))
 
-            at = F.filter(s, lambda x, k: twin(x, k - 1) | twin(x, k + 1))
-            at = F.sort_array(F.transform(at, lambda x: x.bitwiseAND(F.lit(low)).cast("int")))
-            start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
-            return F.aggregate(at, start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")), lambda a: a["n"])
+            return F.size(F.filter(a, differs)) > 0
 
-        return F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0)).otherwise(_let(packed, of_packed))
+        return (
+            F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0))
+            .when(F.size(hs) > low + 1, _let(whole, of_structs))
+            .otherwise(_let(packed, of_packed))
+        )
 
     hashes = F.transform(F.sequence(F.lit(0), F.size(ws) - 3), lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)))
     return F.when(F.size(ws) < 3, F.lit(0)).otherwise(_let(hashes, of_hashes))

@@ -222,3 +222,20 @@ def test_pairs_seen_once_count(spark):
     assert got[ids[0]].held_out and got[ids[0]].base_score == pytest.approx(got[ids[1]].base_score)
     assert got[ids[0]].score > got[ids[1]].score + 5
     assert bloomlm.level_counts(np.array([0, 1]), 1).tolist() == [0, 1]
+
+
+@pytest.mark.parametrize("bits", [3, 24, 61])
+def test_repeats_where_packing_has_no_room(spark, monkeypatch, bits):
+    """Positions beyond the packed bits, and windows alike in the packed part of their hashes, change nothing."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(quality_rules, "POSITION_BITS", bits)
+    texts = [" ".join(map(str, rng.integers(0, span, n))) for span in (2, 5, 9, 40) for n in (1, 4, 8, 11, 60, 300)]
+
+    def brute(t):
+        ws = t.split()
+        grams = Counter(zip(ws, ws[1:], ws[2:]))
+        return len({k + d for k, g in enumerate(zip(ws, ws[1:], ws[2:])) if grams[g] > 1 for d in range(3)})
+
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.text: r.n for r in df.select("text", quality_rules.repeat_words(quality_rules.words(F.col("text"))).alias("n")).collect()}
+    assert got == {t: brute(t) for t in texts}
