@@ -78,9 +78,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def shape(word: str) -> str:
-    """Letters to a/A, digits to 9, runs shortened, other characters as they are."""
+    """Letters to a/A, digits to 9, runs shortened, other characters as they are; of the whole word."""
     out = []
-    for c in word[:64]:
+    for c in word:
         s = "9" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c
         if not out or out[-1] != s:
             out.append(s)

@@ -76,3 +76,9 @@ def test_redaction(spark, odd):
     text = "call [PHONE] or [EMAIL], [SECRET] ok"
     assert got == {1: (text, len(text)), 2: ("clean", 5), 3: (None, None)}
     assert pii.redacted(odd, FIELD).columns == odd.columns
+
+
+def test_features_of_long_words_see_their_ends():
+    for word in ("password=" + "0123456789abcdef" * 8 + "\"", "k=" + "7" * 70 + "z"):
+        assert f"last={pii.shape(word[-1])}" in pii.features(word)
+    assert pii.shape("x" * 100 + "=" + "1" * 100) == "a=9"
