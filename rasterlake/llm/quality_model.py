@@ -1,14 +1,17 @@
 """Quality classifier: document evidence with host and path posteriors by hierarchical empirical Bayes.
 
 Document evidence is a logistic model over simple measures of a whole text, fitted on the driver on at most ``FIT_ROWS`` labelled
-rows (chosen by a hash of the id). Hosts and paths pool the evidence of their documents (a label where there is one, else the
-model's probability) through grouped sums. Between-host and between-path variances, by the method of moments, give the prior
-strengths: a path shrinks to its host, a host to the global rate, the more the fewer documents it has. A document's score adds
-the logit of its path's posterior, against the global rate, to its own.
-
-Defined cases: null and empty texts are scored as texts without words; null hosts and paths are one host and one path; null
-labels and labels in conflict (per id) are ignored; without both labels the document evidence is neutral; rows are independent,
-equal ids included; an empty table gives no rows; other columns are ignored.
+rows (those of the smallest hashes of id and measures; only rows below a threshold hash, which the number of labelled rows gives,
+leave their tasks). Hosts and paths pool the evidence of their documents (a label where there is one, else the model's
+probability) through grouped sums. Between-host and between-path variances, by the method of moments, give the prior strengths: a
+path shrinks to its host, a host to the global rate, the more the fewer documents it has. A document's score adds the logit of its
+path's posterior, against the global rate, to its own evidence. It is left out of that posterior: its own share is taken off the
+sums of its path and of its host, so that neither its label nor its evidence counts for itself.
+
+Defined cases: null and empty texts are scored as texts without words; null hosts and paths are one host and one path; a path's
+only document has its host's posterior, a host's only document the global rate; null labels and labels in conflict (per id) are
+ignored; without both labels the document evidence is neutral; rows are independent, equal ids included (equal labelled rows are
+learned from once); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from .common import per_text, quoted, stored, table
 
 #: Bound of labelled rows that the document model is fitted on.
 FIT_ROWS = 20_000
+#: Hashes from 0 to this are compared with the threshold.
+_HASHES = 1 << 40
 _UPPER = bytes(range(65, 91))
 _SYMBOLS = b"#*$%&|<>{}[]\\^~=_"
 _MARKS = b"!?"
@@ -77,8 +82,18 @@ def _strength(row, mean: float) -> float:
     return min(max(within / between - 1, 1.0), 1e6) if between > 1e-9 else 1e6
 
 
+def _sample(labelled: DataFrame, most: int) -> list:
+    """At most ``most`` different rows, by hash. Tasks send rows below a threshold only, so that all of them send about ``most``."""
+    n = labelled.count()
+    share = min(1.0, 1.1 * most / max(n, 1))
+    mark = F.pmod(F.xxhash64("id", "x", "label"), F.lit(_HASHES))
+    some = labelled.select("x", "label", mark.alias("mark")).where(F.col("mark") < int(share * _HASHES)).dropDuplicates(["mark", "x", "label"])
+    return some.orderBy("mark").limit(most).select("x", "label").collect()
+
+
 def scores(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: ``doc_score`` (its own evidence), ``host_rate``, ``path_rate``, ``quality_score`` and ``keep``."""
+    """Per document: ``doc_score`` (its own evidence), ``host_rate`` and ``path_rate`` (posteriors of the other documents of its host
+    and path), ``quality_score`` and ``keep``."""
     spark = docs.sparkSession
     id_type = dict(docs.dtypes)[id_col]
     placed = docs.select(F.col(quoted(id_col)).alias("id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.col(quoted(text_col)).alias("text"))
@@ -89,7 +104,7 @@ def scores(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_co
     measured = per_text(placed, f"id {id_type}, host string, path string, x array<double>", make, "id", "text", carry=("host", "path"))
     said = labels.where("quality is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("q"), F.max("quality").alias("r")).where("q = r and id is not null").select("id", F.col("q").cast("double").alias("label"))
     measured = stored(measured.join(said, "id", "left"), "quality-measures")
-    sample = measured.where("label is not null").orderBy(F.xxhash64("id")).limit(FIT_ROWS).select("x", "label").collect()
+    sample = _sample(measured.where("label is not null"), FIT_ROWS)
     y = np.array([r.label for r in sample])
     if len(set(y.tolist())) == 2:
         weights = fit_logistic(_basis(np.array([r.x for r in sample])), y)
@@ -114,10 +129,12 @@ def scores(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_co
     sums = lambda n, s, mean: [F.sum(n), F.sum(F.col(n) * F.col(n).cast("double")), F.count("*"), F.sum(F.col(n) * F.pow(F.col(s) / F.col(n) - mean, 2))]
     strong = _strength(by_host.agg(*sums("hn", "hs", F.lit(rate))).first(), rate)
     hosts = by_host.withColumn("host_rate", (strong * rate + F.col("hs")) / (strong + F.col("hn")))
-    both = stored(by_path.join(hosts.select("host", "hn", "host_rate"), "host"), "quality-hosts")
+    both = stored(by_path.join(hosts, "host"), "quality-hosts")
     tied = _strength(both.agg(*sums("n", "s", F.col("host_rate"))).first(), rate)
-    both = both.withColumn("path_rate", (tied * F.col("host_rate") + F.col("s")) / (tied + F.col("n")))
-    out = marked.join(both.select("host", "path", "n", "hn", "host_rate", "path_rate"), ["host", "path"])
+    # the groups' sums without the document itself
+    out = marked.join(both.select("host", "path", "n", "s", "hn", "hs"), ["host", "path"])
+    out = out.withColumn("host_rate", (strong * rate + F.col("hs") - F.col("e")) / (strong + F.col("hn") - 1))
+    out = out.withColumn("path_rate", (tied * F.col("host_rate") + F.col("s") - F.col("e")) / (tied + F.col("n") - 1))
     edge = lambda c: F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), c))
     final = F.col("z") + _logit(edge(F.col("path_rate"))) - math.log(rate / (1 - rate))
     score = 1 / (1 + F.exp(-final))

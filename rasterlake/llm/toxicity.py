@@ -1,15 +1,18 @@
 """Toxicity: a subsequence string kernel with Nyström landmarks under a linear support vector machine.
 
 Two words are alike if they share letter subsequences of length three, inner gaps discounted (``DECAY`` a skipped place, spans of
-at most ``SPAN`` places): inserted characters, dropped marks and inflected endings cost a little, not all. Landmarks are words
-that tell labelled toxic sentences from clean ones, with common words as a counterweight. Each word of a text is compared with
-all landmarks, a text's likeness to a landmark is that of its best word; the inverse root of the landmarks' own kernel matrix
-makes this the Nyström map, on which a squared-hinge machine is trained and then calibrated to probabilities.
+at most ``SPAN`` places): inserted characters, dropped marks and inflected endings cost a little, not all. A word
+that is no more than ``FLOOR`` like any landmark counts as unlike all; likenesses are sharpened (``SHARP``). The kernel of two texts is the sum over all pairs of their distinct
+words, over the root of both texts' sizes, so that one insult in a long text weighs less than many in a short one. Landmarks are
+words that tell labelled toxic sentences from clean ones, with common words as a counterweight; the inverse root of their own
+kernel matrix makes a text's sums over landmarks the Nyström map of that kernel, on which a squared-hinge machine is trained and
+then calibrated to probabilities.
 
 The kernel between a word and all landmarks is worked out through the landmarks' subsequences: a table of codes, summed over the
 places of a word, in numpy over all distinct words of a slice of texts. Runs of single letters are one word more.
 
-Labels and ids never enter a score; learning takes at most ``FIT_ROWS`` labelled rows, picked by hash. Defined cases: null and
+Labels and ids never enter a score; learning takes at most ``FIT_ROWS`` labelled ids, picked by hash, with one text each (the
+least, where an id has several). Defined cases: null and
 empty texts score as texts without words; words of under three letters have no likeness; null and conflicting labels are ignored;
 without both labels every score is 0; rows are independent, equal ids included; an empty table gives no rows.
 """
@@ -30,9 +33,14 @@ SHARP = 3
 FLOOR = 0.4
 LANDMARKS = 64
 COMMON = 4
+#: Words that a text's size has besides its own, and the penalty of the machine's weights.
+SIZE = 20
+RIDGE = 0.02
 #: Bounds of labelled rows that are learned from: toxic and clean.
 FIT_ROWS = (2000, 3500)
 CUT = 0.3
+#: Hashes from 0 to this are compared with a threshold.
+_HASHES = 1 << 40
 _OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 #: Stand-ins for letters, put back before comparing.
 _STAND_IN = dict(zip("013457@$", "oieastas"))
@@ -90,6 +98,7 @@ class Likeness:
         table = np.zeros((len(distinct) + 1, len(landmarks)), np.float32)
         np.add.at(table, (row + 1, np.concatenate(own)), np.concatenate(weight))
         self.table = table / np.maximum(norms, 1e-9)[None, :]
+        self.top = self.table.max(axis=1)
         self.rows = np.zeros(64**3, np.int32)
         self.rows[distinct] = np.arange(1, len(distinct) + 1)
 
@@ -140,8 +149,8 @@ class Likeness:
             if not len(place):
                 continue
             owner = np.searchsorted(first, place, side="right") - 1
-            # the shared weight alone must reach the floor (a bound on the sum below)
-            near = np.sqrt(np.bincount(owner, weight * weight, len(first))) >= FLOOR * np.maximum(norms, 1e-9)
+            # the greatest weight of each place over all landmarks bounds the sums below (with room for rounding)
+            near = np.bincount(owner, weight * self.top.take(row), len(first)) >= 0.9999 * FLOOR * np.maximum(norms, 1e-9)
             keep = near[owner]
             owner, row, weight = owner[keep], row[keep], weight[keep]
             if not len(owner):
@@ -161,8 +170,8 @@ class Likeness:
             return np.zeros(0, np.int64), np.zeros((0, len(self.landmarks)), np.float32)
         return np.concatenate(hits), np.concatenate(out)
 
-    def pooled(self, texts: list[str | None]) -> np.ndarray:
-        """Each text's likeness to each landmark: its best word's."""
+    def summed(self, texts: list[str | None]) -> np.ndarray:
+        """Each text's likeness to each landmark: the sum over its distinct words, over the root of its size."""
         number: dict[str, int] = {}
         raw: dict[str, int] = {}
         spots = []
@@ -175,12 +184,12 @@ class Likeness:
         at, like = self.of(words)
         where = np.full(len(words), -1, np.int64)
         where[at] = np.arange(len(at))
-        out = np.zeros((len(texts), len(self.landmarks)), np.float32)
+        out = np.zeros((len(texts), len(self.landmarks)))
         for k, own in enumerate(spots):
-            own = where[own]
-            own = own[own >= 0]
-            if len(own):
-                out[k] = like[own].max(axis=0)
+            hit = where[own]
+            hit = np.unique(hit[hit >= 0])
+            if len(hit):
+                out[k] = like[hit].sum(axis=0, dtype=float) / np.sqrt(len(own) + SIZE)
         return out
 
 
@@ -225,7 +234,7 @@ class Machine:
         y = np.where(toxic, 1.0, -1.0)
         balance = np.where(toxic, 0.5 / max(toxic.mean(), 1e-9), 0.5 / max(1 - toxic.mean(), 1e-9))
         w = np.zeros(x.shape[1])
-        ridge = np.full(len(w), 1.0)
+        ridge = np.full(len(w), RIDGE)
         ridge[0] = 1e-3
         for _ in range(50):  # Newton steps of the squared hinge
             on = y * (x @ w) < 1
@@ -248,7 +257,7 @@ class Machine:
         self.scale = v
 
     def _map(self, texts: list[str | None]) -> np.ndarray:
-        z = self.like.pooled(texts).astype(float) @ self.root
+        z = self.like.summed(texts) @ self.root
         return np.concatenate([np.ones((len(z), 1)), z], axis=1)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -261,11 +270,15 @@ def trained(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = FIT_ROWS
     said = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other")
     counts = {r.toxic: r["count"] for r in said.groupBy("toxic").count().collect()}
     picked = None
+    mark = F.pmod(F.xxhash64("doc_id"), F.lit(_HASHES))
     for label, n in ((1, rows[0]), (0, rows[1])):
-        part = said.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id", "toxic")
+        # tasks send ids below a threshold only, so that all of them send about n
+        share = min(1.0, 1.1 * n / max(counts.get(label, 0), 1) + 100 / max(counts.get(label, 0), 1))
+        part = said.where((F.col("toxic") == label) & (mark < int(share * _HASHES))).orderBy(mark, "doc_id").limit(n).select("doc_id", "toxic")
         picked = part if picked is None else picked.unionByName(part)
-    # at most FIT_ROWS ids, so the broadcast is bounded
-    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("doc_id").limit(sum(rows)).collect()
+    # at most FIT_ROWS ids, so the broadcast is bounded, and one text each
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    got = sorted(found.collect(), key=lambda r: r.doc_id)
     toxic = np.array([r.toxic == 1 for r in got], bool)
     if not len(got) or toxic.all() or not toxic.any():
         return None

@@ -53,6 +53,57 @@ def test_kernel_by_hand():
     assert at.tolist() == [0] and got[0, 0] == pytest.approx(want**toxicity.SHARP, rel=1e-4)
 
 
+def brute_phi(word):
+    """Subsequences of three letters of a word with its ends, with their weights; and the norm of the weights place by place."""
+    codes = [62, *[int(toxicity._LETTERS[ord(c)]) for c in word], 63]
+    out, square = Counter(), 0.0
+    for i in range(len(codes)):
+        for k in range(i + 2, min(len(codes), i + toxicity.SPAN)):
+            for j in range(i + 1, k):
+                if codes[i] and codes[j] and codes[k]:
+                    out[codes[i], codes[j], codes[k]] += toxicity.DECAY ** (k - i - 2)
+                    square += toxicity.DECAY ** (2 * (k - i - 2))
+    return out, math.sqrt(square)
+
+
+def brute_likes(word, marks):
+    out = []
+    for mark in marks:
+        (a, n), (b, m) = brute_phi(word), brute_phi(mark)
+        out.append(sum(w * b[u] for u, w in a.items()) / max(n * m, 1e-9))
+    return np.clip(out, 0, 1) ** toxicity.SHARP if max(out) > toxicity.FLOOR else np.zeros(len(marks))
+
+
+def test_no_word_over_the_floor_is_left_out():
+    """Repeated subsequences lift a sum over any norm; the bound before it has to let them through."""
+    rng = np.random.default_rng(4)
+    marks = ["hahahaha", "lololo", "stupid", "aaaa"]
+    words = list({"".join(rng.choice(list("ahlosk"), rng.integers(3, 14))) for _ in range(1500)} | {"aahackbeiefekfck", "stu-pid", "s.t.u.p.i.d"})
+    like = toxicity.Likeness(marks)
+    at, got = like.of(words)
+    rows = {words[i]: r for i, r in zip(at.tolist(), got)}
+    for w in words:
+        want = brute_likes(w, marks)
+        assert np.abs(rows.get(w, np.zeros(len(marks))) - want).max() < 1e-4, w
+
+
+def test_scores_by_hand(spark, docs, labels):
+    """Scores of whole texts from the kernel's definition and the machine's weights."""
+    machine = toxicity.trained(docs, labels)
+    marks = machine.like.landmarks
+    texts = ["you are so stupid and pathetic", "S.T.U.P.I.D people, i d i o t !", "", None, "the ation of the onthe is with", "trash trash trash, trash"] + [r.text for r in docs.orderBy("n_chars").limit(8).collect()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.scored(rows, machine).collect()}
+    for k, t in enumerate(texts):
+        parts = (t or "").split()
+        lone = "".join(p if len(p) == 1 else " " for p in parts).split(" ")
+        own = set(parts) | {p for p in lone if len(p) > 2 and p.isalpha()}
+        x = sum([brute_likes(w, marks) for w in {w.strip(toxicity.MARKS) for w in own}], np.zeros(len(marks))) / math.sqrt(len(own) + toxicity.SIZE)
+        margin = machine.weights[0] + x @ machine.root @ machine.weights[1:]
+        want = 1 / (1 + math.exp(-max(-30, min(30, machine.scale[0] * margin + machine.scale[1]))))
+        assert got[k] == pytest.approx(want, abs=2e-3)
+
+
 def test_toxicity_odd_rows(odd, none, labels, docs):
     machine = toxicity.trained(docs, labels)
     assert toxicity.scored(odd, machine).count() == odd.count()
@@ -78,6 +129,61 @@ def test_quality_shrinks_sparse_sites(spark):
     assert got[0].doc_score > 0.5 > got[1].doc_score
 
 
+def test_quality_posteriors_by_hand(spark, sample):
+    """The whole chain of posteriors over given evidence, each document left out of its own groups."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    said = {r.doc_id: float(r.quality) for r in labels.collect()}
+    got = quality_model.scores(sample, labels, F.col("source"), F.concat_ws("/", "source", "lang")).collect()
+    place = {r.doc_id: (r.source, f"{r.source}/{r.lang}") for r in sample.collect()}
+    e = {r.doc_id: said.get(r.doc_id, r.doc_score) for r in got}
+    paths, hosts = {}, {}
+    for i, v in e.items():
+        for sums, key in ((paths, place[i]), (hosts, place[i][0])):
+            n, s = sums.get(key, (0, 0.0))
+            sums[key] = (n + 1, s + v)
+    rate = sum(e.values()) / len(e)
+
+    def strength(groups):  # (n, s, mean) of each group
+        n, nn = sum(g[0] for g in groups), sum(g[0] ** 2 for g in groups)
+        within = rate * (1 - rate)
+        between = max((sum(g[0] * (g[1] / g[0] - g[2]) ** 2 for g in groups) - (len(groups) - 1) * within) / (n - nn / n), 0.0)
+        return min(max(within / between - 1, 1.0), 1e6) if between > 1e-9 else 1e6
+
+    strong = strength([(n, s, rate) for n, s in hosts.values()])
+    posterior = {h: (strong * rate + s) / (strong + n) for h, (n, s) in hosts.items()}
+    tied = strength([(n, s, posterior[k[0]]) for k, (n, s) in paths.items()])
+    for r in got:
+        host, path = place[r.doc_id]
+        (n, s), (hn, hs) = paths[host, path], hosts[host]
+        by_host = (strong * rate + hs - e[r.doc_id]) / (strong + hn - 1)
+        by_path = (tied * by_host + s - e[r.doc_id]) / (tied + n - 1)
+        logit = lambda p: math.log(p / (1 - p))
+        final = max(-12.0, min(12.0, logit(r.doc_score))) + logit(min(max(by_path, 1e-4), 1 - 1e-4)) - logit(rate)
+        assert (r.path_docs, r.host_docs) == (n, hn)
+        assert r.host_rate == pytest.approx(by_host, rel=1e-9) and r.path_rate == pytest.approx(by_path, rel=1e-9)
+        assert r.quality_score == pytest.approx(1 / (1 + math.exp(-final)), rel=1e-6) and r.keep == (r.quality_score >= 0.5)
+
+
+def test_a_label_does_not_count_for_itself(spark):
+    """Turning one document's label changes its neighbours' rates, not its own."""
+    words = "a sentence of words that reads well enough "
+    docs = spark.createDataFrame([(i, words * (1 + i % 3), "h", f"p{i % 2}") for i in range(30)], "doc_id long, text string, host string, path string")
+    rows = [(i, int(i % 4 > 0)) for i in range(30)]
+    got = []
+    for mine in (0, 1):
+        labels = spark.createDataFrame([(i, mine if i == 6 else q) for i, q in rows], "doc_id long, quality int")
+        got.append({r.doc_id: r.path_rate for r in quality_model.scores(docs, labels, F.col("host"), F.col("path")).collect()})
+    assert abs(got[0][6] - got[1][6]) < abs(got[0][8] - got[1][8])
+
+
+def test_sample_is_bounded(spark):
+    rows = [(k, [float(k % 50)] * 2, 1.0) for k in range(3000)] + [(7, [0.5, 0.5], 0.0)] * 3000
+    labelled = spark.createDataFrame(rows, "id long, x array<double>, label double").repartition(4)
+    got = quality_model._sample(labelled, 500)
+    assert 200 <= len(got) <= 500 and got == quality_model._sample(labelled.repartition(3), 500)
+    assert len(quality_model._sample(labelled, 100_000)) == 3001
+
+
 def test_quality_odd_rows(spark, odd, none):
     said = spark.createDataFrame([(1, 1), (1, 0), (2, None), (99, 1), (None, 0)], "doc_id long, quality int")
     for labels in (said, said.limit(0)):
@@ -85,7 +191,9 @@ def test_quality_odd_rows(spark, odd, none):
         assert quality_model.scores(none, labels, F.col("source"), F.col("lang")).count() == 0
         assert quality_rules.rules(odd, labels).count() == odd.count()
         assert quality_rules.rules(none, labels).count() == 0
-        assert quality_rules.keep(odd, labels).columns == odd.columns
+        kept = quality_rules.keep(odd, labels)
+        want = {str(r.doc_id) for r in quality_rules.rules(odd, labels).where("kept").collect()}
+        assert kept.columns == odd.columns and {str(r.doc_id) for r in kept.collect()} == want
 
 
 def test_rules_base_counts(odd, labels):
