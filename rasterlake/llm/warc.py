@@ -6,17 +6,20 @@ split, the offset of its successor. Pointer jumping follows these from the file'
 over the splits' entries and exits (joins that double the distance each round); only records reached are kept, so that record
 starts inside payloads are rejected.
 
-Archives are reached through Arrow's file systems, by the folder's own scheme.
+Archives are reached through Arrow's file systems, by the folder's own scheme. A response's record id is made from its page and
+payload's digest, so that a revisit names it (``WARC-Refers-To``) wherever it was written; other revisits' ids are random.
 
 Defined cases: a null html is an empty payload; null page ids and urls are left out of the headers, a null id is never the
-smallest; records with equal ids and payloads are all responses if their id is the smallest; a truncated or corrupt chain raises
-``ValueError``; an empty table writes no archive and reads no record; extra columns are ignored.
+smallest; text ids keep their blanks (escaped in the headers), urls' line breaks become blanks; records with equal ids and
+payloads are all responses, with one record id, if their id is the smallest; a truncated or corrupt chain raises ``ValueError``;
+an empty table writes no archive and reads no record; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -44,21 +47,28 @@ def digest(raw: bytes) -> str:
     return base64.b32encode(hashlib.sha1(raw).digest()).decode()
 
 
+def record_id(page_id, sha: str) -> str:
+    """The id of a page's response."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{sha}')}>"
+
+
 def record(page_id, url: str | None, payload: bytes, sha: str, refers_to=None) -> bytes:
     """The bytes of one record; with ``refers_to`` a revisit, which leaves the payload out."""
     line = lambda s: " ".join(s.split())
     http = _HTTP.format(len(payload)).encode()
     block = http if refers_to is not None else http + payload
+    # rows without an id are told apart by nothing
+    own = record_id(page_id, sha) if refers_to is None and page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"
     head = [
-        MAGIC.decode().rstrip(), f"WARC-Type: {'revisit' if refers_to is not None else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{url}|{sha}')}>",
+        MAGIC.decode().rstrip(), f"WARC-Type: {'revisit' if refers_to is not None else 'response'}", f"WARC-Record-ID: {own}",
         "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{sha}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response",
     ]
     if url is not None:
         head.append(f"WARC-Target-URI: {line(url)}")
     if page_id is not None:
-        head.append(f"X-Page-Id: {line(str(page_id))}")
+        head.append(f"X-Page-Id: {quote(str(page_id))}")
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{line(str(refers_to))}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, sha)}", f"X-Refers-To-Page: {quote(str(refers_to))}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -145,8 +155,8 @@ def candidates(files: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES) ->
                                 full = fields["warc-type"] != "revisit"
                                 sha = digest(payload) if full else fields.get("warc-payload-digest", "").removeprefix("sha1:")
                                 n = len(payload) if full else int(fields.get("x-payload-length", 0))
-                                ref = fields.get("warc-refers-to", "").removeprefix("<urn:page:").removesuffix(">")
-                                rows.append((start + at, after, fields.get("x-page-id"), n, sha, fields["warc-type"], ref or None))
+                                page, ref = (unquote(fields[k]) if k in fields else None for k in ("x-page-id", "x-refers-to-page"))
+                                rows.append((start + at, after, page, n, sha, fields["warc-type"], ref))
                         at = raw.find(MAGIC, at + 1)
                 if rows:
                     offset, after, page, n, sha, kind, ref = zip(*rows)
@@ -181,7 +191,7 @@ def _jumps(links: DataFrame) -> DataFrame:
     return links.groupBy("file", "split").applyInArrow(run, "file string, split long, offset long, exit long")
 
 
-def reachable(found: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def reachable(found: DataFrame) -> DataFrame:
     """``file`` and ``offset`` of the records on the chains that begin at the files' starts."""
     jumps = stored(_jumps(found.select("file", "split", "offset", "after")), "warc-jumps")
     # a split's entry is reached from the chain's entry into an earlier one: doubling over splits
@@ -201,7 +211,7 @@ def reachable(found: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     return reached
 
 
-def chain(found: DataFrame) -> DataFrame:
+def chain(found: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """The candidates that are records: those on their file's chain. Raises ``ValueError`` if a chain stops short of its file's end."""
     entries = reachable(found)
 
@@ -217,7 +227,7 @@ def chain(found: DataFrame) -> DataFrame:
                 at = int(np.searchsorted(offset, start))
         return left.filter(pa.array(keep))
 
-    marked = entries.withColumn("split", F.floor(F.col("offset") / SPLIT_BYTES).cast("long"))
+    marked = entries.withColumn("split", F.floor(F.col("offset") / split_bytes).cast("long"))
     columns = "file string, split long, size long, offset long, after long, page string, n long, sha string, kind string, ref string"
     kept = found.groupBy("file", "split").cogroup(marked.groupBy("file", "split")).applyInArrow(run, columns)
     return kept
@@ -226,7 +236,7 @@ def chain(found: DataFrame) -> DataFrame:
 def read(files: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Records of the archives, verified by their chains: page, payload's size and digest, kind, reference."""
     found = stored(candidates(files, folder, split_bytes), "warc-candidates")
-    kept = stored(chain(found), "warc-records")
+    kept = stored(chain(found, split_bytes), "warc-records")
     ends = kept.groupBy("file").agg(F.max("after").alias("end"))
     short = files.join(ends, "file", "left").where(F.coalesce("end", F.lit(0)) != F.col("size"))
     if not short.isEmpty():

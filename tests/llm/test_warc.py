@@ -43,8 +43,7 @@ def test_records_inside_payloads_and_odd_rows(spark):
     assert warc.round_trip(spark, pages.limit(0)).count() == 0
 
 
-def test_many_splits(spark, monkeypatch):
-    monkeypatch.setattr(warc, "SPLIT_BYTES", 700)
+def test_many_splits(spark):
     trap = warc.record(5, "u", b"p" * 50, warc.digest(b"p" * 50)).decode()
     rows = [(k, f"u{k}", (trap if k % 3 == 0 else "text ") * (k % 7), "x") for k in range(60)]
     pages = warc.revisits(spark.createDataFrame(rows, TYPE).coalesce(1))
@@ -71,9 +70,32 @@ def test_a_broken_chain_is_an_error(spark):
         warc.read(files, folder)
 
 
-def test_heads_longer_than_what_is_read_past_a_split(spark, monkeypatch):
-    monkeypatch.setattr(warc, "SPLIT_BYTES", 700)
+def test_heads_longer_than_what_is_read_past_a_split(spark):
     rows = [(k, "u" * (150_000 if k % 2 else 5), f"text {k}", "x") for k in range(6)]
     folder = f"{warc.shared_folder(spark)}/heads"
     files = warc.write(warc.revisits(spark.createDataFrame(rows, TYPE).coalesce(1)), folder)
     assert sorted((int(r.page), r.n) for r in warc.read(files, folder, split_bytes=700).collect()) == [(k, 6) for k in range(6)]
+
+
+def test_text_ids_with_blanks(spark):
+    rows = [(i, "u", f"text {i!r}", "x") for i in ("", " ", "a  b", "a b", " lead", "tail ", "a\r\nb", "100%", "%20", "é:ü")]
+    rows += [("z", "u", "text ''", "x"), ("y\t", "u", "text ''", "x")]
+    pages = spark.createDataFrame(rows, TYPE.replace("page_id long", "page_id string"))
+    assert got(warc.round_trip(spark, pages)) == want(rows)
+
+
+def test_revisits_name_records(spark):
+    """Every record id occurs once, and a revisit's is that of a response with its digest."""
+    import re
+
+    rows = [(k, f"u{k}", f"text {k % 4}", "x") for k in range(12)] + [(None, "v", "alone", "x"), (None, "v", "alone too", "x"), (None, "w", "text 1", "x")]
+    folder = f"{warc.shared_folder(spark)}/names"
+    files = warc.write(warc.revisits(spark.createDataFrame(rows, TYPE)), folder)
+    raw = b"".join(open(f"{folder.removeprefix('file://')}/{r.file}", "rb").read() for r in files.collect()).decode()
+    heads = [dict(x.split(": ", 1) for x in h.split("\r\n")[1:]) for h in re.findall(r"WARC/1\.1\r\n.*?(?=\r\n\r\n)", raw, re.S)]
+    ids = [h["WARC-Record-ID"] for h in heads]
+    of = {h["WARC-Record-ID"]: h for h in heads if h["WARC-Type"] == "response"}
+    assert len(heads) == len(rows) == len(set(ids))
+    for h in heads:
+        if h["WARC-Type"] == "revisit":
+            assert of[h["WARC-Refers-To"]]["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
