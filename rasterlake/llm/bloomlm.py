@@ -6,9 +6,14 @@ back, and each chunk asks for its pairs' levels, telling how often it has them i
 or more go into a Bloom filter, a segment a range: a pair whose count has the quantised logarithm q is entered as (pair, 1) to
 (pair, q), so that probing levels until one is missing recovers q. Each segment is as large as its range's entries need
 (``ENTRY_BITS`` each) and is probed where it is made, for all chunks' pairs of the range, so that the filter grows with the corpus
-and no process holds more of it than a segment.
+and no process holds more of it than a segment. Ranges grow with the input, and partitions with the ranges; a chunk sends a row
+only for ranges in which it has keys, so that rows never exceed the chunks' distinct words and pairs.
 A word's probability mixes the pair's share, from the filter, with the word's own.
 
+Words are told apart by 64-bit hashes: two of V words share one with a chance of about V * V / 2**65 (V of a thousand millions:
+3 %). Pairs are told apart by 40 bits of a hash within their range of keys: as a range has about a million pairs at every size of
+input, one pair in a million counts with another, far fewer than the filter's own false answers.
+
 Lower-cased (A-Z) words, then one end token a text. ``base_score`` is the sum of log10((c + 0.5) / (N + 0.5 (V + 1))).
 
 Defined cases: null and empty texts are one end token; null ids are training rows; rows are independent, equal ids included; with
@@ -32,7 +37,8 @@ from .common import as_bytes, crc_mod, stored, table
 CHUNK_TOKENS = 500_000
 #: Characters of input for each range of keys.
 RANGE_CHARS = 8_000_000
-MAX_RANGES = 65_536
+#: Ranges that one task has on average, where there are more of them than the session's shuffle partitions have.
+TASK_RANGES = 16
 MIN_COUNT = 1
 ENTRY_BITS = 15
 PROBES = 4
@@ -50,7 +56,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _ranges_of(keys: np.ndarray, n: int) -> np.ndarray:
     """The range (0 to n - 1) of each key; rises with the key."""
-    return ((keys >> _U(32)) * _U(n)) >> _U(32)
+    return ((keys >> _U(32)) * _U(n)) >> _U(32)  # up to 2**32 ranges
 
 
 def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -84,21 +90,22 @@ class Chunk:
         place[often] = np.arange(len(often), dtype=np.uint32)
         planes = place[self.numbers].view(np.uint8).reshape(-1, 4)
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        parts = [self.keys.tobytes(), squeeze(often.tobytes()), *[squeeze(np.ascontiguousarray(planes[:, k])) for k in range(3)], squeeze(self.sizes.astype(np.int64).tobytes()), self.training.astype(np.uint8).tobytes()]
+        parts = [self.keys.tobytes(), squeeze(often.tobytes()), *[squeeze(np.ascontiguousarray(planes[:, k])) for k in range(4)], squeeze(self.sizes.astype(np.int64).tobytes()), self.training.astype(np.uint8).tobytes()]
         return np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts)
 
     @classmethod
     def unpacked(cls, raw: bytes) -> Chunk:
         import zstandard
 
-        ends = 56 + np.cumsum(np.frombuffer(raw[:56], np.int64))
-        starts = [56, *ends[:-1]]
+        ends = 64 + np.cumsum(np.frombuffer(raw[:64], np.int64))
+        starts = [64, *ends[:-1]]
         parts = [raw[a:b] for a, b in zip(starts, ends)]
         loose = zstandard.ZstdDecompressor().decompress
         often = np.frombuffer(loose(parts[1]), np.uint32)
-        low, mid, high = (np.frombuffer(loose(p), np.uint8).astype(np.uint32) for p in parts[2:5])
-        numbers = often[low | (mid << 8) | (high << 16)]
-        return cls(np.frombuffer(parts[0], np.uint64), numbers, np.frombuffer(loose(parts[5]), np.int64), np.frombuffer(parts[6], np.uint8).astype(bool))
+        place = np.zeros(len(loose(parts[2])), np.uint32)
+        for k in range(4):
+            place |= np.frombuffer(loose(parts[2 + k]), np.uint8).astype(np.uint32) << np.uint32(8 * k)
+        return cls(np.frombuffer(parts[0], np.uint64), often[place], np.frombuffer(loose(parts[6]), np.int64), np.frombuffer(parts[7], np.uint8).astype(bool))
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of the words before and at each token, and whether there is one before (not at a text's start)."""
@@ -156,8 +163,10 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col), held.alias("held"), F.col(text_col)).mapInArrow(run, f"chunk long, ids array<{id_type}>, held array<boolean>, body binary")
 
 
-def _by_range(df: DataFrame, run, schema: str) -> DataFrame:
+def _by_range(df: DataFrame, run, schema: str, ranges: int) -> DataFrame:
     """``run`` over the rows of each range, which lie together: it gets (range, list of rows' other columns) one at a time."""
+    parts = ranges // TASK_RANGES
+    dealt = df.repartition(parts, "range") if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition("range")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rows = None, []
@@ -172,7 +181,7 @@ def _by_range(df: DataFrame, run, schema: str) -> DataFrame:
         if rows:
             yield run(last, rows)
 
-    return df.repartition("range").sortWithinPartitions("range").mapInArrow(over, schema)
+    return dealt.sortWithinPartitions("range").mapInArrow(over, schema)
 
 
 def word_counts(chunks: DataFrame, ranges: int) -> DataFrame:
@@ -203,7 +212,7 @@ def word_counts(chunks: DataFrame, ranges: int) -> DataFrame:
         )
 
     asked = chunks.select("chunk", "body").mapInArrow(ask, "range long, chunk long, keys binary, counts binary")
-    return _by_range(asked, answer, "chunk long, range long, counts binary")
+    return _by_range(asked, answer, "chunk long, range long, counts binary", ranges)
 
 
 def pair_levels(chunks: DataFrame, ranges: int, min_count: int = MIN_COUNT) -> DataFrame:
@@ -241,14 +250,14 @@ def pair_levels(chunks: DataFrame, ranges: int, min_count: int = MIN_COUNT) -> D
         n = np.frombuffer(b"".join(x for _, _, x, _ in rows), np.uint8).astype(np.int64)
         n[n == 255] = np.frombuffer(b"".join(x for _, _, _, x in rows), np.uint32)
         keys, where = np.unique(_unpack5(b"".join(k for _, k, _, _ in rows)), return_inverse=True)
-        back = LogFilter.of(keys, np.bincount(where, n), min_count).levels(keys)[where]
+        back = LogFilter.of(keys, np.bincount(where, n), min_count, ENTRY_BITS).levels(keys)[where]
         ends = np.cumsum([len(x) for _, _, x, _ in rows])
         squeeze = zstandard.ZstdCompressor(level=1).compress
         levels = [squeeze(back[e - len(x) : e].tobytes()) for e, (_, _, x, _) in zip(ends, rows)]
         return pa.RecordBatch.from_arrays([pa.array([c for c, _, _, _ in rows]), pa.array(np.full(len(rows), r)), pa.array(levels, pa.binary())], names=["chunk", "range", "levels"])
 
     asked = chunks.select("chunk", "body").mapInArrow(ask, "range long, chunk long, keys binary, small binary, large binary")
-    return _by_range(asked, answer, "chunk long, range long, levels binary")
+    return _by_range(asked, answer, "chunk long, range long, levels binary", ranges)
 
 
 class LogFilter:
@@ -258,11 +267,11 @@ class LogFilter:
         self.bits, self.segment, self.floor, self.min_count = bits, segment, floor, min_count
 
     @classmethod
-    def of(cls, entries: np.ndarray, n: np.ndarray, min_count: int) -> LogFilter:
+    def of(cls, entries: np.ndarray, n: np.ndarray, min_count: int, entry_bits: int = ENTRY_BITS) -> LogFilter:
         """The segment of entries seen ``n`` times, all that are seen ``min_count`` times or more at all their levels."""
         keep = n >= min_count
         entries, q = entries[keep], (np.floor(np.log2(n[keep] / min_count)) + 1).astype(np.int64)
-        segment = (max(int(q.sum()) * ENTRY_BITS, 64) + 7) // 8 * 8
+        segment = (max(int(q.sum()) * entry_bits, 64) + 7) // 8 * 8
         bits = np.zeros(segment, np.uint8)
         for level in range(1, int(q.max(initial=0)) + 1):
             for at in cls.places(entries[q >= level], level, segment):
@@ -306,7 +315,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """Per text: ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``."""
     id_type = dict(docs.dtypes)[id_col]
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
-    ranges = int(min(max(chars // RANGE_CHARS, 32), MAX_RANGES))
+    ranges = int(max(chars // RANGE_CHARS, 32))
     chunks = stored(encoded(docs, id_col, text_col), "lm-chunks")
     answers = stored(word_counts(chunks, ranges), "lm-counts")
     totals = np.zeros(2)

@@ -258,6 +258,49 @@ def test_small_chunks_give_the_same(sample, monkeypatch):
         assert r.score == pytest.approx(whole[r.doc_id].score, rel=1e-9)
 
 
+def test_scores_of_pairs_by_hand(odd, sample, monkeypatch):
+    """Smoothed probabilities from exact counts, where the filter has so much room that no pair answers by chance."""
+    monkeypatch.setattr(bloomlm, "ENTRY_BITS", 400)
+    for docs in (odd, sample):
+        rows = [(str(r.doc_id), r.doc_id, [*(r.text or "").encode().lower().split(), b" "]) for r in docs.collect()]
+        words, pairs = Counter(), Counter()
+        for _, i, ws in rows:
+            if i is None or zlib.crc32(str(i).encode()) % 5 != 1:
+                words.update(ws)
+                pairs.update(zip(ws, ws[1:]))
+        n, v = sum(words.values()), len(words)
+        want = []
+        for name, _, ws in rows:
+            total = 0.0
+            for before, w in zip([None, *ws], ws):
+                p = (words[w] + 0.5) / (n + 0.5 * (v + 1))
+                if before is not None and words[before]:
+                    least = 2.0 ** (pairs[before, w].bit_length() - 1)
+                    count = math.sqrt(least * (2 * least - 1)) if pairs[before, w] else 0.0
+                    p = 0.5 * p + 0.5 * min(count / words[before], 1.0)
+                total += math.log10(p)
+            want.append((name, total))
+        got = sorted((str(r.doc_id), r.score) for r in bloomlm.scores(docs).collect())
+        assert [g[0] for g in got] == [w[0] for w in sorted(want)]
+        assert [g[1] for g in got] == pytest.approx([w[1] for w in sorted(want)], rel=1e-6)
+
+
+def test_ranges_follow_the_input(sample, monkeypatch):
+    """More ranges and partitions than a session has by default change nothing but the filter's false answers."""
+    monkeypatch.setattr(bloomlm, "ENTRY_BITS", 400)
+    few = {r.doc_id: r for r in bloomlm.scores(sample).collect()}
+    monkeypatch.setattr(bloomlm, "RANGE_CHARS", 400)
+    for r in bloomlm.scores(sample).collect():
+        assert r.score == pytest.approx(few[r.doc_id].score, rel=1e-6) and r.base_score == pytest.approx(few[r.doc_id].base_score)
+
+
+def test_chunks_of_more_words_than_three_bytes_number():
+    keys = np.arange(1 << 25, dtype=np.uint64)
+    numbers = np.array([5, 1 << 24, (1 << 25) - 1, 5], np.uint32)
+    c = bloomlm.Chunk.unpacked(bloomlm.Chunk(keys, numbers, np.array([4]), np.array([True])).packed())
+    assert c.numbers.tolist() == numbers.tolist() and c.sizes.tolist() == [4]
+
+
 def test_pairs_help_held_out_texts(spark):
     got = bloomlm.scores(spark.read.parquet(f"{SF}/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
