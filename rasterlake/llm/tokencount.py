@@ -3,7 +3,8 @@
 A text falls into pre-tokens (by the library's own rule), a pre-token's encoding into a dynamic program over its byte prefixes:
 the last token of the encoding of a prefix is the only vocabulary entry ending there that goes together with the last token of
 the prefix before it. The program so keeps the exact token count at every prefix; sums over pre-tokens give the count of the
-text, and answer budgets and truncations without encoding again.
+text, and answer budgets and truncations without encoding again. ``prefix_tables`` keeps them as a DataFrame, on which
+``tokens_of`` and ``bytes_within`` are plain expressions; counts are those of the library for each prefix as a text of its own.
 
 Defined cases: null and empty texts have zero tokens; a special token's text inside a text counts as that one token (the
 library's default); equal texts and ids count alike; an empty table gives no rows; other columns are ignored.
@@ -13,11 +14,12 @@ from __future__ import annotations
 
 import json
 import re
-from bisect import bisect_right
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from .common import per_text, table
+from .common import per_text, quoted, rewrite_text, table
 
 LIMIT = 1024
 #: Bound of a worker's memory of pre-token counts and token pairs, in entries; past it the memory starts anew.
@@ -57,6 +59,7 @@ class PrefixCounter:
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.counts: dict[str, int] = {}
         self.odd: set[str] = {""}
+        self.prefixes: dict[str, list[int]] = {}
 
     def _merge(self, raw: bytes) -> list[bytes]:
         """Plain pair merging of a short run of bytes."""
@@ -171,59 +174,102 @@ class PrefixCounter:
             totals[k] += sum(map(known, parts[1:]))
         return totals
 
+    def fit(self, text: str, budget: int) -> int:
+        """Bytes of the longest prefix of at most ``budget`` tokens. Sums up to blanks before visible characters never fall, so that it
+        ends in the first part whose sum is over the budget; only that part's prefixes are looked at."""
+        if any(s in text for s in self.special):
+            return PrefixTable(self, text).bytes_for(budget)
+        done, size, before = 0, 0, ("", 0)
+        for k, part in enumerate(_SPLIT.split(text)):
+            part = " " + part if k else part
+            n = self.counts.get(part[1:]) if k else None
+            n = self.sum_of(part) if n is None else n
+            if done + n > budget:
+                if before[0][-1:].isspace():  # the cut may change the blanks before
+                    part, done, size = before[0] + part, done - before[1], size - len(before[0].encode())
+                return size + PrefixTable(self, part).bytes_for(budget - done)
+            done, size, before = done + n, size + len(part.encode()), (part, n)
+        return size
+
     def count(self, text: str | None) -> int:
         """Tokens of one whole text."""
         return self.count_all([text])[0]
 
+    def prefixes_of(self, name: str) -> list[int]:
+        """Counts at the byte prefixes of a piece in the library's letters, kept for pieces that come again."""
+        got = self.prefixes.get(name)
+        if got is None:
+            if len(self.prefixes) > MEMORY // 4:
+                self.prefixes.clear()
+            got = self.prefixes[name] = self.prefix_counts(bytes(map(self.letters.__getitem__, name)))
+        return got
+
+    def sum_of(self, text: str) -> int:
+        """Tokens of a short text without special tokens."""
+        return sum(self.prefixes_of(p)[-1] for p in self.pieces(text))
+
     def table(self, text: str) -> PrefixTable:
         """The counts at every prefix of a text, for budgets and truncations."""
         return PrefixTable(self, text)
 
 
 class PrefixTable:
-    """Token counts at every byte prefix of one text (pre-tokens as in the whole text)."""
+    """Exact token counts of every prefix of one text that ends with a character; between a character's bytes its start's count."""
 
     def __init__(self, counter: PrefixCounter, text: str):
-        self.text, self.at = text.encode(), [0]
+        self.counter, self.text = counter, text.encode("utf-8", "surrogatepass")
+        self.at, self.whole = [0], 0  # counts of prefixes; tokens of the pieces so far, as the whole text has them
         pattern = "|".join(map(re.escape, counter.special))
+        last = ""  # the piece before a special token, which a part of that token may go on
         for chunk in re.split(f"({pattern})", text) if pattern else [text]:
             if chunk in counter.special:
-                base = self.at[-1]
-                self.at += [base + 1] * len(chunk.encode())
+                before = self.whole - counter.sum_of(last)
+                self.whole += 1
+                self._add(chunk, [*[before + counter.sum_of(last + chunk[:k]) for k in range(1, len(chunk))], self.whole])
+                last = ""
             elif chunk:
-                for p in counter.pieces(chunk):
-                    base = self.at[-1]
-                    self.at += [base + c for c in counter.prefix_counts(bytes(map(counter.letters.__getitem__, p)))[1:]]
+                last = self._chunk(chunk)
+
+    def _add(self, part: str, counts: list[int]) -> None:
+        """Counts at the characters' ends of the next part."""
+        for c, n in zip(part, counts):
+            self.at += [self.at[-1]] * (len(c.encode("utf-8", "surrogatepass")) - 1) + [n]
+
+    def _chunk(self, chunk: str) -> str:
+        """Go through a chunk's pieces; the last one. Where a cut changes the split (in contractions, after blanks), the tail is split anew."""
+        counter, before = self.counter, ""
+        for name, (a, b) in counter.pre.pre_tokenize_str(chunk):
+            piece, own, counts, size = chunk[a:b], counter.prefixes_of(name), [], 0
+            for k, c in enumerate(piece, 1):
+                size += len(c.encode("utf-8", "surrogatepass"))
+                if before.isspace() and piece[:k].isspace():
+                    counts.append(self.whole - counter.sum_of(before) + counter.sum_of(before + piece[:k]))
+                elif 1 < k < len(piece) and piece[0] == "'":
+                    counts.append(self.whole + counter.sum_of(piece[:k]))
+                else:
+                    counts.append(self.whole + own[size])
+            self._add(piece, counts)
+            self.whole += own[-1]
+            before = piece
+        return before
 
     def tokens(self, n_bytes: int | None = None) -> int:
         """Tokens of the first ``n_bytes`` (default: all)."""
         return self.at[-1 if n_bytes is None else n_bytes]
 
-    def longest_within(self, budget: int) -> str:
-        """The longest prefix, at a character's end, before the count first passes ``budget``."""
-        n = 0
-        for end, c in enumerate(self.at):
-            if c > budget:
-                break
-            n = end
-        while n < len(self.text) and self.text[n] & 0xC0 == 0x80:
+    def bytes_for(self, budget: int) -> int:
+        """Bytes of the longest prefix of at most ``budget`` tokens that ends with a character."""
+        n = len(self.text)
+        while self.at[n] > budget or (n < len(self.text) and self.text[n] & 0xC0 == 0x80):
             n -= 1
-        return self.text[:n].decode()
-
-    def running_max(self) -> list[int]:
-        out, top = [], 0
-        for c in self.at:
-            top = max(top, c)
-            out.append(top)
-        return out
+        return n
 
-    def bytes_for(self, budget: int) -> int:
-        """Bytes up to where the count first passes ``budget``, by bisection over running maxima."""
-        return bisect_right(self.running_max(), budget) - 1
+    def longest_within(self, budget: int) -> str:
+        return self.text[: self.bytes_for(budget)].decode("utf-8", "surrogatepass")
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per text: ``n_bytes``, ``n_tokens`` and ``over_limit``."""
+    """Per text: ``n_bytes``, ``n_tokens``, ``over_limit`` and ``fit_bytes``, the bytes of its longest prefix within the limit."""
     id_type = dict(docs.dtypes)[id_col]
 
     def make():
@@ -231,11 +277,51 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
 
         def work(texts):
             tokens = counter.count_all(texts)
-            return {"n_bytes": [len(t.encode()) if t else 0 for t in texts], "n_tokens": tokens, "over_limit": [n > limit for n in tokens]}
+            sizes = [len(t.encode()) if t else 0 for t in texts]
+            fit = [size if n <= limit else counter.fit(t, limit) for t, size, n in zip(texts, sizes, tokens)]
+            return {"n_bytes": sizes, "n_tokens": tokens, "over_limit": [n > limit for n in tokens], "fit_bytes": fit}
+
+        return work
+
+    return per_text(docs, f"`{id_col}` {id_type}, n_bytes long, n_tokens long, over_limit boolean, fit_bytes long", make, id_col, text_col, decode=True)
+
+
+def prefix_tables(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per text: ``counts``, the exact tokens of its prefixes by their bytes (0 to all of them). To be stored once and asked often."""
+    id_type = dict(docs.dtypes)[id_col]
+
+    def make():
+        counter = PrefixCounter(path)
+        return lambda texts: {"counts": pa.array([counter.table(t or "").at for t in texts], pa.list_(pa.int32()))}
+
+    return per_text(docs, f"`{id_col}` {id_type}, counts array<int>", make, id_col, text_col, decode=True, rows=32)
+
+
+def tokens_of(n_bytes: Column | int, counts: str = "counts") -> Column:
+    """Tokens of the first ``n_bytes``, from a stored table; null beyond the text."""
+    return F.get(quoted(counts), n_bytes if isinstance(n_bytes, Column) else F.lit(n_bytes))
+
+
+def bytes_within(budget: Column | int, counts: str = "counts") -> Column:
+    """Bytes of the longest prefix of at most ``budget`` tokens, from a stored table (bytes inside a character count as its start)."""
+    most = budget if isinstance(budget, Column) else F.lit(budget)
+    within = F.transform(F.col(quoted(counts)), lambda c, i: F.when(c <= most, i))
+    return F.array_max(within)
+
+
+def truncated(docs: DataFrame, path: str, budget: int = LIMIT) -> DataFrame:
+    """The documents, texts cut to their longest prefixes of at most ``budget`` tokens that end with a character."""
+
+    def make():
+        counter = PrefixCounter(path)
+
+        def work(texts):
+            over = counter.count_all(texts)
+            return [t.encode()[: counter.fit(t, budget)].decode() if n > budget else t for t, n in zip(texts, over)]
 
         return work
 
-    return per_text(docs, f"`{id_col}` {id_type}, n_bytes long, n_tokens long, over_limit boolean", make, id_col, text_col, decode=True)
+    return rewrite_text(docs, make)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
