@@ -17,14 +17,13 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text, rewrite_text, shared_folder, table
+from .common import fresh, per_text, rewrite_text, table
 
 WINDOW = 10
 #: Words in one automaton.
@@ -202,7 +201,7 @@ def automata(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
         return Automata(Automaton(block, window))
     from pyarrow import fs
 
-    folder = f"{shared_folder(items.sparkSession)}/automata-{uuid.uuid4().hex}"
+    folder = fresh(items.sparkSession, "automata")
     system, base = fs.FileSystem.from_uri(folder)
     system.create_dir(base, recursive=True)
     files: list[str] = []

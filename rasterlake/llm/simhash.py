@@ -187,7 +187,8 @@ def links(distinct: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of links (``a``, ``b``): ``node`` and ``root``, the least node (signed order) that it reaches.
 
-    Alternating large-star and small-star steps; each round is written to the shared folder.
+    Alternating large-star and small-star steps; each round is written to the shared folder. Rounds grow with the logarithm of the
+    longest path, so that ``rounds`` are enough for any table; ``RuntimeError`` if they are not.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
     seen = None

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, stored, table
+from .common import fresh, stored, table
 
 MAGIC = b"WARC/1.1\r\n"
 ROLL_BYTES = 64_000_000
@@ -258,7 +258,7 @@ def revisits(pages: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
 
 def round_trip(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write all pages, read the archives back."""
-    folder = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    folder = folder or fresh(spark, "warc")
     id_type = dict(pages.dtypes)["page_id"]
     records = read(write(revisits(pages), folder), folder)
     return records.select(

@@ -3,7 +3,7 @@ import hashlib
 
 import pytest
 
-from rasterlake.llm import warc
+from rasterlake.llm import common, warc
 
 TYPE = "page_id long, url string, html string, extra string"
 
@@ -47,7 +47,7 @@ def test_many_splits(spark):
     trap = warc.record(5, "u", b"p" * 50, warc.digest(b"p" * 50)).decode()
     rows = [(k, f"u{k}", (trap if k % 3 == 0 else "text ") * (k % 7), "x") for k in range(60)]
     pages = warc.revisits(spark.createDataFrame(rows, TYPE).coalesce(1))
-    folder = f"{warc.shared_folder(spark)}/splits"
+    folder = f"{common.shared_folder(spark)}/splits"
     files = warc.write(pages, folder, roll_bytes=9000)
     assert files.count() > 1
     kept = warc.read(files, folder, split_bytes=700)
@@ -56,7 +56,7 @@ def test_many_splits(spark):
 
 def test_a_broken_chain_is_an_error(spark):
     pages = spark.createDataFrame([(k, "u", f"text {k}" * 50, "x") for k in range(5)], TYPE)
-    folder = f"{warc.shared_folder(spark)}/broken"
+    folder = f"{common.shared_folder(spark)}/broken"
     files = warc.write(warc.revisits(pages.coalesce(1)), folder)
     path = folder.removeprefix("file://") + "/" + files.first().file
     with open(path, "r+b") as f:
@@ -72,7 +72,7 @@ def test_a_broken_chain_is_an_error(spark):
 
 def test_heads_longer_than_what_is_read_past_a_split(spark):
     rows = [(k, "u" * (150_000 if k % 2 else 5), f"text {k}", "x") for k in range(6)]
-    folder = f"{warc.shared_folder(spark)}/heads"
+    folder = f"{common.shared_folder(spark)}/heads"
     files = warc.write(warc.revisits(spark.createDataFrame(rows, TYPE).coalesce(1)), folder)
     assert sorted((int(r.page), r.n) for r in warc.read(files, folder, split_bytes=700).collect()) == [(k, 6) for k in range(6)]
 
@@ -89,7 +89,7 @@ def test_revisits_name_records(spark):
     import re
 
     rows = [(k, f"u{k}", f"text {k % 4}", "x") for k in range(12)] + [(None, "v", "alone", "x"), (None, "v", "alone too", "x"), (None, "w", "text 1", "x")]
-    folder = f"{warc.shared_folder(spark)}/names"
+    folder = f"{common.shared_folder(spark)}/names"
     files = warc.write(warc.revisits(spark.createDataFrame(rows, TYPE)), folder)
     raw = b"".join(open(f"{folder.removeprefix('file://')}/{r.file}", "rb").read() for r in files.collect()).decode()
     heads = [dict(x.split(": ", 1) for x in h.split("\r\n")[1:]) for h in re.findall(r"WARC/1\.1\r\n.*?(?=\r\n\r\n)", raw, re.S)]
