@@ -10,9 +10,7 @@ from . import vector
 
 
 def clip(pixels: DataFrame, header: Header, geojson: str, holes: bool = False) -> DataFrame:
-    """Bands inside the union of the polygons, zero outside. A hash join on the row with the span as a residual filter."""
-    spark = pixels.sparkSession
-    inside = vector.disjoint(vector.spans(vector.edges(spark, vector.polygons(geojson), header, holes), header)).select(F.col("y").alias("_y"), "c0", "c1")
-    joined = pixels.join(inside, (F.col("y") == F.col("_y")) & F.col("x").between(F.col("c0"), F.col("c1")), "left")
+    """Bands inside the union of the polygons, zero outside. Pixels stay where they are: the polygons' spans are broadcast to them."""
+    found = vector.cover(pixels.sparkSession, vector.polygons(geojson), header, holes, one_zone=True)
     bands = [c for c in pixels.columns if c not in ("y", "x")]
-    return joined.select("y", "x", *[F.when(F.col("_y").isNotNull(), F.col(b)).otherwise(F.lit(0.0)).alias(b) for b in bands])
+    return vector.joined(pixels, found, header, "left").select("y", "x", *[F.when(F.col("zone").isNotNull(), F.col(b)).otherwise(F.lit(0.0)).alias(b) for b in bands])

@@ -1,61 +1,115 @@
-"""Focal statistics over moving windows (square or circle)."""
+"""Focal statistics over moving windows (square or circle), by numpy kernels over blocks with halos."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import numpy as np
+from pyspark.sql import DataFrame
 
 from ..plans.header import Header
-from .neighbourhood import BLOCK, along_column, along_row, core, with_halo
+from .blocks import BLOCK, Tiling, mapped
 
 STATS = ("mean", "sum", "min", "max", "std", "variance", "median", "range")
 SHAPES = ("square", "circle")
+#: Values that are sorted at once for medians.
+SORTED = 1 << 19
 
 
-def _of_list(values: Column, stat: str) -> Column:
-    """A statistic of an array without nulls; sample variance, lower median; null for an empty array."""
-    n = F.size(values)
-    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+def reach(radius: int, shape: str) -> np.ndarray:
+    """Which places of the square around a pixel belong to its window."""
+    d = np.arange(-radius, radius + 1)
+    return np.ones((2 * radius + 1,) * 2, bool) if shape == "square" else d[:, None] ** 2 + d[None, :] ** 2 <= radius * radius
 
-    def variance(vs: Column) -> Column:
-        mean = F.aggregate(vs, F.lit(0.0), lambda a, v: a + v) / F.size(vs)
-        dev = F.get(F.transform(F.array(mean), lambda m: F.aggregate(vs, F.lit(0.0), lambda a, v: a + (v - m) * (v - m))), F.lit(0))
-        return F.when(F.size(vs) > 1, dev / (F.size(vs) - 1)).otherwise(0.0)
 
-    out = {
-        "sum": lambda: total, "mean": lambda: total / n, "min": lambda: F.array_min(values), "max": lambda: F.array_max(values), "range": lambda: F.array_max(values) - F.array_min(values),
-        "variance": lambda: variance(values), "std": lambda: F.sqrt(variance(values)), "median": lambda: F.get(F.sort_array(values), F.floor((n - 1) / 2).cast("int")),
-    }[stat]()
-    return F.when(n > 0, out)
+def along(a: np.ndarray, size: int, axis: int, op) -> np.ndarray:
+    """``op`` over ``size`` neighbours along an axis, by doubling."""
+    a = np.moveaxis(a, axis, 0)
+    n = len(a) - size + 1
+    out, power, span, at = None, a, 1, 0
+    while True:
+        if size & span:
+            part = power[at : at + n]
+            out = part if out is None else op(out, part)
+            at += span
+        if 2 * span > size:
+            return np.moveaxis(out, 0, axis)
+        power, span = op(power[:-span], power[span:]), 2 * span
+
+
+def shifts(padded: np.ndarray, window: np.ndarray):
+    """The padded grid as each place of the window sees it."""
+    h, w = (n - len(window) + 1 for n in padded.shape)
+    for dy, dx in zip(*np.nonzero(window)):
+        yield padded[dy : dy + h, dx : dx + w]
+
+
+def reduced(padded: np.ndarray, window: np.ndarray, op) -> np.ndarray:
+    """``op`` over each window; row by row and column by column where it is a square."""
+    if window.all():
+        return along(along(padded, len(window), 1, op), len(window), 0, op)
+    out = None
+    for part in shifts(padded, window):
+        out = part.copy() if out is None else op(out, part, out=out)
+    return out
+
+
+def median(padded: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """The lower median of each window's values; nulls are sorted behind them and not counted."""
+    k = len(window)
+    views = np.lib.stride_tricks.sliding_window_view(padded, (k, k))
+    out = np.empty(views.shape[:2])
+    places, gaps = np.flatnonzero(window), np.isnan(padded).any()
+    step = max(1, SORTED // (views.shape[1] * len(places)))
+    for at in range(0, len(out), step):
+        some = views[at : at + step].reshape(-1, k * k)
+        some = np.sort(some if len(places) == k * k else some[:, places], axis=1)
+        if gaps:
+            n = len(places) - np.isnan(some).sum(axis=1)
+            got = np.where(n > 0, np.take_along_axis(some, np.maximum((n - 1) // 2, 0)[:, None], axis=1)[:, 0], np.nan)
+        else:
+            got = some[:, (len(places) - 1) // 2]
+        out[at : at + step] = got.reshape(-1, views.shape[1])
+    return out
+
+
+def statistic(padded: np.ndarray, window: np.ndarray, stat: str) -> np.ndarray:
+    """A statistic of the values (without nulls) in each pixel's window; NaN where there are none. Sample variance, 0 of one value."""
+    if stat == "median":
+        return median(padded, window)
+    empty = np.isnan(padded)
+    gaps = empty.any()
+    n = reduced((~empty).astype(float), window, np.add) if gaps else float(window.sum())
+    if stat in ("min", "max", "range"):
+        low = reduced(np.where(empty, np.inf, padded) if gaps else padded, window, np.minimum) if stat != "max" else None
+        high = reduced(np.where(empty, -np.inf, padded) if gaps else padded, window, np.maximum) if stat != "min" else None
+        out = low if stat == "min" else high if stat == "max" else high - low
+    else:
+        out = reduced(np.where(empty, 0.0, padded) if gaps else padded, window, np.add)
+        if stat != "sum":
+            out = out / (np.maximum(n, 1) if gaps else n)
+        if stat in ("std", "variance"):
+            squares, step = np.zeros_like(out), np.empty_like(out)
+            for part in shifts(padded, window):
+                np.subtract(part, out, out=step)
+                np.multiply(step, step, out=step)
+                np.add(squares, np.nan_to_num(step, copy=False) if gaps else step, out=squares)
+            out = np.where(n > 1, squares / np.maximum(n - 1, 1), 0.0)
+            out = np.sqrt(out) if stat == "std" else out
+    return np.where(n > 0, out, np.nan) if gaps else out
 
 
 def focal(pixels: DataFrame, header: Header, stat: str = "mean", radius: int = 1, shape: str = "square", clamp_border: bool = True, block: int = BLOCK) -> DataFrame:
-    """``b1`` of each pixel's window of the first band; the edge repeats, or (``clamp_border=False``) windows end at it."""
+    """``b1`` of each pixel's window of the first band; the edge repeats, or (``clamp_border=False``) windows end at it.
+
+    Null pixels are left out of the windows; a window without values is null."""
     if stat not in STATS:
         raise ValueError(f"unknown statistic {stat!r}")
     if shape not in SHAPES:
         raise ValueError(f"unknown shape {shape!r}")
     if radius < 1:
         raise ValueError("the radius must be 1 or more")
-    blocks = with_halo(pixels.select("y", "x", F.col("b1").alias("v")), header, radius, block, clamp_border)
-    # frames by coordinates: rows of truncated or sparse windows need not be adjacent
-    row, column = along_row().rangeBetween(-radius, radius), along_column().rangeBetween(-radius, radius)
-    if shape == "square" and stat in ("mean", "sum", "min", "max", "range"):
-        cells = blocks.select("by", "bx", "y", "x", F.sum("v").over(row).alias("s"), F.count("v").over(row).alias("n"), F.min("v").over(row).alias("lo"), F.max("v").over(row).alias("hi"))
-        total = {k: f(k).over(column) for k, f in (("s", F.sum), ("n", F.sum), ("lo", F.min), ("hi", F.max))}
-        out = {"sum": total["s"], "mean": total["s"] / total["n"], "min": total["lo"], "max": total["hi"], "range": total["hi"] - total["lo"]}[stat]
-        return core(cells.select("by", "bx", "y", "x", out.alias("b1")), header, radius, block).select("y", "x", "b1")
-    cells = blocks.select("by", "bx", "y", "x", F.collect_list(F.struct(F.col("x").alias("x"), "v")).over(row).alias("line"))
-    around = cells.select("by", "bx", "y", "x", F.collect_list(F.struct(F.col("y").alias("y"), F.col("line").alias("line"))).over(column).alias("lines"))
-    here = core(around, header, radius, block)
-
-    def of_line(line: Column) -> Column:
-        kept = line["line"]
-        if shape == "circle":
-            dy = line["y"] - F.col("y")
-            kept = F.filter(kept, lambda c: (c["x"] - F.col("x")) * (c["x"] - F.col("x")) + dy * dy <= radius * radius)
-        return F.transform(F.filter(kept, lambda c: c["v"].isNotNull()), lambda c: c["v"])
-
-    values = F.flatten(F.transform("lines", of_line))
-    worked = F.get(F.transform(F.array(values), lambda vs: _of_list(vs, stat)), F.lit(0))
-    return here.select("y", "x", worked.alias("b1"))
+    tiling, window = Tiling.of(header, radius, block), reach(radius, shape)
+
+    def kernel(block, grid):
+        return [statistic(tiling.padded(block, grid[0], clamp_border), window, stat)]
+
+    return mapped(pixels.select("y", "x", "b1"), tiling, kernel, 1)

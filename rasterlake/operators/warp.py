@@ -1,14 +1,20 @@
-"""Reprojection: the target grid's pixels look up their source by exact coordinate transforms."""
+"""Reprojection: blocks of the target grid look up their source by exact coordinate transforms."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import crs as systems
 from ..plans.header import Header
+from .blocks import BLOCK, PIECES, Tiling, dealt, gathered, over_blocks, pixels_of, runs_of
 
 RESAMPLING = ("nearest", "bilinear")
+#: Places along a block's side whose coordinates tell its window of the source; most blocks of a target.
+NET = 33
+MOST = 250_000
 
 
 def target_header(header: Header, target: str, res_x: float = 0, res_y: float = 0, extent: tuple[float, float, float, float] | None = None, nodata: float = -9999.0) -> Header:
@@ -24,29 +30,132 @@ def target_header(header: Header, target: str, res_x: float = 0, res_y: float =
     return Header(width, height, (x0, res_x, 0.0, y1, 0.0, -res_y), target, header.bands, nodata)
 
 
-def reproject(pixels: DataFrame, header: Header, target: Header, resampling: str = "bilinear", fill: bool = True) -> DataFrame:
-    """Bands on the target's grid; outside the source is ``nodata`` (null with ``fill=False``, so that later steps pass it on)."""
+def _places(header: Header, target: Header, ys: np.ndarray, xs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Source columns and rows (fractions) of the target's places; arrays that broadcast against each other."""
+    with np.errstate(all="ignore"):
+        geo = target.to_geo(xs, ys)
+        return header.to_pixel(*systems.transform(target.crs, header.crs, *geo, systems.ON_ARRAYS))
+
+
+def windows(header: Header, target: Header, tiling: Tiling) -> np.ndarray:
+    """For each block of the target the source's rows and columns that it may look at (first and last, exclusive; all 0 for none).
+
+    From a net of places over each block, with what the coordinates bend between them (their second differences) as a margin. Blocks
+    that hold places without coordinates look at the whole source. Kernels check that they stay inside."""
+    net = NET if tiling.down * tiling.across <= 4096 else NET // 2
+    out = np.zeros((tiling.down * tiling.across, 4), np.int64)
+    for block in range(len(out)):
+        y0, y1, x0, x1 = tiling.core(block)
+        ys, xs = (np.unique(np.linspace(a, b - 1, min(net, b - a)).round()) for a, b in ((y0, y1), (x0, x1)))
+        spans = []
+        for at, size in zip(np.broadcast_arrays(*_places(header, target, ys[:, None], xs[None, :])), (header.width, header.height)):
+            fine = np.isfinite(at)
+            if not fine.all():
+                spans.append((0, size))
+                continue
+            bend = max((float(np.abs(np.diff(at, 2, axis=k)).max()) for k in (0, 1) if at.shape[k] > 2), default=0.0)
+            # steps of the net differ by one place at most
+            slope = max((float(np.abs(np.diff(at, axis=k)).max()) / max(1, np.diff((ys, xs)[k]).min()) for k in (0, 1) if at.shape[k] > 1), default=0.0)
+            low, high = at.min() - bend - slope - 2, at.max() + bend + slope + 3
+            spans.append((int(np.clip(low, 0, size)), int(np.clip(high + 1, 0, size))))
+        (a, b), (c, d) = spans
+        if a < b and c < d:
+            out[block] = c, d, a, b
+    return out
+
+
+def _sent(held, width: int):
+    """A map from batches of source pixels to pieces for the target's blocks that look at them."""
+
+    def run(batches):
+        rects = held.value
+        for ys, xs, cells in gathered(batches):
+            key = ys * width + xs
+            if (np.diff(key) < 0).any():
+                order = np.argsort(key, kind="stable")
+                key, ys, xs, cells = key[order], ys[order], xs[order], cells[:, order]
+            low, high, left, right = ys[0], ys[-1], xs.min(), xs.max()
+            rows = np.unique(ys)
+            numbers, runs, packed = [], [], []
+            for block in np.flatnonzero((rects[:, 0] <= high) & (rects[:, 1] > low) & (rects[:, 2] <= right) & (rects[:, 3] > left)).tolist():
+                y0, y1, x0, x1 = rects[block].tolist()
+                some = rows[np.searchsorted(rows, y0) : np.searchsorted(rows, y1)]
+                starts, ends = np.searchsorted(key, some * width + x0), np.searchsorted(key, some * width + x1)
+                n = ends - starts
+                if n.sum():
+                    at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    numbers.append(block)
+                    runs.append(runs_of((ys[at] - y0) * (x1 - x0) + xs[at] - x0))
+                    packed.append(np.ascontiguousarray(cells[:, at]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(runs, pa.binary()), pa.array(packed, pa.binary())], names=["block", "runs", "cells"])
+
+    return run
+
+
+def sampled(grid: np.ndarray, rect: tuple[int, int, int, int], header: Header, fx: np.ndarray, fy: np.ndarray, resampling: str) -> np.ndarray:
+    """Bands of a grid over ``rect`` at source places; NaN outside the source, and where a pixel that counts is null."""
+    y0, y1, x0, x1 = rect
+    with np.errstate(invalid="ignore"):
+        inside = (fx >= 0) & (fx < header.width) & (fy >= 0) & (fy < header.height)
+    out = np.full((len(grid), *inside.shape), np.nan)
+    if not inside.any():
+        return out
+
+    def spot(at, size, first, last):
+        """Places in the grid, clamped to the source; those that count have to lie in it."""
+        at = np.clip(np.nan_to_num(at, nan=0.0, posinf=0.0, neginf=0.0), 0, size - 1).astype(np.int64)
+        seen = np.broadcast_to(at, inside.shape)[inside]
+        if len(seen) and (seen.min() < first or seen.max() >= last):
+            raise RuntimeError("a block looks beyond the part of the source that was sent to it")
+        return np.clip(at - first, 0, last - first - 1)
+
+    if resampling == "nearest":
+        found = grid[:, spot(np.floor(fy + 0.5), header.height, y0, y1), spot(np.floor(fx + 0.5), header.width, x0, x1)]
+    else:
+        left, top = np.floor(fx), np.floor(fy)
+        wx, wy = fx - left, fy - top
+        gaps = np.isnan(grid).any()
+        found = 0.0
+        for down, by in ((0, 1 - wy), (1, wy)):
+            for right, bx in ((0, 1 - wx), (1, wx)):
+                part = grid[:, spot(top + down, header.height, y0, y1), spot(left + right, header.width, x0, x1)]
+                found = found + (np.where(by * bx == 0, 0.0, by * bx * part) if gaps else by * bx * part)
+    return np.where(inside, found, out)
+
+
+def reproject(pixels: DataFrame, header: Header, target: Header, resampling: str = "bilinear", fill: bool = True, block: int = BLOCK) -> DataFrame:
+    """Bands on the target's grid; outside the source is ``nodata`` (null with ``fill=False``, so that later steps pass it on).
+
+    Source pixels are packed and sent to the blocks of the target that look at them, in one exchange; source rows and columns that no
+    block looks at are not read. A pixel is null where a source pixel that counts for it (with any weight) is null or missing."""
     if resampling not in RESAMPLING:
         raise ValueError(f"unknown resampling {resampling!r}")
     spark = pixels.sparkSession
     bands = [c for c in pixels.columns if c not in ("y", "x")]
-    grid = spark.range(target.width * target.height).select((F.col("id") / target.width).cast("int").alias("y"), (F.col("id") % target.width).cast("int").alias("x"))
-    geo = target.to_geo(F.col("x"), F.col("y"))
-    sx, sy = header.to_pixel(*systems.transform(target.crs, header.crs, *geo, systems.ON_COLUMNS))
-    placed = grid.select("y", "x", sx.alias("fx"), sy.alias("fy"))
-    inside = (F.col("fx") >= 0) & (F.col("fx") < header.width) & (F.col("fy") >= 0) & (F.col("fy") < header.height)
-    limit = lambda c, top: F.least(F.greatest(c, F.lit(0)), F.lit(top - 1))
-    if resampling == "nearest":
-        cells = [(F.floor(F.col("fx") + 0.5), F.floor(F.col("fy") + 0.5), F.lit(1.0))]
+    while -(-target.width // block) * -(-target.height // block) > MOST:
+        block *= 2
+    tiling = Tiling.of(target, 0, block)
+    rects = windows(header, target, tiling)
+    n = len(rects)
+    held = spark.sparkContext.broadcast(rects)  # 32 bytes a block, of at most MOST
+    seen = rects[rects[:, 1] > 0]
+    rows = pixels.select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *[F.col(b).cast("double").alias(b) for b in bands])
+    if len(seen):
+        rows = rows.where(F.col("y").between(int(seen[:, 0].min()), int(seen[:, 1].max() - 1)) & F.col("x").between(int(seen[:, 2].min()), int(seen[:, 3].max() - 1)))
     else:
-        wx, wy = F.col("fx") - F.floor("fx"), F.col("fy") - F.floor("fy")
-        cells = [(F.floor("fx") + i, F.floor("fy") + j, (wx if i else 1 - wx) * (wy if j else 1 - wy)) for j in (0, 1) for i in (0, 1)]
-    wanted = [F.struct(limit(c.cast("int"), header.width).alias("sx"), limit(r.cast("int"), header.height).alias("sy"), w.alias("w")) for c, r, w in cells]
-    looked = placed.select("y", "x", F.explode(F.when(inside, F.array(*wanted)).otherwise(F.array(F.struct(F.lit(-1).alias("sx"), F.lit(-1).alias("sy"), F.lit(1.0).alias("w"))))).alias("c"))
-    source = pixels.select(F.col("y").alias("sy"), F.col("x").alias("sx"), *bands)
-    joined = looked.select("y", "x", "c.sx", "c.sy", "c.w").join(source, ["sy", "sx"], "left")
-    value = (lambda b: F.col(b)) if resampling == "nearest" else (lambda b: F.sum(F.col("w") * F.col(b)))
-    none = F.lit(target.nodata if fill else None).cast("double")
-    if resampling == "nearest":
-        return joined.select("y", "x", *[F.coalesce(value(b), none).alias(b) for b in bands])
-    return joined.groupBy("y", "x").agg(*[F.coalesce(value(b), none).alias(b) for b in bands])
+        rows = rows.where(F.lit(False))
+    none = target.nodata if fill and target.nodata is not None else np.nan
+
+    def work(number, grid, there):
+        y0, y1, x0, x1 = core = tiling.core(number)
+        fx, fy = _places(header, target, np.arange(y0, y1)[:, None], np.arange(x0, x1)[None, :])
+        found = sampled(grid, tuple(held.value[number].tolist()), header, fx, fy, resampling) if grid.size else np.full((len(grid), y1 - y0, x1 - x0), np.nan)
+        yield pixels_of(core, np.ones(found.shape[1:], bool), [np.where(np.isnan(v), none, v) for v in found])
+
+    def run(batches):
+        return over_blocks(batches, len(bands), lambda number: tuple(held.value[number].tolist()), work)
+
+    sent = rows.mapInArrow(_sent(held, header.width), PIECES)
+    empty = spark.range(n).select(F.col("id").alias("block"), F.lit(None).cast("binary").alias("runs"), F.lit(None).cast("binary").alias("cells"))
+    schema = "y int, x int, " + ", ".join(f"`{b}` double" for b in bands)
+    return dealt(sent.unionByName(empty), n).mapInArrow(run, schema)

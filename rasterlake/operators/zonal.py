@@ -21,14 +21,16 @@ def zonal_stats(pixels: DataFrame, header: Header, geojson: str, stats: tuple[st
     spark = pixels.sparkSession
     shapes = vector.polygons(geojson, collections=True)
     zones = spark.createDataFrame([(k,) for k in range(1, len(shapes) + 1)], "zone_id int")
-    parts = vector.disjoint(vector.spans(vector.edges(spark, shapes, header, holes), header)).withColumnRenamed("y", "_y")
+    cover = vector.cover(spark, shapes, header, holes)
     value = pixels.select("y", "x", F.col(f"b{band}").alias("v"))
-    if shapes:  # rows of the scan that no zone reaches are not read
-        rows = [header.to_pixel(*p)[1] for rings in shapes for p in rings[0]]
-        value = value.where(F.col("y").between(int(max(min(rows), 0)), int(min(max(rows), header.height))))
-    hits = value.join(parts, (F.col("y") == F.col("_y")) & F.col("x").between(F.col("c0"), F.col("c1")))
+    if shapes:  # rows and columns of the scan that no zone reaches are not read
+        points = [header.to_pixel(*p) for rings in shapes for p in rings[0]]
+        (x0, y0), (x1, y1) = (tuple(f(c) for c in zip(*points)) for f in (min, max))
+        value = value.where(F.col("y").between(int(max(y0, 0)), int(min(y1, header.height))) & F.col("x").between(int(max(x0, 0)), int(min(max(x1, 0), header.width))))
+    hits = vector.joined(value, cover, header, "inner")
     found = hits.groupBy(F.col("zone").alias("zone_id")).agg(
         F.count("v").alias("count"), F.sum("v").alias("sum"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std_dev")
     )
-    out = zones.join(found, "zone_id", "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long"))).withColumn("sum", F.coalesce("sum", F.lit(0.0)))
+    # a row a zone at most, and the zones came from the driver
+    out = zones.join(F.broadcast(found) if len(shapes) <= vector.SPANS else found, "zone_id", "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long"))).withColumn("sum", F.coalesce("sum", F.lit(0.0)))
     return out.select("zone_id", *wanted)

@@ -41,14 +41,15 @@ def embeddings(spark: SparkSession, sf_dir: str) -> Raster:
 
 
 def events(spark: SparkSession, sf_dir: str) -> RasterStack:
-    """Five scenes of 20 columns; event values."""
+    """Scenes of 20 columns, five full ones; event values. Where their number is no multiple of five, the last events are a sixth scene's first pixels."""
     t = _table(spark, sf_dir, "events")
-    n = int(t.count() // 5)
+    total = int(t.count())
+    n = max(total // 5, 1)
     p = F.col("event_id") % n
     height = (n - 1) // 20 + 1
     header = Header(20, height, (0.0, 1.0, 0.0, float(height), 0.0, -1.0))
-    cells = t.where(F.col("event_id") < 5 * n).select(F.floor(F.col("event_id") / n).cast("int").alias("scene"), F.floor(p / 20).cast("int").alias("y"), (p % 20).cast("int").alias("x"), F.col("value").cast("double").alias("b1"))
-    return RasterStack([Raster.of(cells.where(F.col("scene") == k).select("y", "x", "b1"), header) for k in range(5)])
+    cells = t.select(F.floor(F.col("event_id") / n).cast("int").alias("scene"), F.floor(p / 20).cast("int").alias("y"), (p % 20).cast("int").alias("x"), F.col("value").cast("double").alias("b1"))
+    return RasterStack.of(cells, -(-total // n), header)
 
 
 #: Polygons as fractions of width and height (halves of halves, so that pixel places are exact).

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import crs
 from ..operators import focal as focals
 from ..operators import temporal as temporals
 from ..operators import terrain as terrains
+from ..operators import texture as textures
+from ..session import shared_folder
 from ..streaming.chunks import strips
 from . import fixtures as fx
-from .raster import Raster
+from .raster import Raster, RasterStack
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -26,7 +28,7 @@ BASE = {
     "embeddings": "SELECT vec_id::INT AS y, (generate_subscripts(embedding, 1) - 1)::INT AS x, unnest(embedding)::DOUBLE AS b1 FROM embeddings",
 }
 WIDTH = {"orders": 50, "parts": 20, "embeddings": 64}
-EVENTS = "n AS (SELECT count(*) // 5 AS n FROM events), s AS (SELECT (event_id // n)::INT AS scene, ((event_id % n) // 20)::INT AS y, ((event_id % n) % 20)::INT AS x, value AS b1 FROM events, n WHERE event_id < 5 * n)"
+EVENTS = "n AS (SELECT count(*) // 5 AS n FROM events), s AS (SELECT (event_id // n)::INT AS scene, ((event_id % n) // 20)::INT AS y, ((event_id % n) % 20)::INT AS x, value AS b1 FROM events, n), k AS (SELECT max(scene) AS last FROM s)"
 
 
 def _raster(name: str, spark, sf_dir: str) -> Raster:
@@ -62,18 +64,18 @@ _algebra("algebra_minmax", "parts", "min(B1, B2 * 40) + max(B2, 25)", "least(b1,
 _algebra("algebra_div_eps", "parts", "B1 / (B2 - B2) + 1 / 4", "b1 / 1e-6::DOUBLE + 1::DOUBLE / (4::DOUBLE + 1e-6::DOUBLE)")
 
 
-def _spans(rings: list) -> str:
-    """CTEs from rings to spans: edges in pixels, crossings, even-odd pairs."""
+def _spans(rings: list, edges: str = "SELECT zone, fx0 * w AS x0, fy0 * h AS y0, fx1 * w AS x1, fy1 * h AS y1 FROM f, g", g: str = "g") -> str:
+    """CTEs from rings to spans: edges in pixels of the grid ``g``, crossings, even-odd pairs."""
     rows = []
     for zone, ring in enumerate(rings, 1):
         for (x0, y0), (x1, y1) in zip(ring, ring[1:]):
             if y0 != y1:
                 rows.append(f"({zone}, {x0!r}::DOUBLE, {y0!r}::DOUBLE, {x1!r}::DOUBLE, {y1!r}::DOUBLE)")
     return f"""f(zone, fx0, fy0, fx1, fy1) AS (VALUES {', '.join(rows)}),
-e AS (SELECT zone, fx0 * w AS x0, fy0 * h AS y0, fx1 * w AS x1, fy1 * h AS y1 FROM f, g),
-k AS (SELECT zone, t.y, x0 + (t.y - y0) * (x1 - x0) / (y1 - y0) AS c FROM e, g, range(0, (SELECT h FROM g)) AS t(y) WHERE (y0 <= t.y AND t.y < y1) OR (y1 <= t.y AND t.y < y0)),
+e AS ({edges}),
+k AS (SELECT zone, t.y, x0 + (t.y - y0) * (x1 - x0) / (y1 - y0) AS c FROM e, range(0, (SELECT h FROM {g})) AS t(y) WHERE (y0 <= t.y AND t.y < y1) OR (y1 <= t.y AND t.y < y0)),
 n2 AS (SELECT *, row_number() OVER (PARTITION BY zone, y ORDER BY c) - 1 AS i FROM k),
-p AS (SELECT zone, y, greatest(trunc(min(c)), 0) AS c0, least(trunc(max(c)), (SELECT w FROM g) - 1) AS c1 FROM n2 GROUP BY zone, y, i // 2 HAVING count(*) = 2 AND max(c) >= 0)"""
+p AS (SELECT zone, y, greatest(trunc(min(c)), 0) AS c0, least(trunc(max(c)), (SELECT w FROM {g}) - 1) AS c1 FROM n2 GROUP BY zone, y, i // 2 HAVING count(*) = 2 AND max(c) >= 0)"""
 
 
 def _clip(name: str, base: str, rings: list) -> None:
@@ -124,6 +126,8 @@ for _stat in focals.STATS:
             lambda spark, d, s=_stat, h=_shape, r=_radius: _rounded(_raster("parts", spark, d).focal(s, r, h).pixels),
             f"{_with('parts')}, {_around(_radius, _shape)} SELECT y, x, round({_FOCAL_SQL[_stat]}, 4) AS b1 FROM n GROUP BY y, x",
         )
+_CUT = "o AS (SELECT dy, dx FROM range(-2, 3) AS a(dy), range(-2, 3) AS b(dx)), n AS (SELECT r.y, r.x, q.b1 AS v FROM r, o JOIN r q ON q.y = r.y + dy AND q.x = r.x + dx)"
+_add("focal_mean_cut_border", lambda spark, d: _rounded(_raster("parts", spark, d).focal("mean", 2, clamp_border=False).pixels), f"{_with('parts')}, {_CUT} SELECT y, x, round(avg(v), 4) AS b1 FROM n GROUP BY y, x")
 _add("focal_median_square_r3", lambda spark, d: _rounded(_raster("parts", spark, d).focal("median", 3).pixels), f"{_with('parts')}, {_around(3, 'square')} SELECT y, x, round({_FOCAL_SQL['median']}, 4) AS b1 FROM n GROUP BY y, x")
 
 _Z = ", ".join(f"max(q.b1) FILTER (WHERE dy = {k // 3 - 1} AND dx = {k % 3 - 1}) AS z{k + 1}" for k in range(9))
@@ -148,8 +152,9 @@ _add("terrain_slope_zevenbergen", lambda spark, d: _rounded(_raster("embeddings"
 _add("terrain_multi", lambda spark, d: _rounded(_raster("parts", spark, d).terrain(["tpi", "slope", "roughness"]).pixels), f"{_with('parts')}, {_CELLS} SELECT y, x, round({_TERRAIN_SQL['tpi']}, 4) AS b1, round({_TERRAIN_SQL['slope']}, 4) AS b2, round({_TERRAIN_SQL['roughness']}, 4) AS b3 FROM s")
 
 _AT = "max(b1) FILTER (WHERE scene = {})"
+_LAST = "(SELECT last FROM k)"
 _TEMPORAL_SQL = {
-    "diff": f"{_AT.format(4)} - {_AT.format(0)}", "ratio": f"{_AT.format(4)} / nullif({_AT.format(0)} + 1e-6, 0)", "anomaly_mean": f"{_AT.format(0)} - avg(b1)", "anomaly_baseline": f"{_AT.format(0)} - {_AT.format(4)}",
+    "diff": f"{_AT.format(_LAST)} - {_AT.format(0)}", "ratio": f"{_AT.format(_LAST)} / nullif({_AT.format(0)} + 1e-6, 0)", "anomaly_mean": f"{_AT.format(0)} - avg(b1)", "anomaly_baseline": f"{_AT.format(0)} - {_AT.format(_LAST)}",
     "trend": "regr_slope(b1, scene)", "mean": "avg(b1)", "std": "stddev_pop(b1)", "min": "min(b1)", "max": "max(b1)",
 }
 for _op in temporals.OPS:
@@ -168,21 +173,48 @@ def _reprojected(resampling: str, extent: tuple | None = None, res: float = 0.0)
     return lambda spark, d: _rounded(_geographic(spark, d).reproject("EPSG:3857", res, res, resampling, extent=extent).filled())
 
 
-def _reproject_sql(resampling: str, extent: tuple | None = None, res: float = 0.0) -> str:
-    deg, rad = repr(180 / math.pi / 6378137.0), repr(math.pi / 180 * 6378137.0)
+def _target(extent: tuple | None = None, res: float = 0.0) -> str:
+    """CTEs of the target's grid (``dim``) and its places (``u``: ``y, x, h, w, gx, gy``), from the source's size ``g``."""
+    rad = repr(math.pi / 180 * 6378137.0)
     north = f"asinh(tan(52.0::DOUBLE * {math.pi / 180!r}::DOUBLE)) * 6378137.0"
     south = f"asinh(tan((52.0::DOUBLE + h * -0.01::DOUBLE) * {math.pi / 180!r}::DOUBLE)) * 6378137.0"
     box = f"10.0::DOUBLE * {rad}::DOUBLE AS x0, (10.0::DOUBLE + w * 0.01::DOUBLE) * {rad}::DOUBLE AS x1, ({south})::DOUBLE AS y0, ({north})::DOUBLE AS y1" if extent is None else f"{extent[0]!r}::DOUBLE AS x0, {extent[2]!r}::DOUBLE AS x1, {extent[1]!r}::DOUBLE AS y0, {extent[3]!r}::DOUBLE AS y1"
     step = f"{res!r}::DOUBLE AS rx, {res!r}::DOUBLE AS ry" if res else "(x1 - x0) / w AS rx, (y1 - y0) / h AS ry"
-    if resampling == "nearest":
-        pick = "SELECT t.y, t.x, round(coalesce(r.b1, -9999.0), 4) AS b1 FROM t LEFT JOIN r ON inside AND r.x = greatest(0, least(w - 1, floor(fx + 0.5))) AND r.y = greatest(0, least(h - 1, floor(fy + 0.5)))"
-    else:
-        pick = """, four AS (SELECT t.*, i, j, CASE WHEN i = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END * CASE WHEN j = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END AS wt FROM t, range(0, 2) AS a(i), range(0, 2) AS b(j))
+    return f"""box AS (SELECT {box}, h, w FROM g), st AS (SELECT *, {step} FROM box), dim AS (SELECT *, greatest(1, round_even((x1 - x0) / rx, 0))::INT AS dw, greatest(1, round_even((y1 - y0) / ry, 0))::INT AS dh FROM st),
+u AS (SELECT a.y::INT AS y, b.x::INT AS x, dim.h, dim.w, x0 + b.x * rx AS gx, y1 - a.y * ry AS gy FROM dim, range(0, (SELECT dh FROM dim)) AS a(y), range(0, (SELECT dw FROM dim)) AS b(x))"""
+
+
+def _mercator() -> str:
+    """Degrees of ``u`` in EPSG:3857."""
+    return f"SELECT y, x, h, w, gx * {180 / math.pi / 6378137.0!r}::DOUBLE AS lon, atan(sinh(gy * {1 / 6378137.0!r}::DOUBLE)) * {180 / math.pi!r}::DOUBLE AS lat FROM u"
+
+
+def _utm(zone: int) -> str:
+    """Degrees of ``u`` in a northern UTM zone, by Krueger's series."""
+    xi, eta = "xi", "eta"
+    for j, b in enumerate(crs._BETA, 1):
+        xi += f" - {b!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)"
+        eta += f" - {b!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)"
+    lat = "chi" + "".join(f" + {d!r}::DOUBLE * sin({2 * j} * chi)" for j, d in enumerate(crs._DELTA, 1))
+    scale = repr(1 / (0.9996 * crs._A))
+    return f"""SELECT y, x, h, w, atan2(sinh(eta1), cos(xi1)) * {180 / math.pi!r}::DOUBLE + {zone * 6 - 183.0!r} AS lon, ({lat}) * {180 / math.pi!r}::DOUBLE AS lat FROM (SELECT *, asin(sin(xi1) / cosh(eta1)) AS chi FROM (SELECT *, {xi} AS xi1, {eta} AS eta1
+FROM (SELECT *, gy * {scale}::DOUBLE AS xi, (gx - 500000.0) * {scale}::DOUBLE AS eta FROM u)))"""
+
+
+def _looked(degrees: str) -> str:
+    """CTEs from the target's places to the source's (``t``)."""
+    return f"""l AS ({degrees}), q AS (SELECT y, x, h, w, (lon - 10.0::DOUBLE) / 0.01::DOUBLE AS fx, (lat - 52.0::DOUBLE) / -0.01::DOUBLE AS fy FROM l),
+t AS (SELECT *, fx >= 0 AND fx < w AND fy >= 0 AND fy < h AS inside FROM q)"""
+
+
+_NEAREST = "inside AND r.x = greatest(0, least(w - 1, floor(fx + 0.5))) AND r.y = greatest(0, least(h - 1, floor(fy + 0.5)))"
+_FOUR = """four AS (SELECT t.*, i, j, CASE WHEN i = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END * CASE WHEN j = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END AS wt FROM t, range(0, 2) AS a(i), range(0, 2) AS b(j))
 SELECT four.y, four.x, round(coalesce(sum(wt * r.b1), -9999.0), 4) AS b1 FROM four LEFT JOIN r ON inside AND r.x = greatest(0, least(w - 1, floor(fx) + i)) AND r.y = greatest(0, least(h - 1, floor(fy) + j)) GROUP BY four.y, four.x"""
-    return f"""{_with('parts')}, box AS (SELECT {box}, h, w FROM g), st AS (SELECT *, {step} FROM box), dim AS (SELECT *, greatest(1, round_even((x1 - x0) / rx, 0))::INT AS dw, greatest(1, round_even((y1 - y0) / ry, 0))::INT AS dh FROM st),
-u AS (SELECT a.y::INT AS y, b.x::INT AS x, dim.h, dim.w, x0 + b.x * rx AS gx, y1 - a.y * ry AS gy FROM dim, range(0, (SELECT dh FROM dim)) AS a(y), range(0, (SELECT dw FROM dim)) AS b(x)),
-q AS (SELECT y, x, h, w, (gx * {deg}::DOUBLE - 10.0::DOUBLE) / 0.01::DOUBLE AS fx, (atan(sinh(gy * {1 / 6378137.0!r}::DOUBLE)) * {180 / math.pi!r}::DOUBLE - 52.0::DOUBLE) / -0.01::DOUBLE AS fy FROM u),
-t AS (SELECT *, fx >= 0 AND fx < w AND fy >= 0 AND fy < h AS inside FROM q) {pick}"""
+
+
+def _reproject_sql(resampling: str, extent: tuple | None = None, res: float = 0.0, degrees: str | None = None) -> str:
+    pick = f" SELECT t.y, t.x, round(coalesce(r.b1, -9999.0), 4) AS b1 FROM t LEFT JOIN r ON {_NEAREST}" if resampling == "nearest" else f", {_FOUR}"
+    return f"{_with('parts')}, {_target(extent, res)}, {_looked(degrees or _mercator())}{pick}"
 
 
 _EXTENT = (1113000.0, 6780000.0, 1125000.0, 6801000.0)
@@ -193,35 +225,82 @@ _add("reproject_nodata", _reprojected("nearest", _EXTENT, 900.0), _reproject_sql
 SQL["reproject_bilinear"] = _reproject_sql("bilinear")
 SQL["reproject_nearest"] = _reproject_sql("nearest")
 
+_ZONE = (568000.0, 5740000.0, 583000.0, 5764000.0)
+_add("reproject_utm", lambda spark, d: _rounded(_geographic(spark, d).reproject("EPSG:32632", 700.0, 700.0, extent=_ZONE).filled()), _reproject_sql("bilinear", _ZONE, 700.0, _utm(32)))
+
+
+def _stacked(spark, d) -> DataFrame:
+    s = fx.events(spark, d)
+    scenes = [Raster(r.pixels, r.header.with_(transform=GEOGRAPHIC, crs="EPSG:4326")) for r in s.scenes]
+    return _rounded(RasterStack(scenes).reproject("EPSG:3857", 900.0, 900.0, "nearest", extent=_EXTENT).temporal("mean").filled())
+
+
+_add(
+    "stack_reproject_temporal", _stacked,
+    f"""WITH {EVENTS}, g AS (SELECT (n - 1) // 20 + 1 AS h, 20 AS w FROM n), {_target(_EXTENT, 900.0)}, {_looked(_mercator())}
+SELECT t.y, t.x, round(coalesce(avg(r.b1), -9999.0), 4) AS b1 FROM t LEFT JOIN s AS r ON {_NEAREST} GROUP BY t.y, t.x""",
+)
+
 _LEVELS, _WINDOW = 8, 5
 
 
-def _glcm_sql(feature: str) -> str:
-    r = _WINDOW // 2
-    out = {
-        "asm": "sum(p * p)", "contrast": "sum((i - j) ** 2 * p)", "homogeneity": "sum(p / (1 + (i - j) ** 2))", "entropy": "-sum(CASE WHEN p > 1e-10 THEN p * log2(p) ELSE 0 END)",
-        "dissimilarity": "sum(abs(i - j) * p)", "autocorrelation": "sum(i * j * p)", "max_probability": "max(p)",
-    }[feature]
-    return f"""{_with('parts')}, mm AS (SELECT min(b2) AS lo, CASE WHEN max(b2) > min(b2) THEN max(b2) - min(b2) ELSE 1.0 END AS span FROM r),
-l AS (SELECT y, x, trunc(greatest(0.0, least({_LEVELS - 1}.0, (b2 - lo) / span * {_LEVELS})))::INT AS q FROM r, mm),
+def _matrices(window: int, value: str = "b2") -> str:
+    """CTEs to the cells ``p`` of each pixel's matrix in each direction ``k``."""
+    r = window // 2
+    return f"""{_with('parts')}, val AS (SELECT y, x, {value} AS v FROM r), mm AS (SELECT min(v) AS lo, CASE WHEN max(v) > min(v) THEN max(v) - min(v) ELSE 1.0 END AS span FROM val),
+l AS (SELECT y, x, trunc(greatest(0.0, least({_LEVELS - 1}.0, (v - lo) / span * {_LEVELS})))::INT AS q FROM val, mm),
 d(k, dx, dy) AS (VALUES (0, 1, 0), (1, 1, 1), (2, 0, 1), (3, -1, 1)),
 o AS (SELECT oy, ox FROM range({-r}, {r + 1}) AS a(oy), range({-r}, {r + 1}) AS b(ox)),
 c AS (SELECT l.y, l.x, k, greatest(0, least(h - 1, l.y + oy)) AS ay, greatest(0, least(w - 1, l.x + ox)) AS ax, greatest(0, least(h - 1, l.y + oy + dy)) AS cy, greatest(0, least(w - 1, l.x + ox + dx)) AS cx FROM l, g, o, d),
 t AS (SELECT c.y, c.x, k, m.q AS a, n.q AS b FROM c JOIN l m ON m.y = ay AND m.x = ax JOIN l n ON n.y = cy AND n.x = cx),
 s AS (SELECT y, x, k, a AS i, b AS j FROM t UNION ALL SELECT y, x, k, b, a FROM t),
-p AS (SELECT y, x, k, i, j, count(*) / {2.0 * _WINDOW * _WINDOW} AS p FROM s GROUP BY ALL),
-e AS (SELECT y, x, k, {out} AS v FROM p GROUP BY y, x, k)
+p AS (SELECT y, x, k, i, j, count(*) / {2.0 * window * window} AS p FROM s GROUP BY ALL)"""
+
+
+_PLOGP = "-sum(CASE WHEN {0} > 1e-10 THEN {0} * log2({0}) ELSE 0 END)"
+_OF_CELLS = {
+    "asm": "sum(p * p)", "contrast": "sum((i - j) ** 2 * p)", "homogeneity": "sum(p / (1 + (i - j) ** 2))", "entropy": _PLOGP.format("p"),
+    "dissimilarity": "sum(abs(i - j) * p)", "autocorrelation": "sum(i * j * p)", "max_probability": "max(p)",
+}
+
+
+def _glcm_sql(feature: str, value: str = "b2") -> str:
+    return f"""{_matrices(_WINDOW, value)}, e AS (SELECT y, x, k, {_OF_CELLS[feature]} AS v FROM p GROUP BY y, x, k)
 SELECT y, x, round(avg(v), 4) AS b1 FROM e GROUP BY y, x"""
 
 
+def _glcm_all_sql() -> str:
+    """All features: from cells, from sums' and differences' shares, from marginals, and from cells with both marginals."""
+    own = ", ".join(f"{v} AS {k}" for k, v in _OF_CELLS.items())
+    final = {
+        **{k: k for k in _OF_CELLS}, "correlation": "CASE WHEN greatest(variance, 1e-10) > 2e-10 THEN (autocorrelation - mu * mu) / greatest(variance, 1e-10) ELSE 0 END",
+        "imc1": "CASE WHEN hx > 1e-10 THEN (entropy - hxy1) / hx ELSE 0 END", "imc2": "sqrt(greatest(0.0, 1 - exp(-2 * (hxy2 - entropy))))",
+    }
+    bands = ", ".join(f"round(avg({final.get(f, f)}), 4) AS b{n}" for n, f in enumerate(textures.FEATURES, 1))
+    return f"""{_matrices(_WINDOW)}, m AS (SELECT y, x, k, sum(i * p) AS mu FROM p GROUP BY y, x, k),
+cells AS (SELECT y, x, k, any_value(mu) AS mu, {own}, sum((i - mu) ** 2 * p) AS variance, sum((i + j - 2 * mu) ** 3 * p) AS cluster_shade, sum((i + j - 2 * mu) ** 4 * p) AS cluster_prominence FROM p JOIN m USING (y, x, k) GROUP BY y, x, k),
+sums AS (SELECT y, x, k, sum(v * z) AS sum_average, {_PLOGP.format('v')} AS sum_entropy, sum(v * z * z) - sum(v * z) ** 2 AS sum_variance FROM (SELECT y, x, k, i + j AS z, sum(p) AS v FROM p GROUP BY ALL) GROUP BY y, x, k),
+diffs AS (SELECT y, x, k, sum(v * z * z) AS diff_variance, {_PLOGP.format('v')} AS diff_entropy FROM (SELECT y, x, k, abs(i - j) AS z, sum(p) AS v FROM p GROUP BY ALL) GROUP BY y, x, k),
+px AS (SELECT y, x, k, i, sum(p) AS v FROM p GROUP BY ALL), hx AS (SELECT y, x, k, -sum(v * log2(v + 1e-10)) AS hx FROM px GROUP BY y, x, k),
+h1 AS (SELECT p.y, p.x, p.k, -sum(p.p * log2(a.v * b.v + 1e-10)) AS hxy1 FROM p JOIN px a ON (a.y, a.x, a.k, a.i) = (p.y, p.x, p.k, p.i) JOIN px b ON (b.y, b.x, b.k, b.i) = (p.y, p.x, p.k, p.j) GROUP BY ALL),
+h2 AS (SELECT y, x, k, -sum(a.v * b.v * log2(a.v * b.v + 1e-10)) AS hxy2 FROM px a JOIN px b USING (y, x, k) GROUP BY y, x, k)
+SELECT y, x, {bands} FROM cells JOIN sums USING (y, x, k) JOIN diffs USING (y, x, k) JOIN hx USING (y, x, k) JOIN h1 USING (y, x, k) JOIN h2 USING (y, x, k) GROUP BY y, x"""
+
+
+def _glcm_separate_sql(features: tuple[str, ...], window: int) -> str:
+    bands = ", ".join(f"round(max({f}) FILTER (WHERE k = {k}), 4) AS b{k * len(features) + n}" for k in range(4) for n, f in enumerate(features, 1))
+    return f"{_matrices(window)}, e AS (SELECT y, x, k, {', '.join(f'{_OF_CELLS[f]} AS {f}' for f in features)} FROM p GROUP BY y, x, k) SELECT y, x, {bands} FROM e GROUP BY y, x"
+
+
 def _sizes(spark, d) -> Raster:
     return _raster("parts", spark, d).algebra("B2")
 
 
 for _feature in ("asm", "contrast", "homogeneity", "entropy", "dissimilarity", "autocorrelation", "max_probability"):
     _add(f"glcm_{_feature}", lambda spark, d, f=_feature: _rounded(_sizes(spark, d).texture([f], window=_WINDOW, levels=_LEVELS).pixels), _glcm_sql(_feature))
-_add("glcm_full18", lambda spark, d: _rounded(_sizes(spark, d).texture(window=_WINDOW, levels=_LEVELS).pixels))
-_add("glcm_separate", lambda spark, d: _rounded(_sizes(spark, d).texture(["asm", "contrast"], window=3, levels=_LEVELS, direction_mode="separate").pixels))
+_add("glcm_full18", lambda spark, d: _rounded(_sizes(spark, d).texture(window=_WINDOW, levels=_LEVELS).pixels), _glcm_all_sql())
+_add("glcm_log_scale", lambda spark, d: _rounded(_sizes(spark, d).texture(["contrast"], window=_WINDOW, levels=_LEVELS, log_scale=True).pixels), _glcm_sql("contrast", "CASE WHEN b2 > 0 THEN 10 * log10(b2) ELSE -100.0 END"))
+_add("glcm_separate", lambda spark, d: _rounded(_sizes(spark, d).texture(["asm", "contrast"], window=3, levels=_LEVELS, direction_mode="separate").pixels), _glcm_separate_sql(("asm", "contrast"), 3))
 
 
 def _chained(spark, d) -> DataFrame:
@@ -240,7 +319,14 @@ def _warped(spark, d) -> DataFrame:
     return _rounded(r.clip(fx.geojson(fx.BOX, r.header)).filled())
 
 
-_add("chain_reproject_algebra_clip", _warped)
+# the polygon's corners go to the target's coordinates and back, as the query's do
+_CORNERS = ", ".join(f"((x0 + (f{a}{k} * dw) * rx) - x0) / rx AS {a}{k}" if a == "x" else f"((y1 + (f{a}{k} * dh) * -ry) - y1) / -ry AS {a}{k}" for k in "01" for a in "xy")
+_add(
+    "chain_reproject_algebra_clip", _warped,
+    f"""{_with('parts')}, {_target()}, {_looked(_mercator())}, g2 AS (SELECT dh AS h, dw AS w FROM dim), {_spans(fx.BOX, f"SELECT zone, {_CORNERS.replace('fx', 'f.fx').replace('fy', 'f.fy')} FROM f, dim", "g2")},
+v AS (SELECT t.y, t.x, r.b1 FROM t LEFT JOIN r ON {_NEAREST})
+SELECT y, x, CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.y = v.y AND v.x BETWEEN c0 AND c1) THEN round(coalesce(b1 * 2, -9999.0), 4) ELSE 0.0 END AS b1 FROM v""",
+)
 
 
 def _histogram(spark, d) -> DataFrame:
@@ -260,7 +346,7 @@ _add("chunk_histogram", _histogram, f"{_with('parts')}, v AS (SELECT least(9, fl
 
 def _written(spark, d) -> DataFrame:
     r = _raster("parts", spark, d)
-    path = f"{tempfile.gettempdir()}/raster-{uuid.uuid4().hex}.tif"
+    path = f"{shared_folder(spark)}/raster-{uuid.uuid4().hex}.tif"
     r.save_local(path)
     return _rounded(Raster.open(spark, path).pixels, 2)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -22,16 +22,32 @@ from .header import Header
 MEMORY_LIMIT = 1 << 30
 
 
-def _no_nan(pixels: DataFrame) -> DataFrame:
-    bands = [c for c in pixels.columns if c not in ("y", "x")]
-    return pixels.select("y", "x", *[F.nullif(F.col(b).cast("double"), F.lit(float("nan"))).alias(b) for b in bands])
+def _no_nan(pixels: DataFrame, *keys: str) -> DataFrame:
+    bands = [c for c in pixels.columns if c not in ("y", "x", *keys)]
+    return pixels.select(*keys, "y", "x", *[F.nullif(F.col(b).cast("double"), F.lit(float("nan"))).alias(b) for b in bands])
 
 
 class Raster:
-    """Pixels ``(y, x, b1, ..)``, one row for each place of the grid, and a header. Every operation gives a new raster."""
+    """Pixels ``(y, x, b1, ..)``, one row for each place of the grid, and a header. Every operation gives a new raster.
 
-    def __init__(self, pixels: DataFrame, header: Header):
-        self.pixels, self.header = pixels, header.with_(bands=len(pixels.columns) - 2)
+    A raster of a file (``read`` gives pixels of some bands) reads the bands that the next operation needs, and no others."""
+
+    def __init__(self, pixels: DataFrame | None, header: Header, read: Callable[[list[int]], DataFrame] | None = None):
+        self._pixels, self._read = pixels, read
+        self.header = header if pixels is None else header.with_(bands=len(pixels.columns) - 2)
+
+    @property
+    def pixels(self) -> DataFrame:
+        if self._pixels is None:
+            self._pixels = self.only(range(1, self.header.bands + 1))
+        return self._pixels
+
+    def only(self, bands: Iterable[int]) -> DataFrame:
+        """Pixels of some bands, under their own names."""
+        names = [f"b{k}" for k in bands]
+        if self._pixels is not None:
+            return self._pixels.select("y", "x", *names)
+        return self._read([int(n[1:]) for n in names]).toDF("y", "x", *names)
 
     @classmethod
     def of(cls, pixels: DataFrame, header: Header) -> Raster:
@@ -40,9 +56,10 @@ class Raster:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, bands: list[int] | None = None) -> Raster:
-        pixels, header = geotiff.read(spark, path, bands)
-        names = ["y", "x", *[f"b{k}" for k in range(1, len(pixels.columns) - 1)]]
-        return cls(pixels.toDF(*names), header)
+        """A file, of which no pixel is read yet; with ``bands`` a raster of those, in that order."""
+        header = geotiff.header_of(path).header
+        chosen = list(bands) if bands else list(range(1, header.bands + 1))
+        return cls(None, header.with_(bands=len(chosen)), lambda some: geotiff.read(spark, path, [chosen[k - 1] for k in some])[0])
 
     def get_info(self) -> dict:
         return self.header.info()
@@ -52,7 +69,14 @@ class Raster:
 
     def algebra(self, expression: str) -> Raster:
         """One band from an expression over this raster's bands."""
-        return self._next(self.pixels.select("y", "x", compile_expression(expression, self.header.bands).cast("double").alias("b1")))
+        used: set[int] = set()
+
+        def band(n: int):
+            used.add(n)
+            return F.col(f"b{n}")
+
+        value = compile_expression(expression, self.header.bands, band)
+        return self._next(self.only(sorted(used)).select("y", "x", value.cast("double").alias("b1")))
 
     def clip(self, geojson: str, holes: bool = False) -> Raster:
         return self._next(clips.clip(self.pixels, self.header, geojson, holes))
@@ -63,16 +87,17 @@ class Raster:
         return Raster(warp.reproject(self.pixels, self.header, target, resampling, fill=False), target)
 
     def focal(self, stat: str = "mean", radius: int = 1, shape: str = "square", clamp_border: bool = True) -> Raster:
-        return self._next(focals.focal(self.pixels, self.header, stat, radius, shape, clamp_border))
+        return self._next(focals.focal(self.only([1]), self.header, stat, radius, shape, clamp_border))
 
     def terrain(self, metrics: list[str] | None = None, **options) -> Raster:
-        return self._next(terrains.terrain(self.pixels, self.header, tuple(metrics or ("slope",)), **options))
+        return self._next(terrains.terrain(self.only([1]), self.header, tuple(metrics or ("slope",)), **options))
 
     def texture(self, features: list[str] | None = None, **options) -> Raster:
-        return self._next(textures.texture(self.pixels, self.header, tuple(features or ()), **options))
+        return self._next(textures.texture(self.only([1]), self.header, tuple(features or ()), **options))
 
     def zonal_stats(self, geojson: str, stats: list[str] | None = None, band: int = 1) -> DataFrame:
-        return zonal.zonal_stats(self.pixels, self.header, geojson, tuple(stats or ()), band)
+        pixels = self.only([band]) if 1 <= band <= self.header.bands else self.pixels
+        return zonal.zonal_stats(pixels, self.header, geojson, tuple(stats or ()), band)
 
     def filled(self) -> DataFrame:
         """Pixels with nulls as the header's nodata, if it has one."""
@@ -105,7 +130,9 @@ class Raster:
 
 
 class RasterStack:
-    """Scenes of one grid: pixels with a ``scene`` number. Steps before ``temporal`` apply to each scene."""
+    """Scenes of one grid. Steps before ``temporal`` apply to each scene.
+
+    Scenes come one by one, or (``of``) as one table with a ``scene`` number from 0 on, which is scanned once."""
 
     def __init__(self, scenes: list[Raster], steps: tuple[Callable[[Raster], Raster], ...] = ()):
         if not scenes:
@@ -115,30 +142,55 @@ class RasterStack:
             h = s.header
             if (h.width, h.height, h.transform, h.crs) != (first.width, first.height, first.transform, first.crs):
                 raise ValueError("the scenes' grids differ")
-        self.scenes, self.steps = scenes, steps
+        self._scenes, self.steps, self.header, self.count, self._rows = scenes, steps, first, len(scenes), None
 
     @classmethod
     def open(cls, spark: SparkSession, paths: list[str]) -> RasterStack:
         return cls([Raster.open(spark, p) for p in paths])
 
+    @classmethod
+    def of(cls, rows: DataFrame, count: int, header: Header) -> RasterStack:
+        """A stack of ``count`` scenes from a table ``scene, y, x, b1, ..``; bands become doubles, NaN becomes null."""
+        if count < 1:
+            raise ValueError("a stack needs scenes")
+        bands = [c for c in rows.columns if c not in ("scene", "y", "x")]
+        return cls._made(None, _no_nan(rows, "scene"), count, header.with_(bands=len(bands)), ())
+
+    @classmethod
+    def _made(cls, scenes, rows, count, header, steps) -> RasterStack:
+        out = cls.__new__(cls)
+        out._scenes, out._rows, out.count, out.header, out.steps = scenes, rows, count, header, steps
+        return out
+
+    @property
+    def scenes(self) -> list[Raster]:
+        if self._scenes is None:
+            self._scenes = [Raster(self._rows.where(F.col("scene") == k).drop("scene"), self.header) for k in range(self.count)]
+        return self._scenes
+
     def _and(self, step: Callable[[Raster], Raster]) -> RasterStack:
-        return RasterStack(self.scenes, (*self.steps, step))
+        return self._made(self.scenes, None, self.count, self.header, (*self.steps, step))
 
     def algebra(self, expression: str) -> RasterStack:
-        return self._and(lambda r: r.algebra(expression))
+        if self._rows is None:
+            return self._and(lambda r: r.algebra(expression))
+        value = compile_expression(expression, self.header.bands).cast("double").alias("b1")
+        return self._made(None, self._rows.select("scene", "y", "x", value), self.count, self.header.with_(bands=1), ())
 
     def reproject(self, *args, **options) -> RasterStack:
         return self._and(lambda r: r.reproject(*args, **options))
 
     def temporal(self, op: str, t0: int = 0, t1: int = -1, time_values: list[float] | None = None) -> Raster:
-        done = list(self.scenes)
-        for step in self.steps:
-            done = [step(r) for r in done]
-        rows = None
-        for k, r in enumerate(done):
-            part = r.pixels.select(F.lit(k).alias("scene"), "y", "x", "b1")
-            rows = part if rows is None else rows.unionByName(part)
-        return Raster(temporals.temporal(rows, len(done), op, t0, t1, time_values), done[0].header)
+        rows, header = self._rows, self.header
+        if rows is None:
+            done = list(self.scenes)
+            for step in self.steps:
+                done = [step(r) for r in done]
+            header = done[0].header
+            for k, r in enumerate(done):
+                part = r.only([1]).select(F.lit(k).alias("scene"), "y", "x", "b1")
+                rows = part if rows is None else rows.unionByName(part)
+        return Raster(temporals.temporal(rows, self.count, op, t0, t1, time_values), header)
 
     def to_memory(self):
         raise ValueError("a stack has to be reduced by temporal() first")

@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_OWN: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -26,6 +27,18 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(target))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a folder of our own on a single
+    machine, and an error on a cluster."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return "file://" + _OWN.setdefault(context.applicationId, tempfile.mkdtemp(prefix="rasterlake-"))
+
+
 def local(cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session on one machine, as tests and the bench use it."""
     return (

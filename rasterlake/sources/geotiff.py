@@ -1,26 +1,41 @@
-"""GeoTIFF as a Spark data source, and a writer that streams tiles.
+"""GeoTIFF as a Spark data source, and a writer of tiles.
 
 Files are reached through Arrow's file systems, so that local paths and ``s3://`` (also ``/vsis3/``) paths read alike. A reading
-task gets rows of blocks of one file; only the bands asked for are fetched, and neighbouring blocks with small gaps together.
+task gets rows of blocks of one file; only the bands asked for are fetched, and only blocks that filters on ``y`` and ``x`` leave;
+neighbouring blocks with small gaps come in one read, and reads go on side by side.
+
+Writing: tasks pack tiles and append them to part files of their own beside the target. Their sizes tell each part's place, so that
+on a file system with random writes tasks copy the parts into the file; elsewhere they are sent one after the other through one
+stream (for S3 a multipart upload). Only the directory's entries, 16 bytes a tile, come to the driver.
 """
 
 from __future__ import annotations
 
+import os
+import shutil
+import struct
+import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
+from ..operators.blocks import PIECES, Tiling, dealt, over_blocks, pack
 from ..plans.header import Header
 from . import tiff
 
 TILE = 512
 GAP = 128 * 1024
+#: Reads that a task has under way at once.
+CONNECTIONS = 8
+PART = "band int, ty int, tx int, part string, at long, size long"
 
 
 def uri_of(path: str) -> str:
@@ -29,7 +44,9 @@ def uri_of(path: str) -> str:
         return "s3://" + path[len("/vsis3/") :]
     if path.startswith("s3a://"):
         return "s3://" + path[6:]
-    return path if "://" in path else "file://" + path
+    if path.startswith("file:/") and not path.startswith("file://"):
+        return "file://" + path[5:]
+    return path if "://" in path else "file://" + os.path.abspath(path)
 
 
 def _opened(path: str):
@@ -54,59 +71,91 @@ class _Rows(InputPartition):
     last: int
 
 
+def _bounds(f, low: int, high: int) -> tuple[int, int] | None:
+    """The range (ends included) that a filter leaves of ``low`` to ``high``; None for filters of other kinds."""
+    v = f.value
+    if isinstance(f, In):
+        known = [x for x in v if x is not None]
+        return (max(low, min(known)), min(high, max(known))) if known else (low, low - 1)
+    if isinstance(f, EqualTo):
+        return max(low, v), min(high, v)
+    if isinstance(f, GreaterThan | GreaterThanOrEqual):
+        return max(low, v + isinstance(f, GreaterThan)), high
+    if isinstance(f, LessThan | LessThanOrEqual):
+        return low, min(high, v - isinstance(f, LessThan))
+    return None
+
+
 class GeoTiffReader(DataSourceReader):
     def __init__(self, path: str, bands: list[int], strip: int):
         self.path, self.bands, self.strip = path, bands, strip
+        self.limits: dict[str, tuple[int, int]] = {"y": (0, 1 << 62), "x": (0, 1 << 62)}
+
+    def pushFilters(self, filters):
+        """Filters on places leave out blocks; Spark applies them to the pixels again."""
+        for f in filters:
+            if isinstance(f, EqualTo | In | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual) and f.attribute in (("y",), ("x",)):
+                limits = _bounds(f, *self.limits[f.attribute[0]])
+                if limits:
+                    self.limits[f.attribute[0]] = limits
+            yield f
 
     def partitions(self):
         layout = header_of(self.path)
         step = max(1, self.strip // layout.block_height)
-        return [_Rows(a, min(a + step, layout.down)) for a in range(0, layout.down, step)]
+        first, last = self.limits["y"][0] // layout.block_height, min(self.limits["y"][1] // layout.block_height, layout.down - 1)
+        # a partition at least: Spark reads a source without partitions as an unknown one
+        return [_Rows(a, min(a + step, last + 1)) for a in range(first, last + 1, step)] or [_Rows(0, 0)]
 
     def read(self, partition: _Rows) -> Iterator[pa.RecordBatch]:
         layout = header_of(self.path)
         h = layout.header
-        with _opened(self.path) as f:
+        left, right = self.limits["x"][0] // layout.block_width, min(self.limits["x"][1] // layout.block_width, layout.across - 1)
+        with _opened(self.path) as f, ThreadPoolExecutor(CONNECTIONS) as pool:
             for by in range(partition.first, partition.last):
                 y0 = by * layout.block_height
                 rows = min(layout.block_height, h.height - y0)
                 stored = layout.block_height if layout.block_width != h.width or layout.down == 1 else rows
-                wanted = {layout.block(b - 1, by, bx) for b in self.bands for bx in range(layout.across)}
-                raw = self._fetch(f, layout, sorted(wanted, key=layout.offsets.__getitem__))
-                for bx in range(layout.across):
+                wanted = {layout.block(b - 1, by, bx) for b in self.bands for bx in range(left, right + 1)}
+                wanted = [k for k in wanted if layout.sizes[k]]
+                raw = self._fetch(f, layout, sorted(wanted, key=layout.offsets.__getitem__), pool)
+                blocks = dict(zip(raw, pool.map(lambda k: tiff.decode(raw[k], layout, min(stored, layout.block_height)), raw)))  # noqa: B023
+                for bx in range(left, right + 1):
                     x0 = bx * layout.block_width
                     width = min(layout.block_width, h.width - x0)
-                    blocks = {}
-                    for b in self.bands:
-                        k = layout.block(b - 1, by, bx)
-                        if k not in blocks:
-                            blocks[k] = tiff.decode(raw[k], layout, min(stored, layout.block_height))
-                    ys, xs = np.meshgrid(np.arange(y0, y0 + rows, dtype=np.int32), np.arange(x0, x0 + width, dtype=np.int32), indexing="ij")
-                    cols = [pa.array(ys.ravel()), pa.array(xs.ravel())]
+                    cols = [pa.array(np.repeat(np.arange(y0, y0 + rows, dtype=np.int32), width)), pa.array(np.tile(np.arange(x0, x0 + width, dtype=np.int32), rows))]
                     for b in self.bands:
-                        v = blocks[layout.block(b - 1, by, bx)][:rows, :width, 0 if layout.planar else b - 1].ravel()
+                        block = blocks.get(layout.block(b - 1, by, bx))
+                        if block is None:  # a tile that was never written
+                            cols.append(pa.nulls(rows * width, pa.float64()))
+                            continue
+                        v = block[:rows, :width, 0 if layout.planar else b - 1].ravel()
                         empty = np.isnan(v) if h.nodata is None else np.isnan(v) | (v == h.nodata)
-                        cols.append(pa.array(v, mask=empty))
+                        cols.append(pa.array(v, mask=empty) if empty.any() else pa.array(v))
                     yield pa.RecordBatch.from_arrays(cols, names=["y", "x", *[f"b{b}" for b in self.bands]])
 
     @staticmethod
-    def _fetch(f, layout: tiff.Layout, order: list[int]) -> dict[int, bytes]:
+    def _fetch(f, layout: tiff.Layout, order: list[int], pool: ThreadPoolExecutor) -> dict[int, bytes]:
         """Blocks by number; those whose gaps are small come in one read."""
-        out: dict[int, bytes] = {}
-        k = 0
-        while k < len(order):
-            run = [order[k]]
-            end = layout.offsets[order[k]] + layout.sizes[order[k]]
-            while k + len(run) < len(order) and layout.offsets[order[k + len(run)]] - end <= GAP:
-                run.append(order[k + len(run)])
-                end = layout.offsets[run[-1]] + layout.sizes[run[-1]]
-            start = layout.offsets[run[0]]
-            data = f.read_at(end - start, start)
-            if len(data) < end - start:
+        runs: list[list[int]] = []
+        end = -1
+        for k in order:
+            if runs and layout.offsets[k] - end <= GAP:
+                runs[-1].append(k)
+            else:
+                runs.append([k])
+            end = max(end, layout.offsets[k] + layout.sizes[k]) if len(runs[-1]) > 1 else layout.offsets[k] + layout.sizes[k]
+
+        def read(run: list[int]) -> dict[int, bytes]:
+            start, stop = layout.offsets[run[0]], max(layout.offsets[n] + layout.sizes[n] for n in run)
+            data = f.read_at(stop - start, start)
+            if len(data) < stop - start:
                 raise ValueError("the file ends inside a block")
-            for n in run:
-                out[n] = data[layout.offsets[n] - start : layout.offsets[n] - start + layout.sizes[n]]
-            k += len(run)
+            return {n: data[layout.offsets[n] - start : layout.offsets[n] - start + layout.sizes[n]] for n in run}
+
+        out: dict[int, bytes] = {}
+        for got in pool.map(read, runs):
+            out.update(got)
         return out
 
 
@@ -135,6 +184,7 @@ class GeoTiffSource(DataSource):
 def read(spark: SparkSession, path: str, bands: list[int] | None = None) -> tuple[DataFrame, Header]:
     """Pixels and header of a file."""
     spark.dataSource.register(GeoTiffSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     reader = spark.read.format("geotiff")
     if bands:
         reader = reader.option("bands", ",".join(map(str, bands)))
@@ -143,45 +193,98 @@ def read(spark: SparkSession, path: str, bands: list[int] | None = None) -> tupl
 
 
 def write(pixels: DataFrame, header: Header, path: str, tile: int = TILE) -> None:
-    """Write float32 tiles (DEFLATE, predictor 3, BigTIFF). Tiles are packed by tasks and appended one after the other."""
+    """Write float32 tiles (DEFLATE, predictor 3, BigTIFF). Null pixels and places without one are ``nodata`` (NaN without it)."""
     from pyarrow import fs
 
     bands = [c for c in pixels.columns if c not in ("y", "x")]
     header = header.with_(bands=len(bands))
     fill = header.nodata if header.nodata is not None else float("nan")
-    names = list(bands)
-
-    def pack(key, rows):
-        ty, tx = (k.as_py() for k in key)
-        at = rows["y"].to_numpy() - ty * tile, rows["x"].to_numpy() - tx * tile
-        out = []
-        for b in names:
-            grid = np.full((tile, tile), fill, np.float32)
-            v = rows[b].to_numpy(zero_copy_only=False) if isinstance(rows[b], pa.Array) else rows[b].to_numpy()
-            grid[at] = np.where(np.isnan(v.astype(float)), fill, v.astype(float))
-            out.append(tiff.encode_tile(grid))
-        n = len(out)
-        return pa.table({"band": pa.array(range(n), pa.int32()), "ty": pa.array([ty] * n, pa.int32()), "tx": pa.array([tx] * n, pa.int32()), "data": pa.array(out, pa.binary())})
-
-    keyed = pixels.withColumn("_ty", F.floor(F.col("y") / tile).cast("int")).withColumn("_tx", F.floor(F.col("x") / tile).cast("int"))
-    tiles = keyed.groupBy("_ty", "_tx").applyInArrow(pack, "band int, ty int, tx int, data binary")
-    across, down = -(-header.width // tile), -(-header.height // tile)
-    offsets, sizes = [0] * (across * down * len(bands)), [0] * (across * down * len(bands))
-    system, base = fs.FileSystem.from_uri(uri_of(path))
-    body = base + ".tiles"
-    at = 16
-    # the directory's place is known only after the tiles, but stands in the file's first bytes
-    with system.open_output_stream(body) as f:
-        for r in tiles.toLocalIterator(prefetchPartitions=True):
-            k = (r.band * down + r.ty) * across + r.tx
-            f.write(r.data)
-            offsets[k], sizes[k] = at, len(r.data)
-            at += len(r.data)
-    with system.open_output_stream(base) as f, system.open_input_stream(body) as g:
-        import struct
-
-        f.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, at))
-        while block := g.read(1 << 22):
-            f.write(block)
-        f.write(tiff.directory(header, tile, offsets, sizes, at))
-    system.delete_file(body)
+    tiling = Tiling(header.height, header.width, tile, tile)
+    uri, across, down = uri_of(path), tiling.across, tiling.down
+    system, base = fs.FileSystem.from_uri(uri)
+    folder = f"{uri}.parts-{uuid.uuid4().hex}"
+    system.create_dir(f"{base}{folder[len(uri):]}", recursive=True)
+    try:
+        packed = pixels.select("y", "x", *[F.col(b).cast("double") for b in bands]).mapInArrow(pack(tiling), PIECES)
+        made = dealt(packed, across * down).mapInArrow(_tiles(tiling, len(bands), fill, folder), PART).toArrow().to_pydict()
+        # parts of attempts that failed are in the folder too; only those that are listed count
+        ends: dict[str, int] = {}
+        for part, at, size in zip(made["part"], made["at"], made["size"]):
+            ends[part] = max(ends.get(part, 0), at + size)
+        starts, at = {}, 16
+        for part in sorted(ends):
+            starts[part] = at
+            at += ends[part]
+        offsets, sizes = [0] * (across * down * len(bands)), [0] * (across * down * len(bands))
+        for band, ty, tx, part, start, size in zip(*(made[c] for c in ("band", "ty", "tx", "part", "at", "size"))):
+            k = (band * down + ty) * across + tx
+            offsets[k], sizes[k] = starts[part] + start, size
+        first, last = struct.pack("<2sHHHQ", b"II", 43, 8, 0, at), tiff.directory(header, tile, offsets, sizes, at)
+        if uri.startswith("file://"):
+            local = base + folder[len(uri) :]
+            with open(f"{local}/whole", "wb") as f:
+                f.write(first)
+                f.seek(at)
+                f.write(last)
+            jobs = [(f"{local}/{part}", starts[part]) for part in starts]
+            if jobs:
+                spark = pixels.sparkSession
+                spark.createDataFrame(jobs, "part string, at long").repartition(len(jobs)).mapInArrow(_copies(f"{local}/whole"), "n long").collect()
+            os.replace(f"{local}/whole", base)
+        else:
+            with system.open_output_stream(base) as f:
+                f.write(first)
+                for part in starts:
+                    with system.open_input_stream(f"{base}{folder[len(uri):]}/{part}") as g:
+                        while block := g.read(1 << 24):
+                            f.write(block)
+                f.write(last)
+    finally:
+        system.delete_dir(f"{base}{folder[len(uri):]}")
+
+
+def _tiles(tiling: Tiling, bands: int, fill: float, folder: str):
+    """Packs a partition's tiles into one part file, and lists them."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder)
+        task = TaskContext.get()
+        part, at, out = f"{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}", 0, None
+
+        def work(block, grid, there):
+            nonlocal at, out
+            if out is None:
+                out = system.open_output_stream(f"{base}/{part}")
+            ty, tx = divmod(block, tiling.across)
+            rows = []
+            for band in range(bands):
+                cells = np.full((tiling.rows, tiling.columns), fill, np.float32)
+                cells[: grid.shape[1], : grid.shape[2]] = np.where(np.isnan(grid[band]), fill, grid[band])
+                raw = tiff.encode_tile(cells)
+                out.write(raw)
+                rows.append((band, ty, tx, part, at, len(raw)))
+                at += len(raw)
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["band", "ty", "tx", "part", "at", "size"])
+
+        yield from over_blocks(batches, bands, tiling.window, work)
+        if out is not None:
+            out.close()
+
+    return run
+
+
+def _copies(target: str):
+    """Copies parts to their places in one file."""
+
+    def run(batches):
+        for batch in batches:
+            for part, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with open(part, "rb") as f, open(target, "r+b") as g:
+                    g.seek(at)
+                    shutil.copyfileobj(f, g, 1 << 22)
+                yield pa.RecordBatch.from_arrays([pa.array([1])], names=["n"])
+
+    return run

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.blocks import Tiling, by_block
 from ..plans.header import Header
 
 STRIP_PIXELS = 4_000_000
@@ -21,17 +22,14 @@ def strips(pixels: DataFrame, header: Header, rows: int | None = None) -> DataFr
     fill = header.nodata if header.nodata is not None else float("nan")
     width, height = header.width, header.height
 
-    def pack(key, part):
-        y0 = key[0].as_py() * rows
-        h = min(rows, height - y0)
-        grid = np.full((len(bands), h, width), fill, np.float32)
-        at = part["y"].to_numpy() - y0, part["x"].to_numpy()
-        for k, b in enumerate(bands):
-            v = part[b].to_numpy().astype(float)
-            grid[k][at] = np.where(np.isnan(v), fill, v)
-        return pa.table({"y_offset": pa.array([y0], pa.int32()), "width": pa.array([width], pa.int32()), "height": pa.array([h], pa.int32()), "data": pa.array([grid.tobytes()], pa.binary())})
-
-    return pixels.groupBy(F.floor(F.col("y") / rows).cast("int").alias("_strip")).applyInArrow(pack, "y_offset int, width int, height int, data binary")
+    tiling = Tiling(height, width, rows, width)
+
+    def work(block, grid, there):
+        y0, y1, _, _ = tiling.core(block)
+        data = np.where(np.isnan(grid), fill, grid).astype(np.float32).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([y0], pa.int32()), pa.array([width], pa.int32()), pa.array([y1 - y0], pa.int32()), pa.array([data], pa.binary())], names=["y_offset", "width", "height", "data"])
+
+    return by_block(pixels.select("y", "x", *bands), tiling, work, "y_offset int, width int, height int, data binary")
 
 
 class ChunkStream:

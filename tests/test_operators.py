@@ -9,10 +9,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from rasterlake.functions import crs
-from rasterlake.operators import texture
-from rasterlake.operators.neighbourhood import with_halo
+from rasterlake.operators import blocks, texture, vector, warp
 from rasterlake.plans.header import Header
 from rasterlake.plans.raster import Raster, RasterStack
+from rasterlake.session import shared_folder
 
 
 def raster(spark, grid, crs_name="", transform=None):
@@ -74,11 +74,71 @@ def test_blocks_give_what_one_block_gives(spark):
         assert sorted(map(tuple, f(5).collect())) == sorted(map(tuple, f(256).collect()))
 
 
-def test_halo_takes_one_exchange(spark):
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbourhoods_take_one_exchange(spark):
     r = raster(spark, RANDOM)
-    plan = r.focal("mean", 1).pixels._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
-    assert with_halo(r.pixels, r.header, 1, 4).count() > 49
+    big = Raster(r.pixels, r.header.with_(width=5000, height=5000))
+    for out in (big.focal("median", 2), big.terrain(["slope"]), big.texture(["asm"], window=3, levels=4, val_max=9)):
+        assert plan_of(out.pixels).count("Exchange ") == 1
+
+
+def with_gaps(shape, seed, share=0.2):
+    rng = np.random.default_rng(seed)
+    grid = rng.integers(0, 50, shape).astype(float)
+    grid[rng.random(shape) < share] = np.nan
+    return grid
+
+
+@pytest.mark.parametrize("stat", STATS)
+@pytest.mark.parametrize(("shape", "radius", "clamp"), [("square", 1, True), ("circle", 3, False), ("square", 3, True)])
+def test_focal_leaves_nulls_out(spark, stat, shape, radius, clamp):
+    grid = with_gaps((11, 9), 3)
+    grid[:6, :5] = np.nan  # windows without values
+    got = {(r.y, r.x): r.b1 for r in raster(spark, grid).focal(stat, radius, shape, clamp).pixels.collect()}
+    for y in range(11):
+        for x in range(9):
+            v = window(grid, y, x, radius, shape, clamp)
+            v = v[~np.isnan(v)]
+            assert got[y, x] is None if not len(v) else got[y, x] == pytest.approx(STATS[stat](v), abs=1e-9), (y, x)
+
+
+def test_blocks_of_sparse_pixels(spark):
+    """Places without a pixel give none, and count as null to their neighbours; pixels beyond the raster are left out."""
+    rows = [(0, 0, 1.0), (0, 2, 5.0), (6, 6, 2.0), (9, 0, 7.0), (-1, 0, 9.0), (3, 12, 9.0)]
+    r = Raster(spark.createDataFrame(rows, "y int, x int, b1 double"), Header(10, 10))
+    from rasterlake.operators.focal import focal
+
+    for block in (3, 512):
+        got = sorted(map(tuple, focal(r.pixels, r.header, "sum", 2, clamp_border=False, block=block).collect()))
+        assert got == [(0, 0, 6.0), (0, 2, 6.0), (6, 6, 2.0), (9, 0, 7.0)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 30), st.integers(1, 30), st.integers(1, 12), st.integers(0, 6), st.integers(0, 1000))
+def test_pieces_rebuild_the_windows(height, width, block, halo, seed):
+    """Every block gets its own pixels and its halo, in whatever order and batches pixels come."""
+    import pyarrow as pa
+
+    tiling = blocks.Tiling.of(Header(width, height), halo, block)
+    ys, xs = (a.ravel() for a in np.mgrid[0:height, 0:width])
+    order = np.random.default_rng(seed).permutation(len(ys)) if seed % 2 else np.arange(len(ys))
+    v = (ys * 1000 + xs).astype(float)
+    batches = [pa.RecordBatch.from_arrays([pa.array(a[part]) for a in (ys, xs, v)], names=["y", "x", "b"]) for part in np.array_split(order, 3)]
+    held = {}
+    for batch in blocks.pack(tiling)(iter(batches)):
+        for number, runs, cells in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            held.setdefault(number, []).append((blocks.places_of(runs), np.frombuffer(cells)))
+    assert sorted(held) == list(range(tiling.down * tiling.across))
+    for number, found in held.items():
+        y0, y1, x0, x1 = tiling.window(number)
+        grid = np.full((y1 - y0) * (x1 - x0), np.nan)
+        for at, cells in found:
+            assert np.isnan(grid[at]).all()
+            grid[at] = cells
+        assert np.array_equal(grid.reshape(y1 - y0, x1 - x0), np.arange(y0, y1)[:, None] * 1000.0 + np.arange(x0, x1))
 
 
 def test_focal_errors(spark):
@@ -100,6 +160,21 @@ def test_terrain_of_flat_ground(spark):
     assert np.allclose(out[0], 0) and np.allclose(out[1], -9999) and np.allclose(out[2:], 0)
 
 
+def test_terrain_is_null_beside_nulls(spark):
+    grid = with_gaps((9, 9), 5, 0.05)
+    near = np.array([[np.isnan(window(grid, y, x, 1)).any() for x in range(9)] for y in range(9)])
+    rows = raster(spark, grid).terrain(list(terrain_metrics())).pixels.collect()
+    assert near.any() and not near.all()
+    for r in rows:
+        assert {v is None for v in tuple(r)[2:]} == {bool(near[r.y, r.x])}
+
+
+def terrain_metrics():
+    from rasterlake.operators.terrain import METRICS
+
+    return METRICS
+
+
 def test_terrain_order_and_errors(spark):
     r = raster(spark, RANDOM)
     a, b = array(r.terrain(["tri", "slope"])), array(r.terrain(["slope", "tri"]))
@@ -151,6 +226,50 @@ def test_bad_and_outside_polygons(spark):
     assert not array(r.clip(polygon(ring(50, 50, 60, 60)))).any()
 
 
+def test_masks_leave_pixels_where_they_are(spark):
+    """The polygons' spans are broadcast; pixels are neither broadcast nor exchanged before they are summed up."""
+    r = raster(spark, np.ones((8, 8)))
+    plan = plan_of(r.clip(polygon(ring(2, 2, 6, 6))).pixels)
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "Exchange hash" not in plan and "Sort " not in plan
+    zonal = plan_of(r.zonal_stats(polygon(ring(2, 2, 6, 6))))
+    assert zonal.count("BroadcastHashJoin") == 2 == zonal.count("BuildRight") and zonal.count("Exchange hashpartitioning(zone") == 1 == zonal.count("Exchange hash")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 5), st.integers(0, 2), st.integers(0, 12), st.integers(0, 6)), max_size=12))
+def test_swept_spans_are_the_largest_zones(spans):
+    spans = [(z, y, a, a + n) for z, y, a, n in spans]
+    got = {}
+    for z, y, a, b in vector.swept(np.array(spans, np.int64).reshape(-1, 4)).tolist():
+        for x in range(a, b + 1):
+            assert (y, x) not in got
+            got[y, x] = z
+    want = {}
+    for z, y, a, b in spans:
+        for x in range(a, b + 1):
+            want[y, x] = max(want.get((y, x), 0), z)
+    assert got == want
+
+
+def test_large_covers_are_made_by_tasks(spark, monkeypatch):
+    """Beyond the limit tasks make the spans, by bands of rows, and the join shuffles: the same pixels."""
+    rng = np.random.default_rng(8)
+    header = Header(40, 200, (0.0, 1.0, 0.0, 200.0, 0.0, -1.0))
+    shapes = [[[(float(a), float(b)) for a, b in rng.uniform(0, 40, (5, 2)) * (1, 5)]] for _ in range(12)]
+    few = vector.cover(spark, shapes, header)
+    monkeypatch.setattr(vector, "SPANS", 10)
+    many = vector.cover(spark, shapes, header)
+    assert few.few and not many.few and sorted(map(tuple, few.spans.collect())) == sorted(map(tuple, many.spans.collect()))
+    pixels = spark.range(40 * 200).selectExpr("cast(id / 40 as int) y", "cast(id % 40 as int) x", "cast(id as double) b1")
+    text = json.dumps({"type": "MultiPolygon", "coordinates": [[[list(header.to_geo(*p)) for p in ring_]] for (ring_,) in shapes]})
+    r = Raster(pixels, header)
+    large = sorted(map(str, r.zonal_stats(text).collect()))
+    monkeypatch.undo()
+    assert large == sorted(map(str, r.zonal_stats(text).collect()))
+    monkeypatch.setattr(vector, "STEP", 7)
+    assert large == sorted(map(str, r.zonal_stats(text).collect()))
+
+
 def test_rotated_transform_inverts():
     h = Header(5, 5, (3.0, 1.0, 0.2, 9.0, 0.1, -1.0))
     assert np.allclose(h.to_pixel(*h.to_geo(2.5, 3.25)), (2.5, 3.25))
@@ -197,6 +316,27 @@ def test_temporal(spark):
         s.to_memory()
 
 
+def test_a_stack_of_one_table(spark):
+    """One table of scenes is scanned once, and gives what single scenes give."""
+    grids = [with_gaps((4, 5), k) for k in range(3)]
+    scenes = stack(spark, grids)
+    rows = None
+    for k, r in enumerate(scenes.scenes):
+        part = r.pixels.selectExpr(f"{k} as scene", "y", "x", "b1")
+        rows = part if rows is None else rows.unionByName(part)
+    path = f"{shared_folder(spark)}/one-table"
+    rows.write.mode("overwrite").parquet(path)
+    one = RasterStack.of(spark.read.parquet(path), 3, scenes.header)
+    assert plan_of(one.algebra("B1 * 2").temporal("mean").pixels).count("FileScan") == 1
+    for op in ("mean", "diff", "trend", "std"):
+        a, b = (sorted((r.y, r.x, None if r.b1 is None else round(r.b1, 9)) for r in s.algebra("B1 * 2").temporal(op).pixels.collect()) for s in (one, scenes))
+        assert a == b
+    flat = one.header.with_(crs="EPSG:3857")
+    both = (RasterStack.of(spark.read.parquet(path), 3, flat), RasterStack([Raster(r.pixels, flat) for r in scenes.scenes]))
+    a, b = (sorted(map(str, s.reproject("EPSG:3857", 2.0, 2.0, "nearest").temporal("max").pixels.collect())) for s in both)
+    assert a == b
+
+
 def test_stacks_need_equal_grids(spark):
     with pytest.raises(ValueError):
         RasterStack([])
@@ -227,6 +367,44 @@ def test_reproject_to_itself_changes_nothing(spark):
         assert np.allclose(array(r.reproject("EPSG:3857", resampling=kind)), RANDOM, atol=1e-4)
 
 
+@pytest.mark.parametrize("kind", ["nearest", "bilinear"])
+@pytest.mark.parametrize("target", ["EPSG:3857", "EPSG:32632", "EPSG:4326"])
+def test_reproject_by_hand(spark, kind, target):
+    """Every pixel from its own coordinates, over many blocks, with nulls; scattered input in any order."""
+    grid = with_gaps((23, 31), 6, 0.1)
+    header = Header(31, 23, (9.5, 0.02, 0.0, 52.0, 0.0, -0.03), "EPSG:4326")
+    r = raster(spark, grid, header.crs, header.transform)
+    to = warp.target_header(header, target, *((0.013, 0.017) if target == "EPSG:4326" else (1400.0, 1900.0)))
+    got = {(p.y, p.x): p.b1 for p in warp.reproject(r.pixels.repartition(5), header, to, kind, fill=False, block=8).collect()}
+    assert len(got) == to.width * to.height
+    seen = 0
+    for (y, x), v in got.items():
+        fx, fy = header.to_pixel(*crs.transform(target, header.crs, *to.to_geo(x, y)))
+        want = None
+        if 0 <= fx < 31 and 0 <= fy < 23:
+            at = lambda c, d: grid[min(max(int(d), 0), 22), min(max(int(c), 0), 30)]
+            a, b = math.floor(fx), math.floor(fy)
+            wx, wy = fx - a, fy - b
+            if kind == "nearest":
+                want = at(math.floor(fx + 0.5), math.floor(fy + 0.5))
+            else:
+                parts = [(wx * wy, at(a + 1, b + 1)), (wx * (1 - wy), at(a + 1, b)), ((1 - wx) * wy, at(a, b + 1)), ((1 - wx) * (1 - wy), at(a, b))]
+                want = sum(w * p for w, p in parts if w)
+            want = None if math.isnan(want) else want
+            seen += want is not None
+        assert v is None if want is None else v == pytest.approx(want, abs=1e-6), (y, x)
+    assert seen > 100
+
+
+def test_reprojection_reads_what_it_needs(spark):
+    """A small extent leaves most of the source unread, by a filter on its rows and columns."""
+    r = raster(spark, RANDOM, "EPSG:3857")
+    big = Raster(r.pixels, r.header.with_(width=7000, height=7000, transform=(0.0, 1.0, 0.0, 7000.0, 0.0, -1.0)))
+    plan = plan_of(big.reproject("EPSG:3857", 1, 1, extent=(3000, 3000, 3100, 3100)).pixels)
+    low, high = (int(v) for v in __import__("re").search(r"\(y#\d+ >= (\d+)\) AND \(y#\d+ <= (\d+)\)", plan).groups())
+    assert 3880 < low <= 3900 and 4000 <= high < 4020
+
+
 def test_nodata_passes_through_algebra(spark):
     r = raster(spark, RANDOM, "EPSG:3857").reproject("EPSG:3857", 1, 1, extent=(-2, 0, 7, 7)).algebra("B1 * 2 + 1")
     got = array(r)
@@ -238,14 +416,69 @@ def test_texture_of_constant_ground(spark):
     assert np.allclose(out[0], 1) and np.allclose(out[1:], 0)
 
 
-def test_texture_matrices_and_blocks(spark):
-    p = texture.matrices(np.random.default_rng(0).integers(0, 4, (5, 9)), 1, 4, 1, 1)
-    assert np.allclose(p.sum((1, 2)), 1) and np.allclose(p, p.transpose(0, 2, 1))
-    r = raster(spark, np.random.default_rng(2).random((9, 8)))
-    one = texture.texture(r.pixels, r.header, (), 3, 4, block=64)
-    many = texture.texture(r.pixels, r.header, (), 3, 4, block=4)
-    a, b = (np.array(sorted(map(tuple, d.collect()))) for d in (one, many))
-    assert a.shape == (72, 20) and np.allclose(a, b)
+def brute_texture(levels_of, n, radius):
+    """All features of each pixel by the definitions, over dense matrices; nulls are -1; the mean of the directions that have pairs."""
+    h, w = levels_of.shape
+    i, j = np.mgrid[0:n, 0:n]
+    at = lambda y, x: levels_of[min(max(y, 0), h - 1), min(max(x, 0), w - 1)]
+    log = lambda v: np.log2(v + 1e-10)
+    ent = lambda v: -sum(q * math.log2(q) for q in v.ravel() if q > 1e-10)
+    out = {}
+    for y in range(h):
+        for x in range(w):
+            found = []
+            for dx, dy in texture.DIRECTIONS:
+                m = np.zeros((n, n))
+                for oy in range(-radius, radius + 1):
+                    for ox in range(-radius, radius + 1):
+                        a, b = at(y + oy, x + ox), at(y + oy + dy, x + ox + dx)
+                        if a >= 0 and b >= 0:
+                            m[a, b] += 1
+                            m[b, a] += 1
+                if not m.sum():
+                    continue
+                p = m / m.sum()
+                px = p.sum(1)
+                mu = (i * p).sum()
+                var = max(((i - mu) ** 2 * p).sum(), 1e-10)
+                sums = np.array([p[i + j == k].sum() for k in range(2 * n - 1)])
+                diffs = np.array([p[abs(i - j) == k].sum() for k in range(n)])
+                k = np.arange(2 * n - 1)
+                hx, hxy = -(px * log(px)).sum(), ent(p)
+                outer = px[:, None] * px[None, :]
+                h1, h2 = -(p * log(outer)).sum(), -(outer * log(outer)).sum()
+                found.append([
+                    (p * p).sum(), ((i - j) ** 2 * p).sum(), ((i * j * p).sum() - mu * mu) / var if var > 2e-10 else 0.0, ((i - mu) ** 2 * p).sum(), (p / (1 + (i - j) ** 2)).sum(), (k * sums).sum(), ((k - (k * sums).sum()) ** 2 * sums).sum(), ent(sums), hxy,
+                    (np.arange(n) ** 2 * diffs).sum(), ent(diffs), (abs(i - j) * p).sum(), (i * j * p).sum(), p.max(), ((i + j - 2 * mu) ** 3 * p).sum(), ((i + j - 2 * mu) ** 4 * p).sum(), (hxy - h1) / hx if hx > 1e-10 else 0.0, math.sqrt(max(0.0, 1 - math.exp(-2 * (h2 - hxy)))),
+                ])
+            out[y, x] = np.mean(found, axis=0) if found and levels_of[y, x] >= 0 else None
+    return out
+
+
+@pytest.mark.parametrize("gaps", [0.0, 0.3])
+def test_texture_by_hand(spark, gaps):
+    grid = with_gaps((9, 8), 2, gaps)
+    if gaps:
+        grid[:5, :5] = np.nan
+        grid[1, 1] = 7.0  # a pixel without pairs
+    low, high = np.nanmin(grid), np.nanmax(grid)
+    q = np.where(np.isnan(grid), -1, np.clip((np.nan_to_num(grid) - low) / (high - low) * 4, 0, 3).astype(int))
+    want = brute_texture(q, 4, 1)
+    r = raster(spark, grid)
+    for block in (4, 64):
+        rows = texture.texture(r.pixels, r.header, (), 3, 4, block=block).collect()
+        assert len(rows) == 72
+        for p in rows:
+            v = want[p.y, p.x]
+            assert tuple(p)[2:] == (None,) * 18 if v is None else np.allclose(np.array(tuple(p)[2:], float), v, atol=2e-5), (p.y, p.x)
+
+
+def test_texture_on_a_log_scale(spark):
+    grid = 10.0 ** np.random.default_rng(7).uniform(-2, 3, (7, 7))
+    grid[0, 0], grid[3, 3] = 0.0, -5.0
+    logs = np.where(grid > 0, 10 * np.log10(np.maximum(grid, 1e-300)), -100.0)
+    a, b = (array(r.texture(["contrast", "asm"], window=3, levels=8, log_scale=k)) for r, k in ((raster(spark, grid), True), (raster(spark, logs), False)))
+    assert np.allclose(a, b)
 
 
 def test_texture_options(spark):
