@@ -43,11 +43,12 @@ def polygons(geojson: str, collections: bool = False) -> list[list[list[tuple[fl
 
 
 def edge_rows(shapes: list, header: Header, holes: bool = False) -> np.ndarray:
-    """The polygons' edges in pixel space (``zone, x0, y0, x1, y1``), zones counted from 1, level ones left out. Only outer rings, unless ``holes``."""
+    """The polygons' edges in pixel space (``zone, x0, y0, x1, y1``), zones counted from 1, level ones left out. Only outer rings, unless
+    ``holes``. Corners are taken to a millionth of a pixel, so that those on pixels' edges stay there after coordinate transforms."""
     rows = []
     for zone, rings in enumerate(shapes, 1):
         for ring in rings if holes else rings[:1]:
-            points = [header.to_pixel(x, y) for x, y in ring]
+            points = [tuple(round(float(c), 6) for c in header.to_pixel(x, y)) for x, y in ring]
             rows += [(zone, x0, y0, x1, y1) for (x0, y0), (x1, y1) in zip(points, points[1:] + points[:1]) if y0 != y1]
     return np.array(rows, float).reshape(-1, 5)
 

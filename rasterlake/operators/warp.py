@@ -12,6 +12,8 @@ from ..plans.header import Header
 from .blocks import BLOCK, PIECES, Tiling, dealt, gathered, over_blocks, pixels_of, runs_of
 
 RESAMPLING = ("nearest", "bilinear")
+#: Part of a pixel within which a place counts as being on the source's edge.
+NEAR = 1e-6
 #: Places along a block's side whose coordinates tell its window of the source; most blocks of a target.
 NET = 33
 MOST = 250_000
@@ -34,7 +36,7 @@ def _places(header: Header, target: Header, ys: np.ndarray, xs: np.ndarray) -> t
     """Source columns and rows (fractions) of the target's places; arrays that broadcast against each other."""
     with np.errstate(all="ignore"):
         geo = target.to_geo(xs, ys)
-        return header.to_pixel(*systems.transform(target.crs, header.crs, *geo, systems.ON_ARRAYS))
+        return header.to_pixel(*systems.transform(target.crs, header.crs, *geo))
 
 
 def windows(header: Header, target: Header, tiling: Tiling) -> np.ndarray:
@@ -96,7 +98,7 @@ def sampled(grid: np.ndarray, rect: tuple[int, int, int, int], header: Header, f
     """Bands of a grid over ``rect`` at source places; NaN outside the source, and where a pixel that counts is null."""
     y0, y1, x0, x1 = rect
     with np.errstate(invalid="ignore"):
-        inside = (fx >= 0) & (fx < header.width) & (fy >= 0) & (fy < header.height)
+        inside = (fx >= -NEAR) & (fx < header.width - NEAR) & (fy >= -NEAR) & (fy < header.height - NEAR)
     out = np.full((len(grid), *inside.shape), np.nan)
     if not inside.any():
         return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
+from ..functions.crs import geographic
+
 
 @dataclass(frozen=True)
 class Header:
@@ -44,7 +46,7 @@ class Header:
         """Ground size of a pixel; degrees become metres at the centre's latitude."""
         g = self.transform
         x, y = math.hypot(g[1], g[4]), math.hypot(g[2], g[5])
-        if self.crs.upper() == "EPSG:4326":
+        if geographic(self.crs):
             lat = math.radians(g[3] + self.height / 2 * g[5])
             return x * math.cos(lat) * 111320.0, y * 111320.0
         return x, y

@@ -9,7 +9,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import crs
 from ..operators import focal as focals
 from ..operators import temporal as temporals
 from ..operators import terrain as terrains
@@ -64,7 +63,7 @@ _algebra("algebra_minmax", "parts", "min(B1, B2 * 40) + max(B2, 25)", "least(b1,
 _algebra("algebra_div_eps", "parts", "B1 / (B2 - B2) + 1 / 4", "b1 / 1e-6::DOUBLE + 1::DOUBLE / (4::DOUBLE + 1e-6::DOUBLE)")
 
 
-def _spans(rings: list, edges: str = "SELECT zone, fx0 * w AS x0, fy0 * h AS y0, fx1 * w AS x1, fy1 * h AS y1 FROM f, g", g: str = "g") -> str:
+def _spans(rings: list, g: str = "g") -> str:
     """CTEs from rings to spans: edges in pixels of the grid ``g``, crossings, even-odd pairs."""
     rows = []
     for zone, ring in enumerate(rings, 1):
@@ -72,7 +71,7 @@ def _spans(rings: list, edges: str = "SELECT zone, fx0 * w AS x0, fy0 * h AS y0,
             if y0 != y1:
                 rows.append(f"({zone}, {x0!r}::DOUBLE, {y0!r}::DOUBLE, {x1!r}::DOUBLE, {y1!r}::DOUBLE)")
     return f"""f(zone, fx0, fy0, fx1, fy1) AS (VALUES {', '.join(rows)}),
-e AS ({edges}),
+e AS (SELECT zone, fx0 * w AS x0, fy0 * h AS y0, fx1 * w AS x1, fy1 * h AS y1 FROM f, {g}),
 k AS (SELECT zone, t.y, x0 + (t.y - y0) * (x1 - x0) / (y1 - y0) AS c FROM e, range(0, (SELECT h FROM {g})) AS t(y) WHERE (y0 <= t.y AND t.y < y1) OR (y1 <= t.y AND t.y < y0)),
 n2 AS (SELECT *, row_number() OVER (PARTITION BY zone, y ORDER BY c) - 1 AS i FROM k),
 p AS (SELECT zone, y, greatest(trunc(min(c)), 0) AS c0, least(trunc(max(c)), (SELECT w FROM {g}) - 1) AS c1 FROM n2 GROUP BY zone, y, i // 2 HAVING count(*) = 2 AND max(c) >= 0)"""
@@ -190,21 +189,23 @@ def _mercator() -> str:
 
 
 def _utm(zone: int) -> str:
-    """Degrees of ``u`` in a northern UTM zone, by Krueger's series."""
-    xi, eta = "xi", "eta"
-    for j, b in enumerate(crs._BETA, 1):
-        xi += f" - {b!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)"
-        eta += f" - {b!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)"
-    lat = "chi" + "".join(f" + {d!r}::DOUBLE * sin({2 * j} * chi)" for j, d in enumerate(crs._DELTA, 1))
-    scale = repr(1 / (0.9996 * crs._A))
-    return f"""SELECT y, x, h, w, atan2(sinh(eta1), cos(xi1)) * {180 / math.pi!r}::DOUBLE + {zone * 6 - 183.0!r} AS lon, ({lat}) * {180 / math.pi!r}::DOUBLE AS lat FROM (SELECT *, asin(sin(xi1) / cosh(eta1)) AS chi FROM (SELECT *, {xi} AS xi1, {eta} AS eta1
-FROM (SELECT *, gy * {scale}::DOUBLE AS xi, (gx - 500000.0) * {scale}::DOUBLE AS eta FROM u)))"""
+    """Degrees of ``u`` in a northern UTM zone, by Krueger's series of the third flattening."""
+    n = 1 / (2 * 298.257223563 - 1)
+    radius = 0.9996 * 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    xi, eta, lat = "xi", "eta", "chi"
+    for j, b in ((2, n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96), (4, n**2 / 48 + n**3 / 15), (6, 17 * n**3 / 480)):
+        xi += f" - {b!r}::DOUBLE * sin({j} * xi) * cosh({j} * eta)"
+        eta += f" - {b!r}::DOUBLE * cos({j} * xi) * sinh({j} * eta)"
+    for j, d in ((2, 2 * n - 2 * n**2 / 3 - 2 * n**3), (4, 7 * n**2 / 3 - 8 * n**3 / 5), (6, 56 * n**3 / 15)):
+        lat += f" + {d!r}::DOUBLE * sin({j} * chi)"
+    return f"""SELECT y, x, h, w, degrees(atan2(sinh(eta1), cos(xi1))) + {zone * 6 - 183.0!r} AS lon, degrees({lat}) AS lat FROM (SELECT *, asin(sin(xi1) / cosh(eta1)) AS chi FROM (SELECT *, {xi} AS xi1, {eta} AS eta1
+FROM (SELECT *, gy / {radius!r}::DOUBLE AS xi, (gx - 500000.0) / {radius!r}::DOUBLE AS eta FROM u)))"""
 
 
 def _looked(degrees: str) -> str:
     """CTEs from the target's places to the source's (``t``)."""
     return f"""l AS ({degrees}), q AS (SELECT y, x, h, w, (lon - 10.0::DOUBLE) / 0.01::DOUBLE AS fx, (lat - 52.0::DOUBLE) / -0.01::DOUBLE AS fy FROM l),
-t AS (SELECT *, fx >= 0 AND fx < w AND fy >= 0 AND fy < h AS inside FROM q)"""
+t AS (SELECT *, fx >= -1e-6 AND fx < w - 1e-6 AND fy >= -1e-6 AND fy < h - 1e-6 AS inside FROM q)"""
 
 
 _NEAREST = "inside AND r.x = greatest(0, least(w - 1, floor(fx + 0.5))) AND r.y = greatest(0, least(h - 1, floor(fy + 0.5)))"
@@ -319,11 +320,9 @@ def _warped(spark, d) -> DataFrame:
     return _rounded(r.clip(fx.geojson(fx.BOX, r.header)).filled())
 
 
-# the polygon's corners go to the target's coordinates and back, as the query's do
-_CORNERS = ", ".join(f"((x0 + (f{a}{k} * dw) * rx) - x0) / rx AS {a}{k}" if a == "x" else f"((y1 + (f{a}{k} * dh) * -ry) - y1) / -ry AS {a}{k}" for k in "01" for a in "xy")
 _add(
     "chain_reproject_algebra_clip", _warped,
-    f"""{_with('parts')}, {_target()}, {_looked(_mercator())}, g2 AS (SELECT dh AS h, dw AS w FROM dim), {_spans(fx.BOX, f"SELECT zone, {_CORNERS.replace('fx', 'f.fx').replace('fy', 'f.fy')} FROM f, dim", "g2")},
+    f"""{_with('parts')}, {_target()}, {_looked(_mercator())}, g2 AS (SELECT dh AS h, dw AS w FROM dim), {_spans(fx.BOX, "g2")},
 v AS (SELECT t.y, t.x, r.b1 FROM t LEFT JOIN r ON {_NEAREST})
 SELECT y, x, CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.y = v.y AND v.x BETWEEN c0 AND c1) THEN round(coalesce(b1 * 2, -9999.0), 4) ELSE 0.0 END AS b1 FROM v""",
 )

@@ -344,21 +344,46 @@ def test_stacks_need_equal_grids(spark):
         stack(spark, [np.ones((2, 2)), np.ones((2, 3))])
 
 
-@settings(max_examples=40, deadline=None)
+@settings(max_examples=60, deadline=None)
 @given(st.floats(-179, 179), st.floats(-80, 80))
 def test_systems_invert(lon, lat):
-    assert np.allclose(crs.transform("EPSG:3857", "EPSG:4326", *crs.transform("EPSG:4326", "EPSG:3857", lon, lat)), (lon, lat))
-    lon = 9 + lon / 60
-    for zone in ("EPSG:32632", "EPSG:32732"):
-        assert np.allclose(crs.transform(zone, "EPSG:4326", *crs.transform("EPSG:4326", zone, lon, lat)), (lon, lat), atol=1e-7)
+    for name in ("EPSG:3857", "EPSG:3395", "EPSG:6933", "+proj=merc +lon_0=20 +ellps=clrk66"):
+        assert np.allclose(crs.transform(name, "EPSG:4326", *crs.transform("EPSG:4326", name, lon, lat)), (lon, lat), atol=1e-8)
+    for name, east, north in (
+        ("EPSG:32632", 9, 0), ("EPSG:32732", 9, 0), ("EPSG:25832", 9, 0), ("EPSG:2154", 3, 46), ("EPSG:3034", 10, 45), ("EPSG:3035", 10, 50), ("EPSG:5070", -96, 40), ("EPSG:3577", 132, -30), ("EPSG:3413", -45, 75), ("EPSG:3031", 10, -75),
+        ("+proj=tmerc +lat_0=49 +lon_0=-2 +k=0.9996 +x_0=400000 +y_0=-100000", -2, 52), ("+proj=lcc +lat_1=40 +lon_0=0", 0, 40), ("+proj=laea +lat_0=-30 +lon_0=25 +ellps=sphere", 25, -30),
+    ):
+        at = east + lon / 30, north + lat / 12
+        assert np.allclose(crs.transform(name, "EPSG:4326", *crs.transform("EPSG:4326", name, *at)), at, atol=1e-7), name
 
 
 def test_known_places():
-    e, n = crs.transform("EPSG:4326", "EPSG:32632", 9.0, 0.0)
-    assert (e, n) == pytest.approx((500000, 0), abs=1e-6)
+    """Worked examples of the projections' descriptions."""
+    assert crs.transform("EPSG:4326", "EPSG:32632", 9.0, 0.0) == pytest.approx((500000, 0), abs=1e-6)
     assert crs.transform("EPSG:4326", "EPSG:3857", 180, 0)[0] == pytest.approx(20037508.342789244)
-    with pytest.raises(ValueError):
-        crs.code("EPSG:2154")
+    assert crs.transform("EPSG:4258", "EPSG:3035", 5.0, 50.0) == pytest.approx((3962799.45, 2999718.85), abs=0.01)
+    assert crs.transform("EPSG:4326", "+proj=stere +lat_0=-90 +lat_ts=-71 +lon_0=70 +x_0=6000000 +y_0=6000000", 120, -75) == pytest.approx((7255380.79, 7053389.56), abs=0.02)
+    assert crs.transform("EPSG:4326", "+proj=aea +lat_1=29.5 +lat_2=45.5 +lat_0=23 +lon_0=-96 +ellps=clrk66", -75, 35) == pytest.approx((1885472.7, 1535925.0), abs=0.1)
+    assert crs.transform("EPSG:4326", "+proj=lcc +lat_1=33 +lat_2=45 +lat_0=23 +lon_0=-96 +ellps=clrk66", -75, 35) == pytest.approx((1894410.9, 1564649.5), abs=0.1)
+    assert crs.transform("EPSG:4326", "+proj=merc +lon_0=-180 +ellps=clrk66", -75, 35) == pytest.approx((11688673.7, 4139145.6), abs=0.1)
+    texas = "+proj=lcc +lat_1=28.383333333333333 +lat_2=30.283333333333333 +lat_0=27.833333333333332 +lon_0=-99 +x_0=2000000 +a=20925832.16 +rf=294.97870"
+    assert crs.transform("EPSG:4326", texas, -96, 28.5) == pytest.approx((2963503.91, 254759.80), abs=0.02)
+    for bad in ("EPSG:99999", "nonsense", "+proj=robin", "+proj=lcc", "+proj=stere +lat_0=10"):
+        with pytest.raises(ValueError):
+            crs.system(bad)
+
+
+def test_equal_areas():
+    """Small squares have the same area wherever they lie."""
+    for name in ("EPSG:6933", "EPSG:3035", "EPSG:5070", "EPSG:3577"):
+        sizes = []
+        for lon, lat in ((12.0, 40.0), (20.0, 55.0), (5.0, 65.0)):
+            d = 1e-4
+            (xa, ya), (xb, yb), (xc, yc) = (crs.transform("EPSG:4326", name, lon + a * d, lat + b * d) for a, b in ((0, 0), (1, 0), (0, 1)))
+            s = crs.system(name)
+            q = s.q(math.radians(lat + d)) - s.q(math.radians(lat))
+            sizes.append(abs((xb - xa) * (yc - ya) - (xc - xa) * (yb - ya)) / q)
+        assert np.allclose(sizes, sizes[0], rtol=1e-4), name
 
 
 def test_reproject_to_itself_changes_nothing(spark):
@@ -368,7 +393,7 @@ def test_reproject_to_itself_changes_nothing(spark):
 
 
 @pytest.mark.parametrize("kind", ["nearest", "bilinear"])
-@pytest.mark.parametrize("target", ["EPSG:3857", "EPSG:32632", "EPSG:4326"])
+@pytest.mark.parametrize("target", ["EPSG:3857", "EPSG:32632", "EPSG:3035", "EPSG:4326"])
 def test_reproject_by_hand(spark, kind, target):
     """Every pixel from its own coordinates, over many blocks, with nulls; scattered input in any order."""
     grid = with_gaps((23, 31), 6, 0.1)
@@ -381,7 +406,7 @@ def test_reproject_by_hand(spark, kind, target):
     for (y, x), v in got.items():
         fx, fy = header.to_pixel(*crs.transform(target, header.crs, *to.to_geo(x, y)))
         want = None
-        if 0 <= fx < 31 and 0 <= fy < 23:
+        if -1e-6 <= fx < 31 - 1e-6 and -1e-6 <= fy < 23 - 1e-6:
             at = lambda c, d: grid[min(max(int(d), 0), 22), min(max(int(c), 0), 30)]
             a, b = math.floor(fx), math.floor(fy)
             wx, wy = fx - a, fy - b
