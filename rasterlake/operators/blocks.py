@@ -100,8 +100,8 @@ def places_of(raw) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])
 
 
-def gathered(batches: Iterator[pa.RecordBatch], size: int = GATHER) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows, columns and cells (bands, pixels) of about ``size`` pixels at a time."""
+def gathered(batches: Iterator[pa.RecordBatch], size: int = GATHER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and cells (bands, pixels) of about ``size`` pixels at a time."""
     held, n = [], 0
     for batch in batches:
         if batch.num_rows:
@@ -114,20 +114,25 @@ def gathered(batches: Iterator[pa.RecordBatch], size: int = GATHER) -> Iterator[
         yield _cells(held)
 
 
-def _cells(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _cells(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     t = pa.Table.from_batches(held)
-    ys, xs = (t.column(k).to_numpy().astype(np.int64, copy=False) for k in (0, 1))
-    return ys, xs, np.stack([t.column(k).to_numpy() for k in range(2, t.num_columns)])
+    return t.column(0).to_numpy(), np.stack([t.column(k).to_numpy() for k in range(1, t.num_columns)])
+
+
+def placed(pixels: DataFrame, height: int, width: int) -> DataFrame:
+    """Pixels of a raster as they are sent to tasks: ``place`` (row times width, plus column) and bands; those beyond it are left out."""
+    bands = [c for c in pixels.columns if c not in ("y", "x")]
+    y, x = F.col("y").cast("int"), F.col("x").cast("int")
+    inside = pixels.where(y.between(0, height - 1) & x.between(0, width - 1))
+    return inside.select((y.cast("long") * width + x).alias("place"), *[F.col(f"`{b}`").cast("double").alias(b) for b in bands])
 
 
 def pack(tiling: Tiling) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A map from batches of ``y, x, bands`` to pieces."""
+    """A map from batches of ``placed`` pixels to pieces."""
 
     def run(batches):
-        for ys, xs, cells in gathered(batches):
-            inside = (ys >= 0) & (ys < tiling.height) & (xs >= 0) & (xs < tiling.width)
-            if not inside.all():
-                ys, xs, cells = ys[inside], xs[inside], cells[:, inside]
+        for places, cells in gathered(batches):
+            ys, xs = np.divmod(places, tiling.width)
             for some, blocks in tiling.blocks_of(ys, xs):
                 yield pieces(tiling.window, blocks, ys[some], xs[some], cells[:, some])
 
@@ -212,8 +217,7 @@ def pixels_of(core: tuple[int, int, int, int], there: np.ndarray, bands: list[np
 def by_block(pixels: DataFrame, tiling: Tiling, work, schema: str) -> DataFrame:
     """``work`` over all blocks of a raster's pixels (``y, x`` and bands): see ``over_blocks``."""
     bands = [c for c in pixels.columns if c not in ("y", "x")]
-    rows = pixels.select(F.col("y").cast("int"), F.col("x").cast("int"), *[F.col(b).cast("double") for b in bands])
-    packed = rows.mapInArrow(pack(tiling), PIECES)
+    packed = placed(pixels, tiling.height, tiling.width).mapInArrow(pack(tiling), PIECES)
     n, window = len(bands), tiling.window
     return dealt(packed, tiling.down * tiling.across).mapInArrow(lambda batches: over_blocks(batches, n, window, work), schema)
 

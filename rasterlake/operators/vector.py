@@ -139,7 +139,7 @@ def cover(spark: SparkSession, shapes: list, header: Header, holes: bool = False
     if crossings <= SPANS:
         spans = swept(_united(spans_of(edges, header), one_zone))
         rows = len(np.unique(spans[:, 1]))
-        step = header.width if len(spans) <= 4 * max(rows, 1) else STEP
+        step = header.width if len(spans) <= 1.5 * max(rows, 1) else STEP
         table = pa.table({name: pa.array(spans[:, k].astype(np.int32)) for k, name in enumerate(("zone", "y", "c0", "c1"))})
         return Cover(spark.createDataFrame(table, SPAN), step, True)
     held = spark.sparkContext.broadcast(edges)
@@ -171,8 +171,9 @@ def joined(pixels: DataFrame, found: Cover, header: Header, how: str) -> DataFra
     across = -(-header.width // found.step)
     key, parts = F.col("y").cast("long"), found.spans.withColumn("_key", F.col("y").cast("long"))
     if across > 1:
-        part = F.explode(F.sequence(F.floor(F.col("c0") / found.step), F.floor(F.col("c1") / found.step)))
-        parts = found.spans.withColumn("_part", part).withColumn("_key", F.col("y").cast("long") * across + F.col("_part"))
-        key = key * across + F.floor(F.col("x") / found.step)
+        part = lambda c: F.floor(F.col(c) / found.step).cast("int")
+        parts = found.spans.withColumn("_part", F.explode(F.sequence(part("c0"), part("c1")))).withColumn("_key", F.col("y").cast("long") * across + F.col("_part"))
+        bits = found.step.bit_length() - 1
+        key = key * across + (F.shiftright("x", bits) if found.step == 1 << bits else part("x"))
     parts = parts.select("zone", "c0", "c1", "_key")
     return pixels.join(F.broadcast(parts) if found.few else parts, (key == F.col("_key")) & F.col("x").between(F.col("c0"), F.col("c1")), how)

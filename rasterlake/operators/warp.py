@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import crs as systems
 from ..plans.header import Header
-from .blocks import BLOCK, PIECES, Tiling, dealt, gathered, over_blocks, pixels_of, runs_of
+from .blocks import BLOCK, PIECES, Tiling, dealt, gathered, over_blocks, pixels_of, placed, runs_of
 
 RESAMPLING = ("nearest", "bilinear")
 #: Part of a pixel within which a place counts as being on the source's edge.
@@ -71,11 +71,11 @@ def _sent(held, width: int):
 
     def run(batches):
         rects = held.value
-        for ys, xs, cells in gathered(batches):
-            key = ys * width + xs
+        for key, cells in gathered(batches):
             if (np.diff(key) < 0).any():
                 order = np.argsort(key, kind="stable")
-                key, ys, xs, cells = key[order], ys[order], xs[order], cells[:, order]
+                key, cells = key[order], cells[:, order]
+            ys, xs = np.divmod(key, width)
             low, high, left, right = ys[0], ys[-1], xs.min(), xs.max()
             rows = np.unique(ys)
             numbers, runs, packed = [], [], []
@@ -141,7 +141,7 @@ def reproject(pixels: DataFrame, header: Header, target: Header, resampling: str
     n = len(rects)
     held = spark.sparkContext.broadcast(rects)  # 32 bytes a block, of at most MOST
     seen = rects[rects[:, 1] > 0]
-    rows = pixels.select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *[F.col(b).cast("double").alias(b) for b in bands])
+    rows = pixels
     if len(seen):
         rows = rows.where(F.col("y").between(int(seen[:, 0].min()), int(seen[:, 1].max() - 1)) & F.col("x").between(int(seen[:, 2].min()), int(seen[:, 3].max() - 1)))
     else:
@@ -157,7 +157,7 @@ def reproject(pixels: DataFrame, header: Header, target: Header, resampling: str
     def run(batches):
         return over_blocks(batches, len(bands), lambda number: tuple(held.value[number].tolist()), work)
 
-    sent = rows.mapInArrow(_sent(held, header.width), PIECES)
+    sent = placed(rows, header.height, header.width).mapInArrow(_sent(held, header.width), PIECES)
     empty = spark.range(n).select(F.col("id").alias("block"), F.lit(None).cast("binary").alias("runs"), F.lit(None).cast("binary").alias("cells"))
     schema = "y int, x int, " + ", ".join(f"`{b}` double" for b in bands)
     return dealt(sent.unionByName(empty), n).mapInArrow(run, schema)

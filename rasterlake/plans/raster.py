@@ -132,55 +132,80 @@ class Raster:
 class RasterStack:
     """Scenes of one grid. Steps before ``temporal`` apply to each scene.
 
-    Scenes come one by one, or (``of``) as one table with a ``scene`` number from 0 on, which is scanned once."""
+    Scenes come one by one; or from files (``open``) or a table (``wide``) side by side, a column for each scene's band, so that no
+    pixel has to be brought together; or (``of``) as one table with a ``scene`` number from 0 on, which is scanned once."""
 
     def __init__(self, scenes: list[Raster], steps: tuple[Callable[[Raster], Raster], ...] = ()):
         if not scenes:
             raise ValueError("a stack needs scenes")
-        first = scenes[0].header
-        for s in scenes[1:]:
-            h = s.header
-            if (h.width, h.height, h.transform, h.crs) != (first.width, first.height, first.transform, first.crs):
-                raise ValueError("the scenes' grids differ")
-        self._scenes, self.steps, self.header, self.count, self._rows = scenes, steps, first, len(scenes), None
+        _same_grid([s.header for s in scenes])
+        self.header, self.count, self.steps = scenes[0].header, len(scenes), steps
+        self._scenes, self._rows, self._read = scenes, None, None
 
     @classmethod
-    def open(cls, spark: SparkSession, paths: list[str]) -> RasterStack:
-        return cls([Raster.open(spark, p) for p in paths])
+    def _made(cls, header: Header, count: int, scenes=None, rows=None, read=None, steps=()) -> RasterStack:
+        if count < 1:
+            raise ValueError("a stack needs scenes")
+        out = cls.__new__(cls)
+        out.header, out.count, out._scenes, out._rows, out._read, out.steps = header, count, scenes, rows, read, steps
+        return out
 
     @classmethod
-    def of(cls, rows: DataFrame, count: int, header: Header) -> RasterStack:
-        """A stack of ``count`` scenes from a table ``scene, y, x, b1, ..``; bands become doubles, NaN becomes null."""
-        if count < 1:
+    def open(cls, spark: SparkSession, paths: list[str]) -> RasterStack:
+        """Files of one grid. Tasks read the same rows of all of them."""
+        if not paths:
             raise ValueError("a stack needs scenes")
-        bands = [c for c in rows.columns if c not in ("scene", "y", "x")]
-        return cls._made(None, _no_nan(rows, "scene"), count, header.with_(bands=len(bands)), ())
+        headers = [geotiff.header_of(p).header for p in paths]
+        _same_grid(headers)
+        header = headers[0].with_(bands=min(h.bands for h in headers))
+        return cls._made(header, len(paths), read=lambda bands: geotiff.read_stack(spark, paths, bands))
 
     @classmethod
-    def _made(cls, scenes, rows, count, header, steps) -> RasterStack:
-        out = cls.__new__(cls)
-        out._scenes, out._rows, out.count, out.header, out.steps = scenes, rows, count, header, steps
-        return out
+    def wide(cls, pixels: DataFrame, count: int, header: Header) -> RasterStack:
+        """A table ``y, x, s0b1, s0b2, .., s1b1, ..`` of ``count`` scenes; bands become doubles, NaN becomes null."""
+        bands = (len(pixels.columns) - 2) // max(count, 1)
+        clean = _no_nan(pixels)
+        return cls._made(header.with_(bands=bands), count, read=lambda some: clean.select("y", "x", *[f"s{k}b{b}" for k in range(count) for b in some]))
+
+    @classmethod
+    def of(cls, rows: DataFrame, count: int, header: Header) -> RasterStack:
+        """A table ``scene, y, x, b1, ..`` of ``count`` scenes; bands become doubles, NaN becomes null."""
+        bands = [c for c in rows.columns if c not in ("scene", "y", "x")]
+        return cls._made(header.with_(bands=len(bands)), count, rows=_no_nan(rows, "scene"))
 
     @property
     def scenes(self) -> list[Raster]:
         if self._scenes is None:
-            self._scenes = [Raster(self._rows.where(F.col("scene") == k).drop("scene"), self.header) for k in range(self.count)]
+            if self._rows is not None:
+                self._scenes = [Raster(self._rows.where(F.col("scene") == k).drop("scene"), self.header) for k in range(self.count)]
+            else:
+                names = range(1, self.header.bands + 1)
+                pixels = self._read(list(names))
+                self._scenes = [Raster(pixels.select("y", "x", *[F.col(f"s{k}b{b}").alias(f"b{b}") for b in names]), self.header) for k in range(self.count)]
         return self._scenes
 
     def _and(self, step: Callable[[Raster], Raster]) -> RasterStack:
-        return self._made(self.scenes, None, self.count, self.header, (*self.steps, step))
+        return self._made(self.header, self.count, scenes=self.scenes, steps=(*self.steps, step))
 
     def algebra(self, expression: str) -> RasterStack:
-        if self._rows is None:
-            return self._and(lambda r: r.algebra(expression))
-        value = compile_expression(expression, self.header.bands).cast("double").alias("b1")
-        return self._made(None, self._rows.select("scene", "y", "x", value), self.count, self.header.with_(bands=1), ())
+        one = self.header.with_(bands=1)
+        if self._rows is not None:
+            value = compile_expression(expression, self.header.bands).cast("double").alias("b1")
+            return self._made(one, self.count, rows=self._rows.select("scene", "y", "x", value))
+        if self._read is not None:
+            used: set[int] = set()
+            values = [compile_expression(expression, self.header.bands, lambda n, k=k: used.add(n) or F.col(f"s{k}b{n}")).cast("double").alias(f"s{k}b1") for k in range(self.count)]
+            pixels = self._read(sorted(used)).select("y", "x", *values)
+            return self._made(one, self.count, read=lambda bands: pixels)
+        return self._and(lambda r: r.algebra(expression))
 
     def reproject(self, *args, **options) -> RasterStack:
         return self._and(lambda r: r.reproject(*args, **options))
 
     def temporal(self, op: str, t0: int = 0, t1: int = -1, time_values: list[float] | None = None) -> Raster:
+        if self._read is not None:
+            names = [f"s{k}b1" for k in range(self.count)]
+            return Raster(temporals.beside(self._read([1]), names, op, t0, t1, time_values), self.header)
         rows, header = self._rows, self.header
         if rows is None:
             done = list(self.scenes)
@@ -196,3 +221,10 @@ class RasterStack:
         raise ValueError("a stack has to be reduced by temporal() first")
 
     save_local = to_memory
+
+
+def _same_grid(headers: list[Header]) -> None:
+    first = headers[0]
+    for h in headers[1:]:
+        if (h.width, h.height, h.transform, h.crs) != (first.width, first.height, first.transform, first.crs):
+            raise ValueError("the scenes' grids differ")

@@ -39,6 +39,18 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _OWN.setdefault(context.applicationId, tempfile.mkdtemp(prefix="rasterlake-"))
 
 
+def narrow_rows(spark: SparkSession, on: bool = True) -> None:
+    """Tell the session that rows sent to Python workers are narrow, as pixels are: batches are then bounded by their rows alone.
+
+    The bound in bytes is looked at after every row, which takes three times as long as sending a pixel does. Pieces of blocks are wide,
+    but a partition has few of them. ``on=False`` gives back the default, which rows of texts need."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if on:
+        spark.conf.set(name, str((1 << 31) - 1))
+    else:
+        spark.conf.unset(name)
+
+
 def local(cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session on one machine, as tests and the bench use it."""
     return (

@@ -11,23 +11,24 @@ stream (for S3 a multipart upload). Only the directory's entries, 16 bytes a til
 
 from __future__ import annotations
 
+import json
 import os
 import shutil
 import struct
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
-from ..operators.blocks import PIECES, Tiling, dealt, over_blocks, pack
+from ..operators.blocks import PIECES, Tiling, dealt, over_blocks, pack, placed
 from ..plans.header import Header
 from . import tiff
 
@@ -87,8 +88,10 @@ def _bounds(f, low: int, high: int) -> tuple[int, int] | None:
 
 
 class GeoTiffReader(DataSourceReader):
-    def __init__(self, path: str, bands: list[int], strip: int):
-        self.path, self.bands, self.strip = path, bands, strip
+    """Pixels of files of one grid, side by side: ``names`` has the columns of all bands of the first file, then of the next."""
+
+    def __init__(self, paths: list[str], bands: list[int], names: list[str], strip: int):
+        self.paths, self.bands, self.names, self.strip = paths, bands, names, strip
         self.limits: dict[str, tuple[int, int]] = {"y": (0, 1 << 62), "x": (0, 1 << 62)}
 
     def pushFilters(self, filters):
@@ -101,38 +104,57 @@ class GeoTiffReader(DataSourceReader):
             yield f
 
     def partitions(self):
-        layout = header_of(self.path)
+        layout = header_of(self.paths[0])
         step = max(1, self.strip // layout.block_height)
         first, last = self.limits["y"][0] // layout.block_height, min(self.limits["y"][1] // layout.block_height, layout.down - 1)
         # a partition at least: Spark reads a source without partitions as an unknown one
         return [_Rows(a, min(a + step, last + 1)) for a in range(first, last + 1, step)] or [_Rows(0, 0)]
 
     def read(self, partition: _Rows) -> Iterator[pa.RecordBatch]:
-        layout = header_of(self.path)
-        h = layout.header
-        left, right = self.limits["x"][0] // layout.block_width, min(self.limits["x"][1] // layout.block_width, layout.across - 1)
-        with _opened(self.path) as f, ThreadPoolExecutor(CONNECTIONS) as pool:
+        layouts = [header_of(p) for p in self.paths]
+        first, h = layouts[0], layouts[0].header
+        x0 = min(self.limits["x"][0] // first.block_width * first.block_width, h.width)
+        x1 = min((min(self.limits["x"][1], h.width) // first.block_width + 1) * first.block_width, h.width)
+        with ExitStack() as open_:
+            files = [open_.enter_context(_opened(p)) for p in self.paths]
+            pool = open_.enter_context(ThreadPoolExecutor(CONNECTIONS))
             for by in range(partition.first, partition.last):
-                y0 = by * layout.block_height
-                rows = min(layout.block_height, h.height - y0)
-                stored = layout.block_height if layout.block_width != h.width or layout.down == 1 else rows
-                wanted = {layout.block(b - 1, by, bx) for b in self.bands for bx in range(left, right + 1)}
-                wanted = [k for k in wanted if layout.sizes[k]]
-                raw = self._fetch(f, layout, sorted(wanted, key=layout.offsets.__getitem__), pool)
-                blocks = dict(zip(raw, pool.map(lambda k: tiff.decode(raw[k], layout, min(stored, layout.block_height)), raw)))  # noqa: B023
-                for bx in range(left, right + 1):
-                    x0 = bx * layout.block_width
-                    width = min(layout.block_width, h.width - x0)
-                    cols = [pa.array(np.repeat(np.arange(y0, y0 + rows, dtype=np.int32), width)), pa.array(np.tile(np.arange(x0, x0 + width, dtype=np.int32), rows))]
-                    for b in self.bands:
-                        block = blocks.get(layout.block(b - 1, by, bx))
-                        if block is None:  # a tile that was never written
-                            cols.append(pa.nulls(rows * width, pa.float64()))
-                            continue
-                        v = block[:rows, :width, 0 if layout.planar else b - 1].ravel()
-                        empty = np.isnan(v) if h.nodata is None else np.isnan(v) | (v == h.nodata)
+                y0, y1 = by * first.block_height, min((by + 1) * first.block_height, h.height)
+                if x0 >= x1:
+                    continue
+                rows, width = y1 - y0, x1 - x0
+                cols = [pa.array(np.repeat(np.arange(y0, y1, dtype=np.int32), width)), pa.array(np.tile(np.arange(x0, x1, dtype=np.int32), rows))]
+                for f, layout in zip(files, layouts):
+                    for cells in self._part(f, layout, (y0, y1, x0, x1), pool):
+                        v = cells.ravel()
+                        empty = np.isnan(v)
                         cols.append(pa.array(v, mask=empty) if empty.any() else pa.array(v))
-                    yield pa.RecordBatch.from_arrays(cols, names=["y", "x", *[f"b{b}" for b in self.bands]])
+                yield pa.RecordBatch.from_arrays(cols, names=["y", "x", *self.names])
+
+    def _part(self, f, layout: tiff.Layout, window: tuple[int, int, int, int], pool: ThreadPoolExecutor) -> np.ndarray:
+        """The bands' cells of a window, from the blocks that it touches; NaN for nodata and tiles that were never written."""
+        y0, y1, x0, x1 = window
+        h = layout.header
+        bw, bh = layout.block_width, layout.block_height
+        downs, acrosses = range(y0 // bh, (y1 - 1) // bh + 1), range(x0 // bw, (x1 - 1) // bw + 1)
+        wanted = {layout.block(b - 1, by, bx): by for b in self.bands for by in downs for bx in acrosses}
+        wanted = {k: by for k, by in wanted.items() if layout.sizes[k]}
+        raw = self._fetch(f, layout, sorted(wanted, key=layout.offsets.__getitem__), pool)
+        # the last strip of a file without tiles is cut off at its end
+        stored = {k: bh if bw != h.width or layout.down == 1 else min(bh, h.height - by * bh) for k, by in wanted.items()}
+        blocks = dict(zip(raw, pool.map(lambda k: tiff.decode(raw[k], layout, stored[k]), raw)))
+        out = np.full((len(self.bands), y1 - y0, x1 - x0), np.nan)
+        for n, b in enumerate(self.bands):
+            for by in downs:
+                for bx in acrosses:
+                    block = blocks.get(layout.block(b - 1, by, bx))
+                    if block is None:
+                        continue
+                    ya, yb, xa, xb = max(by * bh, y0), min((by + 1) * bh, y1), max(bx * bw, x0), min((bx + 1) * bw, x1)
+                    out[n, ya - y0 : yb - y0, xa - x0 : xb - x0] = block[ya - by * bh : yb - by * bh, xa - bx * bw : xb - bx * bw, 0 if layout.planar else b - 1]
+        if h.nodata is not None and not np.isnan(h.nodata):
+            out[out == h.nodata] = np.nan
+        return out
 
     @staticmethod
     def _fetch(f, layout: tiff.Layout, order: list[int], pool: ThreadPoolExecutor) -> dict[int, bytes]:
@@ -160,40 +182,56 @@ class GeoTiffReader(DataSourceReader):
 
 
 class GeoTiffSource(DataSource):
-    """``spark.read.format("geotiff").option("bands", "1,3").load(path)``; ``strip`` is the rows of pixels a task."""
+    """``spark.read.format("geotiff").option("bands", "1,3").load(path)``; ``strip`` is the rows of pixels a task. With ``paths`` (a JSON
+    list) the files' bands stand side by side, as ``s0b1, .., s1b1, ..``."""
 
     @classmethod
     def name(cls) -> str:
         return "geotiff"
 
+    def _paths(self) -> list[str]:
+        return json.loads(self.options["paths"]) if "paths" in self.options else [self.options["path"]]
+
     def _bands(self) -> list[int]:
-        n = header_of(self.options["path"]).header.bands
+        n = min(header_of(p).header.bands for p in self._paths())
         text = self.options.get("bands", "")
         bands = [int(b) for b in text.split(",")] if text else list(range(1, n + 1))
         if bad := [b for b in bands if not 1 <= b <= n]:
             raise ValueError(f"bands {bad} are not among {n}")
         return bands
 
+    def _names(self) -> list[str]:
+        return [f"s{k}b{b}" for k in range(len(self._paths())) for b in self._bands()] if "paths" in self.options else [f"b{b}" for b in self._bands()]
+
     def schema(self) -> str:
-        return "y int, x int, " + ", ".join(f"b{b} double" for b in self._bands())
+        return "y int, x int, " + ", ".join(f"{n} double" for n in self._names())
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return GeoTiffReader(self.options["path"], self._bands(), int(self.options.get("strip", "512")))
+        return GeoTiffReader(self._paths(), self._bands(), self._names(), int(self.options.get("strip", "512")))
 
 
-def read(spark: SparkSession, path: str, bands: list[int] | None = None) -> tuple[DataFrame, Header]:
-    """Pixels and header of a file."""
+def _reader(spark: SparkSession, bands: list[int] | None):
     spark.dataSource.register(GeoTiffSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     reader = spark.read.format("geotiff")
-    if bands:
-        reader = reader.option("bands", ",".join(map(str, bands)))
+    return reader.option("bands", ",".join(map(str, bands))) if bands else reader
+
+
+def read(spark: SparkSession, path: str, bands: list[int] | None = None) -> tuple[DataFrame, Header]:
+    """Pixels and header of a file."""
     header = header_of(path).header
-    return reader.load(path), header
+    return _reader(spark, bands).load(path), header
+
+
+def read_stack(spark: SparkSession, paths: list[str], bands: list[int]) -> DataFrame:
+    """Pixels of files of one grid, with the bands of all of them: ``y, x, s0b1, .., s1b1, ..``."""
+    return _reader(spark, bands).option("paths", json.dumps(paths)).load()
+
 
+def write(pixels: DataFrame, header: Header, path: str, tile: int = TILE, by_tasks: bool | None = None) -> None:
+    """Write float32 tiles (DEFLATE, predictor 3, BigTIFF). Null pixels and places without one are ``nodata`` (NaN without it).
 
-def write(pixels: DataFrame, header: Header, path: str, tile: int = TILE) -> None:
-    """Write float32 tiles (DEFLATE, predictor 3, BigTIFF). Null pixels and places without one are ``nodata`` (NaN without it)."""
+    ``by_tasks`` tells whether tasks can write into the middle of a file; by default that is so of plain file systems."""
     from pyarrow import fs
 
     bands = [c for c in pixels.columns if c not in ("y", "x")]
@@ -205,7 +243,7 @@ def write(pixels: DataFrame, header: Header, path: str, tile: int = TILE) -> Non
     folder = f"{uri}.parts-{uuid.uuid4().hex}"
     system.create_dir(f"{base}{folder[len(uri):]}", recursive=True)
     try:
-        packed = pixels.select("y", "x", *[F.col(b).cast("double") for b in bands]).mapInArrow(pack(tiling), PIECES)
+        packed = placed(pixels, header.height, header.width).mapInArrow(pack(tiling), PIECES)
         made = dealt(packed, across * down).mapInArrow(_tiles(tiling, len(bands), fill, folder), PART).toArrow().to_pydict()
         # parts of attempts that failed are in the folder too; only those that are listed count
         ends: dict[str, int] = {}
@@ -220,7 +258,7 @@ def write(pixels: DataFrame, header: Header, path: str, tile: int = TILE) -> Non
             k = (band * down + ty) * across + tx
             offsets[k], sizes[k] = starts[part] + start, size
         first, last = struct.pack("<2sHHHQ", b"II", 43, 8, 0, at), tiff.directory(header, tile, offsets, sizes, at)
-        if uri.startswith("file://"):
+        if uri.startswith("file://") if by_tasks is None else by_tasks:
             local = base + folder[len(uri) :]
             with open(f"{local}/whole", "wb") as f:
                 f.write(first)

@@ -5,9 +5,12 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, LessThan, LessThanOrEqual, StringContains
 
 from rasterlake.plans.header import Header
-from rasterlake.plans.raster import Raster
+from rasterlake.plans.raster import Raster, RasterStack
 from rasterlake.sources import geotiff, tiff
 
 
@@ -31,7 +34,7 @@ def pack_lzw(raw):
     return int(bits, 2).to_bytes(len(bits) // 8, "big")
 
 
-PACK = {"none": (1, lambda b: b), "deflate": (8, zlib.compress), "lzw": (5, pack_lzw), "packbits": (32773, pack_bits)}
+PACK = {"none": (1, lambda b: b), "deflate": (8, zlib.compress), "lzw": (5, pack_lzw), "packbits": (32773, pack_bits), "zstd": (50000, lambda b: zstandard.compress(b))}
 
 
 def make(path, grid, codec="none", predictor=1, tile=None, planar=False):
@@ -78,7 +81,8 @@ def make(path, grid, codec="none", predictor=1, tile=None, planar=False):
 def stored(grid, layout_path):
     """The grid as the reader's blocks give it, without Spark."""
     layout = geotiff.header_of(layout_path)
-    reader = geotiff.GeoTiffReader(layout_path, list(range(1, layout.header.bands + 1)), 512)
+    bands = list(range(1, layout.header.bands + 1))
+    reader = geotiff.GeoTiffReader([layout_path], bands, [f"b{b}" for b in bands], 512)
     out = np.full(grid.shape, np.nan)
     for part in reader.partitions():
         for batch in reader.read(part):
@@ -142,6 +146,75 @@ def test_round_trip(spark, tmp_path):
     assert one.header.bands == 1 and one.pixels.columns == ["y", "x", "b1"]
 
 
+@pytest.mark.parametrize("by_tasks", [True, False])
+def test_written_by_tasks_or_through_one_stream(spark, tmp_path, by_tasks):
+    """Many tiles and part files, sparse pixels, and nothing left beside the file."""
+    y, x = np.mgrid[0:70, 0:50]
+    there = (x // 16 + y // 16) % 3 > 0  # tiles without pixels
+    rows = [(int(a), int(b), float(a * 100 + b)) for a, b in zip(y[there], x[there])]
+    path = str(tmp_path / "out.tif")
+    geotiff.write(spark.createDataFrame(rows, "y int, x int, b1 double").repartition(5), Header(50, 70), path, tile=16, by_tasks=by_tasks)
+    got = {(r.y, r.x): r.b1 for r in Raster.open(spark, path).pixels.collect()}
+    assert len(got) == 70 * 50 and got == {(int(a), int(b)): float(a * 100 + b) if there[a, b] else None for a, b in zip(y.ravel(), x.ravel())}
+    assert [p.name for p in tmp_path.iterdir()] == ["out.tif"]
+
+
+def fetched(reader):
+    """The blocks that a reader fetches."""
+    seen = []
+    plain = reader._fetch
+    reader._fetch = lambda f, layout, order, pool: seen.extend(order) or plain(f, layout, order, pool)
+    rows = sum(b.num_rows for part in reader.partitions() for b in reader.read(part))
+    return seen, rows
+
+
+def test_filters_leave_blocks_out(tmp_path):
+    grid = np.random.default_rng(5).random((2, 64, 64)).astype("f4")
+    path = make(tmp_path / "a.tif", grid, tile=16, planar=True)
+    cases = [
+        ([], 16), ([GreaterThanOrEqual(("y",), 20), LessThan(("y",), 32)], 4), ([EqualTo(("x",), 17)], 4), ([In(("y",), (3, 40)), GreaterThan(("x",), 47)], 3), ([LessThanOrEqual(("x",), 15), GreaterThan(("y",), 47)], 1), ([EqualTo(("y",), 99)], 0), ([StringContains(("b1",), "x")], 16),
+    ]
+    for filters, blocks in cases:
+        reader = geotiff.GeoTiffReader([path], [2], ["b2"], 16)
+        assert list(reader.pushFilters(filters)) == filters
+        seen, rows = fetched(reader)
+        assert len(seen) == blocks and rows == blocks * 256 and all(k >= 16 for k in seen)
+
+
+def test_only_needed_bands_and_blocks_are_read(spark, tmp_path):
+    grid = (np.random.default_rng(5).random((3, 64, 48)) * 100).astype("f4")
+    path = make(tmp_path / "a.tif", grid, tile=16, planar=True)
+    r = Raster.open(spark, path)
+    assert r.header.bands == 3
+    plan = r.algebra("B3 + 1").pixels._jdf.queryExecution().analyzed().toString()
+    assert "b3#" in plan and "b1#" not in plan.split("Relation")[-1] and "b2#" not in plan.split("Relation")[-1]
+    assert np.allclose(r.algebra("B3 - B1").to_memory(), grid[2] - grid[0], atol=1e-4)
+    assert np.allclose(r.focal("max", 1).to_memory()[5, 5], grid[0, 4:7, 4:7].max())
+    some = r.pixels.where((F.col("y") >= 20) & (F.col("y") < 25) & (F.col("x") == 33))
+    strips = spark.read.format("geotiff").option("strip", "16").load(path)
+    assert strips.rdd.getNumPartitions() == 4 and strips.where("y between 20 and 24").rdd.getNumPartitions() == 1
+    assert sorted((p.y, round(p.b2, 3)) for p in some.collect()) == [(y, round(float(grid[1, y, 33]), 3)) for y in range(20, 25)]
+    two = Raster.open(spark, path, bands=[3, 2])
+    assert np.allclose(two.algebra("B1 * 2").to_memory(), grid[2] * 2, atol=1e-4)
+
+
+def test_stacks_of_files(spark, tmp_path):
+    """Scenes of different layouts, read side by side, without an exchange."""
+    rng = np.random.default_rng(6)
+    grids = [(rng.random((2, 40, 33)) * 100).astype("f4") for _ in range(3)]
+    paths = [make(tmp_path / f"{k}.tif", g, codec, 1, tile, planar) for k, (g, codec, tile, planar) in enumerate(zip(grids, ("none", "zstd", "deflate"), (16, None, 32), (True, False, False)))]
+    s = RasterStack.open(spark, paths)
+    plan = s.algebra("B2 - B1").temporal("mean").pixels._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert np.allclose(s.algebra("B2 - B1").temporal("mean").to_memory(), np.mean([g[1] - g[0] for g in grids], axis=0), atol=1e-3)
+    assert np.allclose(s.temporal("diff").to_memory(), grids[2][0] - grids[0][0], atol=1e-3)
+    assert np.allclose(s.scenes[1].algebra("B2").to_memory(), grids[1][1], atol=1e-4)
+    with pytest.raises(ValueError):
+        RasterStack.open(spark, [*paths, make(tmp_path / "other.tif", grids[0][:, :20])])
+    with pytest.raises(ValueError):
+        RasterStack.open(spark, [])
+
+
 def test_errors(spark, tmp_path):
     bad = tmp_path / "bad.tif"
     bad.write_bytes(b"no tiff at all")

@@ -126,7 +126,7 @@ def test_pieces_rebuild_the_windows(height, width, block, halo, seed):
     ys, xs = (a.ravel() for a in np.mgrid[0:height, 0:width])
     order = np.random.default_rng(seed).permutation(len(ys)) if seed % 2 else np.arange(len(ys))
     v = (ys * 1000 + xs).astype(float)
-    batches = [pa.RecordBatch.from_arrays([pa.array(a[part]) for a in (ys, xs, v)], names=["y", "x", "b"]) for part in np.array_split(order, 3)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(a[part]) for a in (ys * width + xs, v)], names=["place", "b"]) for part in np.array_split(order, 3)]
     held = {}
     for batch in blocks.pack(tiling)(iter(batches)):
         for number, runs, cells in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -337,6 +337,20 @@ def test_a_stack_of_one_table(spark):
     assert a == b
 
 
+@pytest.mark.parametrize("op", ["diff", "ratio", "anomaly_mean", "anomaly_baseline", "trend", "mean", "std", "min", "max"])
+def test_scenes_side_by_side(spark, op):
+    """A column a scene gives what single scenes give, without an exchange."""
+    grids = [with_gaps((5, 6), k, 0.4) for k in range(3)]
+    scenes = stack(spark, grids)
+    rows = [(y, x, *[None if math.isnan(g[y, x]) else float(g[y, x]) for g in grids]) for y in range(5) for x in range(6)]
+    wide = RasterStack.wide(spark.createDataFrame(rows, "y int, x int, s0b1 double, s1b1 double, s2b1 double"), 3, scenes.header)
+    got = wide.algebra("B1 + 1").temporal(op, time_values=[0, 1, 5])
+    assert "Exchange" not in plan_of(got.pixels)
+    a, b = (sorted((r.y, r.x, None if r.b1 is None else round(r.b1, 9)) for r in s.pixels.collect()) for s in (got, scenes.algebra("B1 + 1").temporal(op, time_values=[0, 1, 5])))
+    assert a == b
+    assert sorted(map(str, wide.scenes[1].pixels.collect())) == sorted(map(str, scenes.scenes[1].pixels.collect()))
+
+
 def test_stacks_need_equal_grids(spark):
     with pytest.raises(ValueError):
         RasterStack([])
