@@ -1,7 +1,9 @@
 """Band algebra: expressions over bands become Spark columns.
 
 Operators by rising precedence: comparisons (1.0 or 0.0), ``+ -``, ``* /``, unary minus. Division adds 1e-6 to the divisor.
-Functions: and, or, not, if, between, clamp, min, max. Null pixels stay null through arithmetic and comparisons.
+Functions: and, or, not, if, between, clamp, min, max. Null pixels (nodata) give null in arithmetic, comparisons, ``and``, ``not``,
+``if`` (any argument) and ``between``. ``min``, ``max``, ``or`` (the larger) and ``clamp`` leave null arguments out, as the minimum and
+maximum of floating-point numbers do; they are null only if all arguments are.
 """
 
 from __future__ import annotations

@@ -70,6 +70,13 @@ class Tiling:
             return grid
         return np.pad(grid, more, mode="edge") if repeat else np.pad(grid, more, constant_values=fill)
 
+    def touching(self, y0: int, y1: int, x0: int, x1: int) -> list[int]:
+        """Blocks whose windows meet a part of the raster."""
+        h = self.halo
+        rows = range(max(y0 - h, 0) // self.rows, min((y1 - 1 + h) // self.rows, self.down - 1) + 1)
+        columns = range(max(x0 - h, 0) // self.columns, min((x1 - 1 + h) // self.columns, self.across - 1) + 1)
+        return [by * self.across + bx for by in rows for bx in columns]
+
     def blocks_of(self, ys: np.ndarray, xs: np.ndarray) -> Iterator[tuple[np.ndarray | slice, np.ndarray]]:
         """Which of the pixels belong to a block, and its number; once for their own blocks and once for each side of halos."""
         by, bx = ys // self.rows, xs // self.columns
@@ -160,6 +167,30 @@ def pieces(window: Callable[[int], tuple[int, int, int, int]], blocks: np.ndarra
     return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(runs, pa.binary()), pa.array(packed, pa.binary())], names=["block", "runs", "cells"])
 
 
+def cut(grid: np.ndarray, y0: int, x0: int, blocks, window) -> pa.RecordBatch:
+    """The pieces of a grid (bands, rows, columns) whose first pixel is (``y0``, ``x0``) for the blocks that look at it."""
+    _, h, w = grid.shape
+    numbers, runs, packed = [], [], []
+    for block in blocks:
+        wy0, wy1, wx0, wx1 = window(block)
+        ya, yb, xa, xb = max(wy0, y0), min(wy1, y0 + h), max(wx0, x0), min(wx1, x0 + w)
+        if ya < yb and xa < xb:
+            starts = (np.arange(ya, yb) - wy0) * (wx1 - wx0) + xa - wx0
+            numbers.append(block)
+            runs.append(np.stack([starts, np.full(yb - ya, xb - xa)]).astype(np.int64).tobytes())
+            packed.append(np.ascontiguousarray(grid[:, ya - y0 : yb - y0, xa - x0 : xb - x0], dtype=np.float64).tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(runs, pa.binary()), pa.array(packed, pa.binary())], names=["block", "runs", "cells"])
+
+
+@dataclass(frozen=True)
+class Source:
+    """Bands that are not read yet and can be read as pieces: ``pieces`` of the blocks of a tiling, or of blocks with given windows."""
+
+    spark: SparkSession
+    bands: int
+    pieces: Callable[[Tiling | np.ndarray], DataFrame]
+
+
 def partitions(spark: SparkSession, blocks: int) -> int:
     return max(1, min(blocks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks // PER_TASK))))
 
@@ -214,15 +245,17 @@ def pixels_of(core: tuple[int, int, int, int], there: np.ndarray, bands: list[np
     return pa.RecordBatch.from_arrays([pa.array(ys), pa.array(xs), *arrays], names=["y", "x", *(f"b{k}" for k in range(1, len(cells) + 1))])
 
 
-def by_block(pixels: DataFrame, tiling: Tiling, work, schema: str) -> DataFrame:
+def by_block(pixels: DataFrame | Source, tiling: Tiling, work, schema: str) -> DataFrame:
     """``work`` over all blocks of a raster's pixels (``y, x`` and bands): see ``over_blocks``."""
-    bands = [c for c in pixels.columns if c not in ("y", "x")]
-    packed = placed(pixels, tiling.height, tiling.width).mapInArrow(pack(tiling), PIECES)
-    n, window = len(bands), tiling.window
+    if isinstance(pixels, Source):
+        packed, n = pixels.pieces(tiling), pixels.bands
+    else:
+        packed, n = placed(pixels, tiling.height, tiling.width).mapInArrow(pack(tiling), PIECES), len(pixels.columns) - 2
+    window = tiling.window
     return dealt(packed, tiling.down * tiling.across).mapInArrow(lambda batches: over_blocks(batches, n, window, work), schema)
 
 
-def mapped(pixels: DataFrame, tiling: Tiling, kernel, bands: int) -> DataFrame:
+def mapped(pixels: DataFrame | Source, tiling: Tiling, kernel, bands: int) -> DataFrame:
     """Pixels ``y, x, b1, ..`` from ``kernel`` (block, grid) to grids over each block's own pixels."""
 
     def work(block, grid, there):

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from ..plans.header import Header
-from .blocks import BLOCK, Tiling, mapped
+from .blocks import BLOCK, Source, Tiling, mapped
 
 STATS = ("mean", "sum", "min", "max", "std", "variance", "median", "range")
 SHAPES = ("square", "circle")
@@ -97,7 +97,7 @@ def statistic(padded: np.ndarray, window: np.ndarray, stat: str) -> np.ndarray:
     return np.where(n > 0, out, np.nan) if gaps else out
 
 
-def focal(pixels: DataFrame, header: Header, stat: str = "mean", radius: int = 1, shape: str = "square", clamp_border: bool = True, block: int = BLOCK) -> DataFrame:
+def focal(pixels: DataFrame | Source, header: Header, stat: str = "mean", radius: int = 1, shape: str = "square", clamp_border: bool = True, block: int = BLOCK) -> DataFrame:
     """``b1`` of each pixel's window of the first band; the edge repeats, or (``clamp_border=False``) windows end at it.
 
     Null pixels are left out of the windows; a window without values is null."""
@@ -112,4 +112,4 @@ def focal(pixels: DataFrame, header: Header, stat: str = "mean", radius: int = 1
     def kernel(block, grid):
         return [statistic(tiling.padded(block, grid[0], clamp_border), window, stat)]
 
-    return mapped(pixels.select("y", "x", "b1"), tiling, kernel, 1)
+    return mapped(pixels if isinstance(pixels, Source) else pixels.select("y", "x", "b1"), tiling, kernel, 1)

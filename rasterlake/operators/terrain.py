@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from ..plans.header import Header
-from .blocks import BLOCK, Tiling, mapped
+from .blocks import BLOCK, Source, Tiling, mapped
 from .focal import reduced
 
 METRICS = ("slope", "aspect", "hillshade", "tri", "tpi", "roughness", "prof_curv", "plan_curv", "total_curv")
@@ -59,7 +59,7 @@ def _metric(name: str, z: dict[int, np.ndarray], cx: float, cy: float, unit: str
     return np.where(g <= 1e-10, 0.0, out)
 
 
-def terrain(pixels: DataFrame, header: Header, metrics: tuple[str, ...] = ("slope",), unit: str = "degrees", sun_azimuth: float = 315.0, sun_altitude: float = 45.0, method: str = "horn", block: int = BLOCK) -> DataFrame:
+def terrain(pixels: DataFrame | Source, header: Header, metrics: tuple[str, ...] = ("slope",), unit: str = "degrees", sun_azimuth: float = 315.0, sun_altitude: float = 45.0, method: str = "horn", block: int = BLOCK) -> DataFrame:
     """One band a metric, in the order asked for. The edge repeats. A metric is null where any of its nine pixels is."""
     for value, known in ((unit, UNITS), (method, METHODS)):
         if value not in known:
@@ -80,4 +80,4 @@ def terrain(pixels: DataFrame, header: Header, metrics: tuple[str, ...] = ("slop
             out = [np.where(gap, np.nan, v) for v in out]
         return out
 
-    return mapped(pixels.select("y", "x", "b1"), tiling, kernel, len(metrics))
+    return mapped(pixels if isinstance(pixels, Source) else pixels.select("y", "x", "b1"), tiling, kernel, len(metrics))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import crs as systems
 from ..plans.header import Header
-from .blocks import BLOCK, PIECES, Tiling, dealt, gathered, over_blocks, pixels_of, placed, runs_of
+from .blocks import BLOCK, PIECES, Source, Tiling, dealt, gathered, over_blocks, pixels_of, placed, runs_of
 
 RESAMPLING = ("nearest", "bilinear")
 #: Part of a pixel within which a place counts as being on the source's edge.
@@ -125,27 +125,23 @@ def sampled(grid: np.ndarray, rect: tuple[int, int, int, int], header: Header, f
     return np.where(inside, found, out)
 
 
-def reproject(pixels: DataFrame, header: Header, target: Header, resampling: str = "bilinear", fill: bool = True, block: int = BLOCK) -> DataFrame:
+def reproject(pixels: DataFrame | Source, header: Header, target: Header, resampling: str = "bilinear", fill: bool = True, block: int = BLOCK) -> DataFrame:
     """Bands on the target's grid; outside the source is ``nodata`` (null with ``fill=False``, so that later steps pass it on).
 
     Source pixels are packed and sent to the blocks of the target that look at them, in one exchange; source rows and columns that no
     block looks at are not read. A pixel is null where a source pixel that counts for it (with any weight) is null or missing."""
     if resampling not in RESAMPLING:
         raise ValueError(f"unknown resampling {resampling!r}")
-    spark = pixels.sparkSession
-    bands = [c for c in pixels.columns if c not in ("y", "x")]
+    if isinstance(pixels, Source):
+        spark, bands = pixels.spark, [f"b{k}" for k in range(1, pixels.bands + 1)]
+    else:
+        spark, bands = pixels.sparkSession, [c for c in pixels.columns if c not in ("y", "x")]
     while -(-target.width // block) * -(-target.height // block) > MOST:
         block *= 2
     tiling = Tiling.of(target, 0, block)
     rects = windows(header, target, tiling)
     n = len(rects)
     held = spark.sparkContext.broadcast(rects)  # 32 bytes a block, of at most MOST
-    seen = rects[rects[:, 1] > 0]
-    rows = pixels
-    if len(seen):
-        rows = rows.where(F.col("y").between(int(seen[:, 0].min()), int(seen[:, 1].max() - 1)) & F.col("x").between(int(seen[:, 2].min()), int(seen[:, 3].max() - 1)))
-    else:
-        rows = rows.where(F.lit(False))
     none = target.nodata if fill and target.nodata is not None else np.nan
 
     def work(number, grid, there):
@@ -157,7 +153,13 @@ def reproject(pixels: DataFrame, header: Header, target: Header, resampling: str
     def run(batches):
         return over_blocks(batches, len(bands), lambda number: tuple(held.value[number].tolist()), work)
 
-    sent = placed(rows, header.height, header.width).mapInArrow(_sent(held, header.width), PIECES)
+    seen = rects[rects[:, 1] > 0]
+    if isinstance(pixels, Source):
+        sent = pixels.pieces(rects)
+    else:
+        (y0, x0), (y1, x1) = (seen[:, ::2].min(0), seen[:, 1::2].max(0) - 1) if len(seen) else ((1, 1), (0, 0))
+        rows = pixels.where(F.col("y").between(int(y0), int(y1)) & F.col("x").between(int(x0), int(x1)))
+        sent = placed(rows, header.height, header.width).mapInArrow(_sent(held, header.width), PIECES)
     empty = spark.range(n).select(F.col("id").alias("block"), F.lit(None).cast("binary").alias("runs"), F.lit(None).cast("binary").alias("cells"))
     schema = "y int, x int, " + ", ".join(f"`{b}` double" for b in bands)
     return dealt(sent.unionByName(empty), n).mapInArrow(run, schema)

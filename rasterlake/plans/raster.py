@@ -15,6 +15,7 @@ from ..operators import temporal as temporals
 from ..operators import terrain as terrains
 from ..operators import texture as textures
 from ..operators import warp, zonal
+from ..operators.blocks import Source
 from ..sources import geotiff
 from ..streaming.chunks import ChunkStream
 from .header import Header
@@ -32,8 +33,8 @@ class Raster:
 
     A raster of a file (``read`` gives pixels of some bands) reads the bands that the next operation needs, and no others."""
 
-    def __init__(self, pixels: DataFrame | None, header: Header, read: Callable[[list[int]], DataFrame] | None = None):
-        self._pixels, self._read = pixels, read
+    def __init__(self, pixels: DataFrame | None, header: Header, read: Callable[[list[int]], DataFrame] | None = None, source: Callable[[list[int]], Source] | None = None):
+        self._pixels, self._read, self._source = pixels, read, source
         self.header = header if pixels is None else header.with_(bands=len(pixels.columns) - 2)
 
     @property
@@ -59,7 +60,12 @@ class Raster:
         """A file, of which no pixel is read yet; with ``bands`` a raster of those, in that order."""
         header = geotiff.header_of(path).header
         chosen = list(bands) if bands else list(range(1, header.bands + 1))
-        return cls(None, header.with_(bands=len(chosen)), lambda some: geotiff.read(spark, path, [chosen[k - 1] for k in some])[0])
+        some = lambda bands: [chosen[k - 1] for k in bands]
+        return cls(None, header.with_(bands=len(chosen)), lambda bands: geotiff.read(spark, path, some(bands))[0], lambda bands: geotiff.source(spark, path, some(bands)))
+
+    def _cells(self, bands: Iterable[int]) -> DataFrame | Source:
+        """Some bands for an operation on blocks: of a file that is not read yet as pieces, else as pixels."""
+        return self._source(list(bands)) if self._pixels is None and self._source else self.only(bands)
 
     def get_info(self) -> dict:
         return self.header.info()
@@ -84,13 +90,13 @@ class Raster:
     def reproject(self, target_crs: str, res_x: float = 0, res_y: float = 0, resampling: str = "bilinear", nodata: float = -9999.0, extent: tuple[float, float, float, float] | None = None) -> Raster:
         """Pixels outside the source are null until a sink writes them as ``nodata``."""
         target = warp.target_header(self.header, target_crs, res_x, res_y, extent, nodata)
-        return Raster(warp.reproject(self.pixels, self.header, target, resampling, fill=False), target)
+        return Raster(warp.reproject(self._cells(range(1, self.header.bands + 1)), self.header, target, resampling, fill=False), target)
 
     def focal(self, stat: str = "mean", radius: int = 1, shape: str = "square", clamp_border: bool = True) -> Raster:
-        return self._next(focals.focal(self.only([1]), self.header, stat, radius, shape, clamp_border))
+        return self._next(focals.focal(self._cells([1]), self.header, stat, radius, shape, clamp_border))
 
     def terrain(self, metrics: list[str] | None = None, **options) -> Raster:
-        return self._next(terrains.terrain(self.only([1]), self.header, tuple(metrics or ("slope",)), **options))
+        return self._next(terrains.terrain(self._cells([1]), self.header, tuple(metrics or ("slope",)), **options))
 
     def texture(self, features: list[str] | None = None, **options) -> Raster:
         return self._next(textures.texture(self.only([1]), self.header, tuple(features or ()), **options))

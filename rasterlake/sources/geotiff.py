@@ -11,6 +11,7 @@ stream (for S3 a multipart upload). Only the directory's entries, 16 bytes a til
 
 from __future__ import annotations
 
+import base64
 import json
 import os
 import shutil
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
-from ..operators.blocks import PIECES, Tiling, dealt, over_blocks, pack, placed
+from ..operators.blocks import PIECES, Source, Tiling, cut, dealt, over_blocks, pack, placed
 from ..plans.header import Header
 from . import tiff
 
@@ -90,9 +91,12 @@ def _bounds(f, low: int, high: int) -> tuple[int, int] | None:
 class GeoTiffReader(DataSourceReader):
     """Pixels of files of one grid, side by side: ``names`` has the columns of all bands of the first file, then of the next."""
 
-    def __init__(self, paths: list[str], bands: list[int], names: list[str], strip: int):
-        self.paths, self.bands, self.names, self.strip = paths, bands, names, strip
+    def __init__(self, paths: list[str], bands: list[int], names: list[str], strip: int, blocks: Tiling | np.ndarray | None = None):
+        self.paths, self.bands, self.names, self.strip, self.blocks = paths, bands, names, strip, blocks
         self.limits: dict[str, tuple[int, int]] = {"y": (0, 1 << 62), "x": (0, 1 << 62)}
+        if isinstance(blocks, np.ndarray):  # only what the windows look at
+            some = blocks[blocks[:, 1] > 0]
+            self.limits = {"y": (int(some[:, 0].min()), int(some[:, 1].max()) - 1), "x": (int(some[:, 2].min()), int(some[:, 3].max()) - 1)} if len(some) else {"y": (0, -1), "x": (0, -1)}
 
     def pushFilters(self, filters):
         """Filters on places leave out blocks; Spark applies them to the pixels again."""
@@ -122,6 +126,9 @@ class GeoTiffReader(DataSourceReader):
                 y0, y1 = by * first.block_height, min((by + 1) * first.block_height, h.height)
                 if x0 >= x1:
                     continue
+                if self.blocks is not None:
+                    yield self._cut(np.concatenate([self._part(f, layout, (y0, y1, x0, x1), pool) for f, layout in zip(files, layouts)]), y0, x0)
+                    continue
                 rows, width = y1 - y0, x1 - x0
                 cols = [pa.array(np.repeat(np.arange(y0, y1, dtype=np.int32), width)), pa.array(np.tile(np.arange(x0, x1, dtype=np.int32), rows))]
                 for f, layout in zip(files, layouts):
@@ -131,6 +138,14 @@ class GeoTiffReader(DataSourceReader):
                         cols.append(pa.array(v, mask=empty) if empty.any() else pa.array(v))
                 yield pa.RecordBatch.from_arrays(cols, names=["y", "x", *self.names])
 
+    def _cut(self, grid: np.ndarray, y0: int, x0: int) -> pa.RecordBatch:
+        _, h, w = grid.shape
+        b = self.blocks
+        if isinstance(b, Tiling):
+            return cut(grid, y0, x0, b.touching(y0, y0 + h, x0, x0 + w), b.window)
+        near = np.flatnonzero((b[:, 0] < y0 + h) & (b[:, 1] > y0) & (b[:, 2] < x0 + w) & (b[:, 3] > x0))
+        return cut(grid, y0, x0, near.tolist(), lambda k: tuple(b[k].tolist()))
+
     def _part(self, f, layout: tiff.Layout, window: tuple[int, int, int, int], pool: ThreadPoolExecutor) -> np.ndarray:
         """The bands' cells of a window, from the blocks that it touches; NaN for nodata and tiles that were never written."""
         y0, y1, x0, x1 = window
@@ -183,7 +198,8 @@ class GeoTiffReader(DataSourceReader):
 
 class GeoTiffSource(DataSource):
     """``spark.read.format("geotiff").option("bands", "1,3").load(path)``; ``strip`` is the rows of pixels a task. With ``paths`` (a JSON
-    list) the files' bands stand side by side, as ``s0b1, .., s1b1, ..``."""
+    list) the files' bands stand side by side, as ``s0b1, .., s1b1, ..``. With ``tiling`` (rows, columns, halo) or ``windows`` (base64 of
+    32-bit first and last rows and columns of each block) it gives pieces of blocks in place of pixels."""
 
     @classmethod
     def name(cls) -> str:
@@ -203,11 +219,22 @@ class GeoTiffSource(DataSource):
     def _names(self) -> list[str]:
         return [f"s{k}b{b}" for k in range(len(self._paths())) for b in self._bands()] if "paths" in self.options else [f"b{b}" for b in self._bands()]
 
+    def _blocks(self) -> Tiling | np.ndarray | None:
+        if "windows" in self.options:
+            return np.frombuffer(base64.b64decode(self.options["windows"]), np.int32).reshape(-1, 4).astype(np.int64)
+        if "tiling" not in self.options:
+            return None
+        rows, columns, halo = map(int, self.options["tiling"].split(","))
+        h = header_of(self._paths()[0]).header
+        return Tiling(h.height, h.width, rows, columns, halo)
+
     def schema(self) -> str:
+        if "tiling" in self.options or "windows" in self.options:
+            return PIECES
         return "y int, x int, " + ", ".join(f"{n} double" for n in self._names())
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return GeoTiffReader(self._paths(), self._bands(), self._names(), int(self.options.get("strip", "512")))
+        return GeoTiffReader(self._paths(), self._bands(), self._names(), int(self.options.get("strip", "512")), self._blocks())
 
 
 def _reader(spark: SparkSession, bands: list[int] | None):
@@ -223,6 +250,18 @@ def read(spark: SparkSession, path: str, bands: list[int] | None = None) -> tupl
     return _reader(spark, bands).load(path), header
 
 
+def source(spark: SparkSession, path: str, bands: list[int]) -> Source:
+    """Bands of a file, to be read as pieces of blocks: they go from the file into the exchange without becoming rows of pixels."""
+
+    def pieces(blocks: Tiling | np.ndarray) -> DataFrame:
+        reader = _reader(spark, bands)
+        if isinstance(blocks, Tiling):
+            return reader.option("tiling", f"{blocks.rows},{blocks.columns},{blocks.halo}").load(path)
+        return reader.option("windows", base64.b64encode(blocks.astype(np.int32).tobytes()).decode()).load(path)
+
+    return Source(spark, len(bands), pieces)
+
+
 def read_stack(spark: SparkSession, paths: list[str], bands: list[int]) -> DataFrame:
     """Pixels of files of one grid, with the bands of all of them: ``y, x, s0b1, .., s1b1, ..``."""
     return _reader(spark, bands).option("paths", json.dumps(paths)).load()

@@ -35,6 +35,12 @@ def test_division_adds_epsilon(row):
 def test_null_pixels_stay_null(row):
     assert row("B3 * 2 + B1") is None
     assert row("B3 > 1") is None
+    for text in ("and(B1, B3)", "not(B3)", "if(B3, 1, 2)", "if(1, B3, 2)", "if(1, 2, B3)", "between(B3, 1, 2)", "between(1, B3, 2)", "min(B3, B3)", "max(B3, B3)", "or(B3, B3)", "-B3", "B1 / B3"):
+        assert row(text) is None, text
+
+
+def test_smallest_and_largest_leave_nulls_out(row):
+    assert (row("min(B1, B3)"), row("max(B3, B2)"), row("or(B3, 1)"), row("clamp(B3, 2, 5)"), row("clamp(B2, B3, 3)"), row("clamp(B1, 3.5, B3)")) == (3, 4, 1, 5, 3, 3.5)
 
 
 @pytest.mark.parametrize("text", ["", "  ", "B1 +", "B4", "B0", "foo", "foo(B1)", "B1 = 2", "(B1", "B1)", "B1 B2", "min(B1)", "1,2", "B1 $ 2"])

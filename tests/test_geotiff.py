@@ -198,6 +198,32 @@ def test_only_needed_bands_and_blocks_are_read(spark, tmp_path):
     assert np.allclose(two.algebra("B1 * 2").to_memory(), grid[2] * 2, atol=1e-4)
 
 
+@pytest.mark.parametrize(("tile", "planar"), [(16, True), (None, False), (32, True)])
+def test_blocks_straight_from_the_file(spark, tmp_path, tile, planar):
+    """Operations on blocks read a file as pieces, and give what they give on its pixels."""
+    grid = (np.random.default_rng(9).random((2, 70, 52)) * 100).astype("f4")
+    grid[:, 20:23, 10:15] = np.nan
+    path = make(tmp_path / "a.tif", grid, tile=tile, planar=planar)
+    r = Raster.open(spark, path, bands=[2, 1])
+    r.header = r.header.with_(crs="EPSG:4326", transform=(10.0, 0.01, 0.0, 52.0, 0.0, -0.01))
+    plain = Raster(r.pixels, r.header)
+
+    def fresh():
+        out = Raster.open(spark, path, bands=[2, 1])
+        out.header = r.header
+        return out
+
+    for op in (lambda a: a.focal("median", 2, "circle"), lambda a: a.terrain(["slope", "tri"]), lambda a: a.reproject("EPSG:3857"), lambda a: a.reproject("EPSG:32632", 500, 500, "nearest", extent=(572000, 5750000, 590000, 5758000))):
+        plan = op(fresh()).pixels._jdf.queryExecution().analyzed().toString()
+        assert "runs#" in plan.split("Relation")[-1] and "x#" not in plan.split("Relation")[-1]
+        a, b = (sorted(str(tuple(p)) for p in op(x).pixels.collect()) for x in (fresh(), plain))
+        assert a == b
+    assert np.allclose(plain.to_memory()[0], grid[1], equal_nan=True)
+    # a small extent reads few rows of blocks
+    reader = geotiff.GeoTiffReader([path], [1], ["b1"], 16, np.array([[3, 9, 4, 12], [0, 0, 0, 0]]))
+    assert len(reader.partitions()) <= 3
+
+
 def test_stacks_of_files(spark, tmp_path):
     """Scenes of different layouts, read side by side, without an exchange."""
     rng = np.random.default_rng(6)
