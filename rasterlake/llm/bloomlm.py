@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, crc_mod, stored, table
+from .common import as_bytes, crc_mod, stored, table, tidy
 
 CHUNK_TOKENS = 500_000
 #: Characters of input for each range of keys.
@@ -75,6 +75,27 @@ def _unpack5(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _planes(x: np.ndarray) -> list[bytes]:
+    """Numbers as squeezed planes of their bytes."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    octets = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize)
+    return [squeeze(np.ascontiguousarray(octets[:, k])) for k in range(x.itemsize)]
+
+
+def _from_planes(parts: list[bytes], kind) -> np.ndarray:
+    import zstandard
+
+    loose = zstandard.ZstdDecompressor().decompress
+    return np.stack([np.frombuffer(loose(p), np.uint8) for p in parts], axis=1).view(kind).ravel()
+
+
+def _by_count(counts: np.ndarray) -> np.ndarray:
+    """Numbers of words, the most common first."""
+    return np.argsort(-counts.astype(np.int64), kind="stable").astype(np.uint32)
+
+
 class Chunk:
     """Texts as numbers into sorted word keys."""
 
@@ -82,30 +103,21 @@ class Chunk:
         self.keys, self.numbers, self.sizes, self.training = keys, numbers, sizes, training
 
     def packed(self) -> bytes:
-        import zstandard
-
-        # common words get small numbers, kept as byte planes
-        often = np.argsort(-np.bincount(self.numbers, minlength=len(self.keys)), kind="stable").astype(np.uint32)
-        place = np.empty(len(often), np.uint32)
-        place[often] = np.arange(len(often), dtype=np.uint32)
-        planes = place[self.numbers].view(np.uint8).reshape(-1, 4)
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        parts = [self.keys.tobytes(), squeeze(often.tobytes()), *[squeeze(np.ascontiguousarray(planes[:, k])) for k in range(4)], squeeze(self.sizes.astype(np.int64).tobytes()), self.training.astype(np.uint8).tobytes()]
+        # common words get small numbers; their order follows from the counts
+        counts = np.bincount(self.numbers, minlength=len(self.keys))
+        place = np.empty(len(self.keys), np.uint32)
+        place[_by_count(counts)] = np.arange(len(self.keys), dtype=np.uint32)
+        parts = [*_planes(self.keys), *_planes(counts.astype(np.uint32)), *_planes(place[self.numbers]), *_planes(self.sizes.astype(np.uint64)), self.training.astype(np.uint8).tobytes()]
         return np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts)
 
     @classmethod
     def unpacked(cls, raw: bytes) -> Chunk:
-        import zstandard
-
-        ends = 64 + np.cumsum(np.frombuffer(raw[:64], np.int64))
-        starts = [64, *ends[:-1]]
-        parts = [raw[a:b] for a, b in zip(starts, ends)]
-        loose = zstandard.ZstdDecompressor().decompress
-        often = np.frombuffer(loose(parts[1]), np.uint32)
-        place = np.zeros(len(loose(parts[2])), np.uint32)
-        for k in range(4):
-            place |= np.frombuffer(loose(parts[2 + k]), np.uint8).astype(np.uint32) << np.uint32(8 * k)
-        return cls(np.frombuffer(parts[0], np.uint64), often[place], np.frombuffer(loose(parts[6]), np.int64), np.frombuffer(parts[7], np.uint8).astype(bool))
+        n = 8 + 4 + 4 + 8 + 1
+        ends = 8 * n + np.cumsum(np.frombuffer(raw[: 8 * n], np.int64))
+        parts = [raw[a:b] for a, b in zip([8 * n, *ends[:-1]], ends)]
+        counts = _from_planes(parts[8:12], np.uint32)
+        numbers = _by_count(counts)[_from_planes(parts[12:16], np.uint32)]
+        return cls(_from_planes(parts[:8], np.uint64), numbers, _from_planes(parts[16:24], np.uint64).astype(np.int64), np.frombuffer(parts[24], np.uint8).astype(bool))
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of the words before and at each token, and whether there is one before (not at a text's start)."""
@@ -329,7 +341,9 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     n, v = answers.where("chunk = -1").select("counts").mapInArrow(add, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     n, v = n or 0, v or 0
+    tidy(docs.sparkSession)
     levels = stored(pair_levels(chunks, ranges), "lm-levels")
+    tidy(docs.sparkSession)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A chunk's answers come in order of their ranges, its texts after them."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -50,6 +51,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver find the exchanges of steps that are stored already, so that executors remove their files."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def forget(spark: SparkSession) -> int:
     """Remove what this application's operators have written to the shared folder so far, and say how many paths that were.
 
