@@ -18,6 +18,7 @@ from ..operators import warp, zonal
 from ..operators.blocks import Source
 from ..sources import geotiff
 from ..streaming.chunks import ChunkStream
+from ..streaming.progress import progress
 from .header import Header
 
 MEMORY_LIMIT = 1 << 30
@@ -111,28 +112,30 @@ class Raster:
             return self.pixels
         return self.pixels.fillna(self.header.nodata)
 
-    def iter_begin(self, rows: int | None = None) -> ChunkStream:
-        return ChunkStream(self.pixels, self.header, rows)
+    def iter_begin(self, rows: int | None = None, buffered: int = 4) -> ChunkStream:
+        return ChunkStream(self.pixels, self.header, rows, buffered)
 
-    def to_memory(self, limit: int = MEMORY_LIMIT) -> np.ndarray:
+    def to_memory(self, limit: int = MEMORY_LIMIT, verbose: bool = False) -> np.ndarray:
         """Float32 array (rows, columns), or (bands, rows, columns); refused beyond ``limit`` bytes."""
         h = self.header
         need = 4 * h.width * h.height * h.bands
         if need > limit:
             raise MemoryError(f"the raster takes {need} bytes, over the limit of {limit}; iterate over chunks instead")
         out = np.empty((h.bands, h.height, h.width), np.float32)
-        for c in self.iter_begin():
-            data = c["data"] if h.bands > 1 else c["data"][None]
-            out[:, c["y_offset"] : c["y_offset"] + c["height"]] = data
+        with progress(self.pixels.sparkSession, verbose):
+            for c in self.iter_begin():
+                data = c["data"] if h.bands > 1 else c["data"][None]
+                out[:, c["y_offset"] : c["y_offset"] + c["height"]] = data
         return out if h.bands > 1 else out[0]
 
-    def save_local(self, path: str) -> None:
-        geotiff.write(self.pixels, self.header, path)
+    def save_local(self, path: str, verbose: bool = False) -> None:
+        with progress(self.pixels.sparkSession, verbose):
+            geotiff.write(self.pixels, self.header, path)
 
-    def save_s3(self, path: str) -> None:
+    def save_s3(self, path: str, verbose: bool = False) -> None:
         if not geotiff.uri_of(path).startswith("s3://"):
             raise ValueError(f"not an S3 path: {path}")
-        geotiff.write(self.pixels, self.header, path)
+        self.save_local(path, verbose)
 
 
 class RasterStack:

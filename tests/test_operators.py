@@ -547,6 +547,55 @@ def test_chunks_come_in_order(spark):
     assert stream.next() is not None and stream.next() is None
 
 
+def test_queue_holds_the_producer_back():
+    import threading
+
+    from rasterlake.streaming.chunks import ChunkQueue
+
+    q = ChunkQueue(2)
+    assert q.push(1) and q.push(2) and not q.push(3, timeout=0.05) and (q.size, q.utilization, q.finished) == (2, 1.0, False)
+    late = threading.Timer(0.1, lambda: q.push(3))
+    late.start()
+    assert [q.pop(), q.pop(), q.pop(timeout=5)] == [1, 2, 3]
+    with pytest.raises(TimeoutError):
+        q.pop(timeout=0.05)
+    q.finish(ValueError("broken"))
+    with pytest.raises(ValueError, match="broken"):
+        q.pop()
+    assert q.pop() is None and q.finished
+    q = ChunkQueue(1)
+    q.push(1)
+    q.close()
+    assert not q.push(2) and q.pop() is None and q.size == 0
+    with pytest.raises(ValueError):
+        ChunkQueue(0)
+
+
+def test_stream_raises_errors_of_tasks_and_stops(spark):
+    r = raster(spark, RANDOM)
+    broken = Raster(r.pixels.selectExpr("y", "x", "if(y = 6, raise_error('bad pixel'), b1) as b1"), r.header)
+    with pytest.raises(Exception, match="bad pixel"):
+        list(broken.iter_begin(rows=1))
+    stream = r.iter_begin(rows=1, buffered=1)
+    assert stream.next()["y_offset"] == 0 and stream.queue.capacity == 1
+    stream.close()
+    stream._thread.join(20)
+    assert not stream._thread.is_alive() and stream.next() is None
+
+
+def test_progress(spark):
+    import io
+
+    from rasterlake.streaming.progress import line, progress
+
+    assert line(1, 4, 8) == "[==      ]  25%" and line(0, 0, 2) == "[==] 100%"
+    out = io.StringIO()
+    with progress(spark, out=out, every=0.01):
+        spark.range(0, 100, 1, 4).selectExpr("sum(id)").collect()
+    assert out.getvalue().endswith("100%\n")
+    assert raster(spark, RANDOM).to_memory(verbose=True).shape == (7, 7)
+
+
 def test_memory_guard(spark):
     with pytest.raises(MemoryError):
         raster(spark, RANDOM).to_memory(limit=10)
