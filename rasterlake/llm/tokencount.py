@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -142,6 +144,10 @@ class PrefixCounter:
 
     def count_all(self, texts: list[str | None]) -> list[int]:
         """Tokens of each whole text."""
+        return self.fit_all(texts, None)[0]
+
+    def fit_all(self, texts: list[str | None], budget: int | None) -> tuple[list[int], list[int]]:
+        """Tokens of each whole text, and (with a budget) bytes of its longest prefix within it."""
         if len(self.counts) > MEMORY:
             self.counts.clear()
             self.odd = {""}
@@ -170,26 +176,38 @@ class PrefixCounter:
                 held.append((k, parts))
         self._learn(fresh)
         known = self.counts.__getitem__
+        firsts = totals.copy() if budget is not None else []
         for k, parts in held:
             totals[k] += sum(map(known, parts[1:]))
-        return totals
+        if budget is None:
+            return totals, []
+        fits = [len(t.encode()) if t else 0 for t in texts]
+        of = dict(held)
+        for k, n in enumerate(totals):
+            if n > budget:
+                special = any(s in texts[k] for s in self.special)
+                fits[k] = PrefixTable(self, texts[k]).bytes_for(budget) if special else self._cut(of[k], firsts[k], budget)
+        return totals, fits
 
     def fit(self, text: str, budget: int) -> int:
-        """Bytes of the longest prefix of at most ``budget`` tokens. Sums up to blanks before visible characters never fall, so that it
-        ends in the first part whose sum is over the budget; only that part's prefixes are looked at."""
-        if any(s in text for s in self.special):
-            return PrefixTable(self, text).bytes_for(budget)
-        done, size, before = 0, 0, ("", 0)
-        for k, part in enumerate(_SPLIT.split(text)):
-            part = " " + part if k else part
-            n = self.counts.get(part[1:]) if k else None
-            n = self.sum_of(part) if n is None else n
-            if done + n > budget:
-                if before[0][-1:].isspace():  # the cut may change the blanks before
-                    part, done, size = before[0] + part, done - before[1], size - len(before[0].encode())
-                return size + PrefixTable(self, part).bytes_for(budget - done)
-            done, size, before = done + n, size + len(part.encode()), (part, n)
-        return size
+        """Bytes of the longest prefix of at most ``budget`` tokens."""
+        return self.fit_all([text], budget)[1][0]
+
+    def _cut(self, parts: list[str], first: int, budget: int) -> int:
+        """Bytes of the longest prefix within the budget, of a text in parts (``first``: tokens of the first one) that is over it.
+
+        Sums up to blanks before visible characters never fall, so that it ends in the first part whose sum is over the budget; only
+        that part's prefixes are looked at, and the one before where it ends in blanks, which a cut may change."""
+        # a part has a token at least
+        sums = list(accumulate(map(self.counts.__getitem__, parts[1 : budget + 2]), initial=first))
+        at = bisect_right(sums, budget)
+        if at and parts[at - 1][-1:].isspace():
+            at, end = at - 1, at + 1
+        else:
+            end = at + 1
+        done = sums[at - 1] if at else 0
+        size = len(" ".join(parts[:at]).encode()) if at else 0
+        return size + PrefixTable(self, (" " if at else "") + " ".join(parts[at:end])).bytes_for(budget - done)
 
     def count(self, text: str | None) -> int:
         """Tokens of one whole text."""
@@ -276,9 +294,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
         counter = PrefixCounter(path)
 
         def work(texts):
-            tokens = counter.count_all(texts)
+            tokens, fit = counter.fit_all(texts, limit)
             sizes = [len(t.encode()) if t else 0 for t in texts]
-            fit = [size if n <= limit else counter.fit(t, limit) for t, size, n in zip(texts, sizes, tokens)]
             return {"n_bytes": sizes, "n_tokens": tokens, "over_limit": [n > limit for n in tokens], "fit_bytes": fit}
 
         return work
@@ -316,8 +333,7 @@ def truncated(docs: DataFrame, path: str, budget: int = LIMIT) -> DataFrame:
         counter = PrefixCounter(path)
 
         def work(texts):
-            over = counter.count_all(texts)
-            return [t.encode()[: counter.fit(t, budget)].decode() if n > budget else t for t, n in zip(texts, over)]
+            return [t.encode()[:size].decode() if n > budget else t for t, n, size in zip(texts, *counter.fit_all(texts, budget))]
 
         return work
 
