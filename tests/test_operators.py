@@ -400,6 +400,17 @@ def test_equal_areas():
         assert np.allclose(sizes, sizes[0], rtol=1e-4), name
 
 
+def test_mercator_comes_round_beyond_a_pole():
+    """Every half turn of latitude has the same places; on a sphere these are the SQL's ``asinh(tan(lat))``."""
+    lat = np.array([-89.0, -37.5, 0.0, 12.25, 88.0])
+    for name in ("EPSG:3857", "EPSG:3395"):
+        _, there = crs.transform("EPSG:4326", name, 10.0, lat)
+        for turns in (-4, -1, 1, 3):
+            assert np.allclose(crs.transform("EPSG:4326", name, 10.0, lat + 180 * turns)[1], there, rtol=1e-9, atol=1e-3)
+    assert np.allclose(crs.transform("EPSG:4326", "EPSG:3857", 0.0, lat)[1], 6378137.0 * np.arcsinh(np.tan(np.radians(lat))), rtol=1e-12)
+    assert np.isfinite(crs.transform("EPSG:4326", "EPSG:3857", 0.0, np.array([-548.0, -90.0, 90.0]))[1]).all()
+
+
 def test_reproject_to_itself_changes_nothing(spark):
     r = raster(spark, RANDOM, "EPSG:3857")
     for kind in ("nearest", "bilinear"):
