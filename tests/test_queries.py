@@ -67,6 +67,12 @@ def test_bilinear_beyond_a_pole(spark, tmp_path, rows):
     assert filled == (20 if rows == 15000 else 20 * rows)
 
 
+@pytest.mark.parametrize("rows", [15000, 30000])
+def test_nearest_beyond_a_pole(spark, tmp_path, rows):
+    folder, con = many_parts(tmp_path, rows)
+    assert differing(spark, folder, con, "reproject_nearest") == (20 * rows, 0)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
